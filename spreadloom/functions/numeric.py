@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def finite(value: Column) -> Column:
@@ -35,7 +36,7 @@ def pair_label(a: Column, b: Column) -> Column:
     return F.concat_ws(" / ", a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bp_p_value(lm: pd.Series) -> pd.Series:
     """Upper tail of a chi-square with one degree of freedom."""
     return lm.map(lambda v: math.erfc(math.sqrt(v / 2.0)), na_action="ignore").astype("float64")
