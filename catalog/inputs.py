@@ -15,12 +15,17 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from spreadloom.config import (
     AutoencoderSpec, CorrelationSearch, Eligibility, FoldPlan, GruSpec, MarketClock,
     NeighbourSearch, RunSettings, TradeRule, TrainerSpec)
+from spreadloom.operators.autoregression import effective_lookback
+from spreadloom.operators.correlation import correlated_pairs
 from spreadloom.operators.panel import build_panel
+from spreadloom.operators.reports import union_arms
+from spreadloom.operators.windows import pool_codes, tumbling_windows
 from spreadloom.plans.walk_forward import open_market, run_arm
 from spreadloom.plans import selection
 from spreadloom.staging import stage
 
 SPAN_WEEKS = 20
+COEF_CUTOFF = 0.2
 WEEK_CLOCK = MarketClock(zone="UTC", open_time="none", bars_per_year=52)
 WEEK_FOLDS = FoldPlan(train_days=104, test_days=26, roll_days=26)
 TRAINER = TrainerSpec(epochs=4, batch_size=256, patience=3)
@@ -150,3 +155,75 @@ def classic_arm(spark, sf_dir):
 def baseline_arm(spark, sf_dir):
     return once(spark, sf_dir, "baseline_arm", lambda: run_arm(
         baseline_market(spark, sf_dir), selection.correlation_selector(WEEKLY_BASELINE), "baseline"))
+
+
+def window_vectors(spark, sf_dir) -> DataFrame:
+    """Symbol vectors without a network: the unit-length mean return window."""
+    windows = tumbling_windows(weekly_market(spark, sf_dir).train.series, WEEKLY.autoencoder)
+    return pool_codes(windows.withColumnRenamed("x", "code"), WEEKLY.autoencoder.min_windows, False)
+
+
+def vector_arm(spark, sf_dir):
+    def select(train):
+        return selection.select_by_vectors(
+            window_vectors(spark, sf_dir), train, WEEKLY, WEEKLY.autoencoder.neighbours)
+
+    return once(spark, sf_dir, "vector_arm",
+                lambda: run_arm(weekly_market(spark, sf_dir), select, "window_mean"))
+
+
+def autoencoder_arm(spark, sf_dir):
+    return once(spark, sf_dir, "autoencoder_arm", lambda: run_arm(
+        weekly_market(spark, sf_dir), selection.autoencoder_selector(WEEKLY), "autoencoder"))
+
+
+def gru_arm(spark, sf_dir):
+    return once(spark, sf_dir, "gru_arm", lambda: run_arm(
+        weekly_market(spark, sf_dir), selection.gru_selector(WEEKLY), "gru"))
+
+
+ARMS = ["classic", "baseline", "window_mean"]
+
+
+def three_arms(spark, sf_dir) -> list:
+    return [classic_arm(spark, sf_dir), baseline_arm(spark, sf_dir), vector_arm(spark, sf_dir)]
+
+
+def all_trades(spark, sf_dir) -> DataFrame:
+    return union_arms([a.trades for a in three_arms(spark, sf_dir)])
+
+
+def all_fold_metrics(spark, sf_dir) -> DataFrame:
+    return union_arms([a.fold_metrics for a in three_arms(spark, sf_dir)])
+
+
+def all_equity(spark, sf_dir) -> DataFrame:
+    return union_arms([a.equity for a in three_arms(spark, sf_dir)])
+
+
+def all_aggregates(spark, sf_dir) -> DataFrame:
+    return union_arms([a.aggregate for a in three_arms(spark, sf_dir)])
+
+
+def classic_candidates(spark, sf_dir) -> DataFrame:
+    return once(spark, sf_dir, "classic_candidates", lambda: stage(correlated_pairs(
+        weekly_market(spark, sf_dir).train.series, WEEKLY.correlation), "candidates"))
+
+
+def classic_fits(spark, sf_dir) -> DataFrame:
+    return once(spark, sf_dir, "classic_fits", lambda: stage(selection.pair_fits(
+        classic_candidates(spark, sf_dir), weekly_market(spark, sf_dir).train.series), "fits"))
+
+
+def labelled_vectors(spark, sf_dir) -> DataFrame:
+    """The given embeddings as symbol vectors, a label being a fold."""
+    return read(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("int").alias("fold_id"),
+        F.format_string("V%07d", "vec_id").alias("symbol"), "embedding")
+
+
+def labelled_fits(spark, sf_dir) -> DataFrame:
+    """The first fifteen numbers of each embedding taken as AR coefficients."""
+    coefs = F.transform(F.slice("embedding", 1, 15), lambda c: c.cast("double"))
+    return labelled_vectors(spark, sf_dir).select("fold_id", "symbol", coefs.alias("coefs")).withColumn(
+        "lookback", effective_lookback(F.col("coefs"), COEF_CUTOFF))

@@ -87,14 +87,16 @@ def select_by_vectors(vectors: DataFrame, train: TrainData, settings: RunSetting
     return choose_pairs(candidates, train.series, settings)
 
 
-def _weights(samples: DataFrame, net, trainer, arm: str, cache: tuple[str, str] | None) -> DataFrame:
+def _weights(samples: DataFrame, net, settings: RunSettings, arm: str,
+             cache: tuple[str, str] | None) -> DataFrame:
+    """Fitted weights; ``cache`` is a weights table and a label of the data it is fitted on."""
     def fit(rows: DataFrame) -> DataFrame:
-        return fit_folds(rows, net, trainer)
+        return fit_folds(rows, net, net.spec.trainer)
 
     if cache is None:
         return stage(fit(samples), f"{arm}-weights")
     path, data_label = cache
-    return fit_with_cache(samples, fit, path, arm, config_key(arm, net.spec, data_label))
+    return fit_with_cache(samples, fit, path, arm, config_key(arm, settings.snapshot(), data_label))
 
 
 def autoencoder_samples(series: DataFrame, settings: RunSettings) -> DataFrame:
@@ -112,7 +114,7 @@ def autoencoder_embeddings(series: DataFrame, settings: RunSettings,
     spec = settings.autoencoder
     net = Autoencoder(spec)
     samples = stage(autoencoder_samples(series, settings), "ae-samples")
-    weights = _weights(samples, net, spec.trainer, "autoencoder", cache)
+    weights = _weights(samples, net, settings, "autoencoder", cache)
     codes = encode_windows(samples, weights, net)
     return pool_codes(codes, spec.min_windows, unit_rows=False)
 
@@ -130,7 +132,7 @@ def gru_embeddings(series: DataFrame, settings: RunSettings,
     net = GruRegressor(spec)
     windows = stage(gru_samples(series, settings), "gru-windows")
     samples = enough(windows.filter(F.col("target").isNotNull()), spec.min_samples)
-    weights = _weights(samples, net, spec.trainer, "gru", cache)
+    weights = _weights(samples, net, settings, "gru", cache)
     codes = encode_windows(windows, weights, net)
     return pool_codes(codes, spec.min_windows, unit_rows=True)
 
