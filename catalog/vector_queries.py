@@ -79,19 +79,22 @@ def _given_lookbacks(spark, sf_dir):
         "fold_id", "symbol", (F.col("uni_rank") % 15 + 1).cast("int").alias("lookback"))
 
 
-@query("fold_id:i symbol bar_pos:i i:i v:d target:d", """
-SELECT fold_id, symbol, bar_pos, unnest(range(15)) AS i,
-       unnest(list_concat(list_transform(range(15 - lookback), lambda k: 0.0), raw)) AS v, target
-FROM (SELECT t.fold_id, t.symbol, t.pos AS bar_pos, u.uni_rank % 15 + 1 AS lookback, any_value(t.ret) AS target,
-             list(h.ret ORDER BY h.pos) AS raw
-      FROM w_pos t JOIN w_uni u USING (fold_id, symbol)
-      JOIN w_pos h ON h.fold_id = t.fold_id AND h.symbol = t.symbol
-           AND h.pos BETWEEN t.pos - (u.uni_rank % 15 + 1) AND t.pos - 1
-      GROUP BY 1, 2, 3, 4 HAVING count(h.ret) = u.uni_rank % 15 + 1)""")
+@query("fold_id:i symbol bar_pos:i width:i n_zeros:i weighed:d target:d", """
+SELECT t.fold_id, t.symbol, t.pos AS bar_pos, 15 AS width, any_value(t.ret) AS target,
+       15 - count(*) + count(*) FILTER (WHERE h.ret = 0) AS n_zeros,
+       sum(h.ret * (16 - (t.pos - h.pos))) AS weighed
+FROM w_pos t JOIN w_uni u USING (fold_id, symbol)
+JOIN w_pos h ON h.fold_id = t.fold_id AND h.symbol = t.symbol
+     AND h.pos BETWEEN t.pos - (u.uni_rank % 15 + 1) AND t.pos - 1
+GROUP BY 1, 2, 3, u.uni_rank HAVING count(h.ret) = u.uni_rank % 15 + 1""")
 def sliding_windows(spark, sf_dir):
+    # One row per window: its width, its zeros, and its values weighed by place.
     series = I.weekly_market(spark, sf_dir).train.series
     rows = wn.sliding_windows(series, _given_lookbacks(spark, sf_dir), GruSpec())
-    return rows.select("fold_id", "symbol", "bar_pos", F.posexplode("x").alias("i", "v"), "target")
+    weighed = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select(
+        "fold_id", "symbol", "bar_pos", "target", F.size("x").alias("width"),
+        F.size(F.filter("x", lambda v: v == 0)).alias("n_zeros"), weighed.alias("weighed"))
 
 
 LAGS = " ".join(f"lag_{i}:d" for i in range(1, 16))
