@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import RunSettings
-from ..operators.panel import build_panel
+from ..operators.panel import build_panel, grid_calendar
 from ..operators.reports import union_arms
 from ..sources.bars import FILE_PATTERN, load_panel_bars
 from ..sources.results import config_frame, save_arm, write_json
@@ -43,8 +43,9 @@ def run_arms(market: Market, arms: list[str], out: str, data_label: str) -> Data
 
 def run_job(spark: SparkSession, bars: str, out: str, arms: list[str], years: list[int],
             settings: RunSettings = RunSettings(), pattern: str = FILE_PATTERN) -> DataFrame:
-    panel = stage(build_panel(load_panel_bars(spark, bars, years, pattern=pattern), settings.clock), "panel")
-    market = open_market(panel, settings)
+    rows = load_panel_bars(spark, bars, years, pattern=pattern)
+    panel = stage(build_panel(rows, settings.clock), "panel")
+    market = open_market(panel, settings, calendar=grid_calendar(rows, settings.clock))
     return run_arms(market, arms, out, f"{bars}|{years[0]}-{years[-1]}")
 
 

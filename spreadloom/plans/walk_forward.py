@@ -49,13 +49,16 @@ class ArmResult:
 
 
 def open_market(panel: DataFrame, settings: RunSettings = RunSettings(),
-                liquid_first: bool = False) -> Market:
+                liquid_first: bool = False, calendar: DataFrame | None = None) -> Market:
     """Folds, universes and packed train series of a staged panel.
 
+    ``calendar`` is the ``grid_calendar`` of the panel's bars; without it the bars of
+    the panel are the grid, which is the same unless some bar has no price at all.
     ``liquid_first`` takes the most liquid symbols before it asks for coverage.
     """
-    calendar = stage(
-        panel.select("bar_ts", "day", "day_idx", "bar_seq", "n_days").distinct(), "calendar")
+    if calendar is None:
+        calendar = panel.select("bar_ts", "day", "day_idx", "bar_seq", "n_days").distinct()
+    calendar = stage(calendar, "calendar")
     folds = stage(check_no_lookahead(fold_table(calendar, settings.folds)), "folds")
     pick = liquid_then_covered if liquid_first else fold_universe
     universe = stage(pick(panel, folds, settings.folds, settings.eligibility), "universe")
