@@ -10,6 +10,10 @@ two weeks. The number of symbols grows with the data.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import partial
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from spreadloom.config import (
@@ -17,12 +21,12 @@ from spreadloom.config import (
     NeighbourSearch, RunSettings, TradeRule, TrainerSpec)
 from spreadloom.operators.autoregression import effective_lookback
 from spreadloom.operators.correlation import correlated_pairs
-from spreadloom.operators.panel import build_panel
+from spreadloom.operators.panel import build_panel, grid_calendar
 from spreadloom.operators.reports import union_arms
 from spreadloom.operators.windows import pool_codes, tumbling_windows
 from spreadloom.plans.walk_forward import open_market, run_arm
 from spreadloom.plans import selection
-from spreadloom.staging import stage
+from spreadloom.staging import side_by_side, stage
 
 SPAN_WEEKS = 20
 COEF_CUTOFF = 0.2
@@ -65,6 +69,7 @@ def supplier_week_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("week"), "l_quantity")
     weekly = lines.groupBy("l_suppkey", "week").agg(
         F.avg("l_quantity").alias("v"), F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
+    weekly = stage(weekly, "supplier-weeks")
     span = weekly.agg(F.min("week").alias("first"), F.max("week").alias("last"))
     # One row of dates, attached to the supplier list by a scalar subquery.
     first, last = span.select("first").scalar(), span.select("last").scalar()
@@ -104,12 +109,21 @@ def event_half_hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 _kept: dict[tuple, object] = {}
 
 
+_locks: dict[tuple, Lock] = defaultdict(Lock)
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, make):
     """A derived table is built once per session and data folder and then read."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
+    with _locks[key]:
+        if key not in _kept:
+            _kept[key] = make()
+        return _kept[key]
+
+
+def forget() -> None:
+    """Drop what is kept, so that the next query derives everything again."""
+    _kept.clear()
 
 
 def weekly_bars(spark, sf_dir) -> DataFrame:
@@ -117,9 +131,14 @@ def weekly_bars(spark, sf_dir) -> DataFrame:
                 lambda: stage(supplier_week_bars(spark, sf_dir), "weekly-bars"))
 
 
+def weekly_grid(spark, sf_dir) -> DataFrame:
+    return once(spark, sf_dir, "weekly_grid", lambda: stage(
+        grid_calendar(weekly_bars(spark, sf_dir), WEEK_CLOCK), "weekly-grid"))
+
+
 def weekly_panel(spark, sf_dir) -> DataFrame:
-    return once(spark, sf_dir, "weekly_panel", lambda: stage(
-        build_panel(weekly_bars(spark, sf_dir), WEEK_CLOCK, order=None), "weekly-panel"))
+    return once(spark, sf_dir, "weekly_panel", lambda: stage(build_panel(
+        weekly_bars(spark, sf_dir), WEEK_CLOCK, order=None, calendar=weekly_grid(spark, sf_dir)), "weekly-panel"))
 
 
 def event_bars(spark, sf_dir) -> DataFrame:
@@ -127,24 +146,32 @@ def event_bars(spark, sf_dir) -> DataFrame:
                 lambda: stage(event_half_hour_bars(spark, sf_dir), "event-bars"))
 
 
+def event_grid(spark, sf_dir) -> DataFrame:
+    return once(spark, sf_dir, "event_grid", lambda: stage(
+        grid_calendar(event_bars(spark, sf_dir), EVENT_CLOCK), "event-grid"))
+
+
 def event_panel(spark, sf_dir) -> DataFrame:
-    return once(spark, sf_dir, "event_panel", lambda: stage(
-        build_panel(event_bars(spark, sf_dir), EVENT_CLOCK), "event-panel"))
+    return once(spark, sf_dir, "event_panel", lambda: stage(build_panel(
+        event_bars(spark, sf_dir), EVENT_CLOCK, calendar=event_grid(spark, sf_dir)), "event-panel"))
 
 
 def weekly_market(spark, sf_dir):
     return once(spark, sf_dir, "weekly_market",
-                lambda: open_market(weekly_panel(spark, sf_dir), WEEKLY))
+                lambda: open_market(
+                    weekly_panel(spark, sf_dir), WEEKLY, calendar=weekly_grid(spark, sf_dir)))
 
 
 def baseline_market(spark, sf_dir):
     return once(spark, sf_dir, "baseline_market", lambda: open_market(
-        weekly_panel(spark, sf_dir), WEEKLY_BASELINE, liquid_first=True))
+        weekly_panel(spark, sf_dir), WEEKLY_BASELINE, liquid_first=True,
+        calendar=weekly_grid(spark, sf_dir)))
 
 
 def event_market(spark, sf_dir):
     return once(spark, sf_dir, "event_market",
-                lambda: open_market(event_panel(spark, sf_dir), EVENTS))
+                lambda: open_market(
+                    event_panel(spark, sf_dir), EVENTS, calendar=event_grid(spark, sf_dir)))
 
 
 def classic_arm(spark, sf_dir):
@@ -186,7 +213,7 @@ ARMS = ["classic", "baseline", "window_mean"]
 
 
 def three_arms(spark, sf_dir) -> list:
-    return [classic_arm(spark, sf_dir), baseline_arm(spark, sf_dir), vector_arm(spark, sf_dir)]
+    return side_by_side([partial(arm, spark, sf_dir) for arm in (classic_arm, baseline_arm, vector_arm)])
 
 
 def all_trades(spark, sf_dir) -> DataFrame:

@@ -98,7 +98,7 @@ def intraday_returns(spark, sf_dir):
 def returns_with_overnight(spark, sf_dir):
     # A small chunk, so that the check also crosses many chunk borders.
     priced = I.event_panel(spark, sf_dir).drop("logret")
-    return pn.log_returns(priced, I.EVENT_CLOCK, drop_overnight=False, chunk=64)
+    return pn.log_returns(priced, drop_overnight=False, chunk=64)
 
 
 @query("symbol bar_seq:i logret:d", "SELECT * FROM w_panel")

@@ -81,3 +81,17 @@ def assign_folds(panel: DataFrame, plan: FoldPlan, side: str) -> DataFrame:
 def between_days(panel: DataFrame, start: str, end: str) -> DataFrame:
     """Bars whose local day lies in [start, end]."""
     return panel.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def assign_members(panel: DataFrame, members: DataFrame, plan: FoldPlan, side: str) -> DataFrame:
+    """As ``assign_folds``, for the (fold_id, symbol) rows of ``members`` only.
+
+    A symbol's folds are gathered in one row first (there are no more than folds), so
+    a single join on the symbol drops the bars of all other symbols before any bar is
+    copied to its folds.
+    """
+    ids = train_folds if side == "train" else test_folds
+    wanted = members.groupBy("symbol").agg(F.collect_set("fold_id").alias("wanted"))
+    day = F.col("day_idx")
+    held = F.array_intersect(ids(day, day, F.col("n_days"), plan), F.col("wanted"))
+    return panel.join(wanted, "symbol").withColumn("fold_id", F.explode(held)).drop("wanted")

@@ -29,15 +29,17 @@ def keep_last(df: DataFrame, keys: list[str], order: str, values: list[str]) ->
 
 
 def grid_calendar(bars: DataFrame, clock: MarketClock = MarketClock()) -> DataFrame:
-    """(bar_ts, day, bar_seq, day_idx, n_bars, n_days) of the union grid.
+    """(bar_ts, day, bar_seq, day_idx, is_open, n_bars, n_days) of the union grid.
 
+    All time zone work happens here, once per distinct time rather than per bar.
     Ranks are taken within a month and shifted by the bars of earlier months, so
     the only unpartitioned window runs over one row per calendar month.
     """
+    # The filter is spelled out so that both uses of the grid share one shuffle.
     grid = (
-        bars.select("bar_ts").distinct()
+        bars.select("bar_ts").filter(F.col("bar_ts").isNotNull()).distinct()
         .withColumn("day", local_day(F.col("bar_ts"), clock.zone))
-        .withColumn("month", F.trunc("day", "month"))
+        .withColumn("month", F.trunc("day", "month")).filter(F.col("month").isNotNull())
     )
     months = grid.groupBy("month").agg(
         F.count(F.lit(1)).alias("bars"), F.count_distinct("day").alias("days")
@@ -59,13 +61,15 @@ def grid_calendar(bars: DataFrame, clock: MarketClock = MarketClock()) -> DataFr
         .cast("bigint").alias("bar_seq"),
         (F.dense_rank().over(in_month.orderBy("day")) - 1 + F.col("days_before"))
         .cast("bigint").alias("day_idx"),
+        (local_hhmm(F.col("bar_ts"), clock.zone) == F.lit(clock.open_time)).alias("is_open"),
         F.col("n_bars").cast("bigint").alias("n_bars"),
         F.col("n_days").cast("bigint").alias("n_days"),
     )
 
 
 def on_grid(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    return bars.join(calendar.select("bar_ts", "day", "day_idx", "bar_seq", "n_days"), "bar_ts")
+    return bars.join(
+        calendar.select("bar_ts", "day", "day_idx", "bar_seq", "is_open", "n_days"), "bar_ts")
 
 
 def with_halo(
@@ -86,15 +90,10 @@ def with_halo(
     )
 
 
-def log_returns(
-    panel: DataFrame,
-    clock: MarketClock = MarketClock(),
-    drop_overnight: bool = True,
-    chunk: int = CHUNK_BARS,
-) -> DataFrame:
+def log_returns(panel: DataFrame, drop_overnight: bool = True, chunk: int = CHUNK_BARS) -> DataFrame:
     """Add ``logret``: log ratio to the previous grid row, NULL when it is missing.
 
-    With ``drop_overnight`` the bar at the open keeps no return.
+    With ``drop_overnight`` a bar marked ``is_open`` keeps no return.
     """
     w = W.partitionBy("symbol", "chunk_id").orderBy("bar_seq")
     adjacent = F.lag("bar_seq").over(w) == F.col("bar_seq") - 1
@@ -103,8 +102,7 @@ def log_returns(
     rows = with_halo(panel, "bar_seq", before=1, chunk=chunk).withColumn("logret", ret)
     rows = rows.filter(~F.col("is_halo")).drop("chunk_id", "is_halo")
     if drop_overnight:
-        opening = local_hhmm(F.col("bar_ts"), clock.zone) == F.lit(clock.open_time)
-        rows = rows.withColumn("logret", F.when(~opening, F.col("logret")))
+        rows = rows.withColumn("logret", F.when(~F.col("is_open"), F.col("logret")))
     return rows
 
 
@@ -113,11 +111,13 @@ def build_panel(
     clock: MarketClock = MarketClock(),
     order: str | None = "file_order",
     drop_overnight: bool = True,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Panel of (symbol, bar_ts, day, day_idx, bar_seq, n_days, close, dollar_vol, logret).
 
     ``bars`` needs symbol, bar_ts, close, volume and, unless ``order`` is None, a
-    column that tells which of two bars with one key came last.
+    column that tells which of two bars with one key came last. A staged ``calendar``
+    shows the optimizer its true size before the bars are joined to it.
     """
     rows = bars.select(
         "symbol", "bar_ts", *([order] if order else []),
@@ -126,9 +126,10 @@ def build_panel(
     )
     if order:
         rows = keep_last(rows, ["symbol", "bar_ts"], order, ["close", "dollar_vol"])
-    calendar = grid_calendar(rows, clock)
+    if calendar is None:
+        calendar = grid_calendar(bars, clock)
     priced = on_grid(rows, calendar).filter(F.col("close").isNotNull())
-    return log_returns(priced, clock, drop_overnight).select(
+    return log_returns(priced, drop_overnight).select(
         "symbol", "bar_ts", "day", "day_idx", "bar_seq", "n_days", "close", "dollar_vol", "logret"
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FoldPlan
-from .folds import assign_folds
+from .folds import assign_members
 
 FILL_LIMIT = 3
 
@@ -58,21 +58,17 @@ def train_series(panel: DataFrame, folds: DataFrame, universe: DataFrame,
                  plan: FoldPlan) -> DataFrame:
     """Packed train windows of each fold's universe, with its ``uni_rank``."""
     ranks = universe.select("fold_id", "symbol", "uni_rank", "n_universe")
-    rows = assign_folds(panel, plan, "train").join(
-        ranks.select("fold_id", "symbol"), ["fold_id", "symbol"], "left_semi")
+    rows = assign_members(panel, ranks, plan, "train")
     return pack_series(rows, folds, "train").join(ranks, ["fold_id", "symbol"])
 
 
 def pair_legs(pairs: DataFrame) -> DataFrame:
-    legs = F.array("sym_a", "sym_b")
-    return pairs.select("fold_id", F.explode(legs).alias("symbol")).distinct()
+    return pairs.select("fold_id", F.explode(F.array("sym_a", "sym_b")).alias("symbol"))
 
 
 def test_series(panel: DataFrame, folds: DataFrame, pairs: DataFrame, plan: FoldPlan) -> DataFrame:
     """Packed test windows of the symbols that some selected pair trades."""
-    rows = assign_folds(panel, plan, "test").join(
-        pair_legs(pairs), ["fold_id", "symbol"], "left_semi")
-    return pack_series(rows, folds, "test")
+    return pack_series(assign_members(panel, pair_legs(pairs), plan, "test"), folds, "test")
 
 
 def series_rows(series: DataFrame) -> DataFrame:

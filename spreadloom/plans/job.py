@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,24 +16,24 @@ from ..operators.panel import build_panel, grid_calendar
 from ..operators.reports import union_arms
 from ..sources.bars import FILE_PATTERN, load_panel_bars
 from ..sources.results import config_frame, save_arm, write_json
-from ..staging import stage
+from ..staging import side_by_side, stage
 from .selection import SELECTORS
-from .walk_forward import Market, open_market, run_arm
+from .walk_forward import ArmResult, Market, open_market, run_arm
 
 SUMMARY = ("arm", "sharpe_annualized", "return_total", "return_annualized", "max_drawdown",
            "n_trades", "trade_win_rate", "n_active_pairs")
 
 
 def run_arms(market: Market, arms: list[str], out: str, data_label: str) -> DataFrame:
-    """Run and save each arm; returns the comparison of their aggregates.
-
-    Arms run one after the other: each is a cluster-wide plan over all its folds.
-    """
+    """Run and save each arm; returns the comparison of their aggregates."""
     spark = market.panel.sparkSession
-    aggregates = []
-    for arm in arms:
+
+    def run(arm: str) -> ArmResult:
         selector = SELECTORS[arm](market.settings, (f"{out}/weights", data_label))
-        result = run_arm(market, selector, arm)
+        return run_arm(market, selector, arm)
+
+    aggregates = []
+    for arm, result in zip(arms, side_by_side([partial(run, arm) for arm in arms])):
         config = config_frame(spark, arm, market.settings.snapshot())
         save_arm({**result.tables(), "config": config}, out)
         aggregates.append(result.aggregate)
@@ -44,8 +45,9 @@ def run_arms(market: Market, arms: list[str], out: str, data_label: str) -> Data
 def run_job(spark: SparkSession, bars: str, out: str, arms: list[str], years: list[int],
             settings: RunSettings = RunSettings(), pattern: str = FILE_PATTERN) -> DataFrame:
     rows = load_panel_bars(spark, bars, years, pattern=pattern)
-    panel = stage(build_panel(rows, settings.clock), "panel")
-    market = open_market(panel, settings, calendar=grid_calendar(rows, settings.clock))
+    calendar = stage(grid_calendar(rows, settings.clock), "grid")
+    panel = stage(build_panel(rows, settings.clock, calendar=calendar), "panel")
+    market = open_market(panel, settings, calendar=calendar)
     return run_arms(market, arms, out, f"{bars}|{years[0]}-{years[-1]}")
 
 

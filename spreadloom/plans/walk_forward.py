@@ -14,7 +14,7 @@ from ..operators.portfolio import active_pairs, fold_portfolio, stitch, with_wei
 from ..operators.series import test_series, train_series
 from ..operators.signal import evaluate_pairs, extract_trades
 from ..operators.universe import fold_universe, liquid_then_covered
-from ..staging import stage
+from ..staging import side_by_side, stage
 from .selection import Selector, TrainData
 
 TRADED = ("alpha", "beta", "mu", "sigma", "half_life", "weight")
@@ -52,13 +52,13 @@ def open_market(panel: DataFrame, settings: RunSettings = RunSettings(),
                 liquid_first: bool = False, calendar: DataFrame | None = None) -> Market:
     """Folds, universes and packed train series of a staged panel.
 
-    ``calendar`` is the ``grid_calendar`` of the panel's bars; without it the bars of
+    ``calendar`` is the staged ``grid_calendar`` of the panel's bars; without it the bars of
     the panel are the grid, which is the same unless some bar has no price at all.
     ``liquid_first`` takes the most liquid symbols before it asks for coverage.
     """
     if calendar is None:
-        calendar = panel.select("bar_ts", "day", "day_idx", "bar_seq", "n_days").distinct()
-    calendar = stage(calendar, "calendar")
+        calendar = stage(
+            panel.select("bar_ts", "day", "day_idx", "bar_seq", "n_days").distinct(), "calendar")
     folds = stage(check_no_lookahead(fold_table(calendar, settings.folds)), "folds")
     pick = liquid_then_covered if liquid_first else fold_universe
     universe = stage(pick(panel, folds, settings.folds, settings.eligibility), "universe")
@@ -90,8 +90,9 @@ def run_arm(market: Market, selector: Selector, arm: str) -> ArmResult:
     tag = F.lit(arm).alias("arm")
     pairs = stage(selector(market.train), f"{arm}-pairs")
     pair_bars = stage(trade_test(market, pairs), f"{arm}-bars")
-    trades = stage(trade_log(pair_bars, market.calendar), f"{arm}-trades")
-    portfolio = stage(fold_portfolio(pair_bars, market.folds), f"{arm}-portfolio")
+    trades, portfolio = side_by_side([
+        lambda: stage(trade_log(pair_bars, market.calendar), f"{arm}-trades"),
+        lambda: stage(fold_portfolio(pair_bars, market.folds), f"{arm}-portfolio")])
     counts = active_pairs(pairs, market.folds)
     per_fold = summarize(portfolio, ["fold_id"], "fold_id", trades, counts, bars_per_year)
     fold_metrics = market.folds.select(

@@ -13,6 +13,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,5 +58,13 @@ def lanes(spark: SparkSession) -> int:
     return max(1, min(max(configured, cores), 2 * cores))
 
 
+def side_by_side(tasks: list) -> list:
+    """Results of independent calls whose Spark jobs may share the cluster at one time."""
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    with ThreadPoolExecutor(max_workers=min(len(tasks), 4)) as pool:
+        return [f.result() for f in [pool.submit(task) for task in tasks]]
+
+
 def gcd(*values: int) -> int:
     return math.gcd(*values)
