@@ -102,7 +102,7 @@ def event_half_hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), half.cast("timestamp_ntz").alias("bar_ts"),
         (F.col("value") + 1).alias("close"),
-        (F.col("user_id") % 97 + 1).cast("double").alias("volume"),
+        (F.col("user_id") + 1).cast("double").alias("volume"),
         F.col("event_id").alias("file_order"))
 
 

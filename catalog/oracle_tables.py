@@ -67,7 +67,7 @@ SELECT 'S' || lpad(l_suppkey::VARCHAR, 7, '0') AS symbol, week AS bar_ts,
 FROM wk_own JOIN wk_factor USING (week) WHERE lines > 0""")
 define("e_raw", """
 SELECT event_type AS symbol, time_bucket(INTERVAL 30 MINUTE, ts) AS bar_ts, value + 1 AS close,
-       (user_id % 97 + 1)::DOUBLE AS volume, event_id AS file_order
+       (user_id + 1)::DOUBLE AS volume, event_id AS file_order
 FROM events""")
 define("e_bars", """
 SELECT symbol, bar_ts, close, volume FROM e_raw

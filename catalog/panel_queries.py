@@ -13,6 +13,11 @@ from . import inputs as I
 from .registry import query
 
 
+# The years the bars of the given tables span.
+YEARS = list(range(1995, 2002))
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 def _yearly_files(spark, sf_dir) -> str:
     """The weekly bars as one folder per year, with the columns of raw bar files."""
     def write():
@@ -29,25 +34,24 @@ def _yearly_files(spark, sf_dir) -> str:
 
 
 @query("symbol timestamp_utc close:d", """
-SELECT symbol, bar_ts AS timestamp_utc, close FROM w_bars
-WHERE year(bar_ts) IN (1996, 1997, 1999) AND month(bar_ts) <> 12""")
+SELECT symbol, bar_ts AS timestamp_utc, close FROM w_bars WHERE month(bar_ts) <> 12""")
 def bar_scan(spark, sf_dir):
-    return br.load_bars(spark, _yearly_files(spark, sf_dir), [1996, 1997, 1999],
+    return br.load_bars(spark, _yearly_files(spark, sf_dir), YEARS,
                         columns=["symbol", "timestamp_utc", "close", "symbol"], pattern="year={year}")
 
 
 @query("symbol timestamp_utc date_ny close:d volume:d is_regular_hours",
        "SELECT symbol, bar_ts AS timestamp_utc, bar_ts::DATE::VARCHAR AS date_ny, close, volume, "
-       "month(bar_ts) <> 12 AS is_regular_hours FROM w_bars WHERE year(bar_ts) = 1998")
+       "month(bar_ts) <> 12 AS is_regular_hours FROM w_bars")
 def bar_scan_all_hours(spark, sf_dir):
-    return br.load_bars(spark, _yearly_files(spark, sf_dir), 1998, regular_hours_only=False, pattern="year={year}")
+    return br.load_bars(spark, _yearly_files(spark, sf_dir), YEARS, regular_hours_only=False, pattern="year={year}")
 
 
 @query("symbol bar_ts close:d dollar_vol:d bar_seq:i", """
 SELECT symbol, bar_ts, close, close * volume AS dollar_vol, dense_rank() OVER (ORDER BY bar_ts) - 1 AS bar_seq
-FROM w_bars WHERE year(bar_ts) BETWEEN 1996 AND 1998 AND month(bar_ts) <> 12""")
+FROM w_bars WHERE month(bar_ts) <> 12""")
 def panel_from_files(spark, sf_dir):
-    bars = br.load_panel_bars(spark, _yearly_files(spark, sf_dir), [1996, 1997, 1998], pattern="year={year}")
+    bars = br.load_panel_bars(spark, _yearly_files(spark, sf_dir), YEARS, pattern="year={year}")
     return pn.build_panel(bars, I.WEEK_CLOCK)
 
 
@@ -76,12 +80,11 @@ def price_panel(spark, sf_dir):
     return pn.on_grid(bars, pn.grid_calendar(bars, I.EVENT_CLOCK))
 
 
-@query("bar_ts error:d signup:d view:d", """
-SELECT bar_ts, max(CASE WHEN symbol = 'error' THEN close END) AS error,
-       max(CASE WHEN symbol = 'signup' THEN close END) AS signup, max(CASE WHEN symbol = 'view' THEN close END) AS view
-FROM e_panel WHERE symbol IN ('error', 'signup', 'view') GROUP BY 1""")
+@query("bar_ts " + " ".join(f"{t}:d" for t in EVENT_TYPES), f"""
+SELECT bar_ts, {", ".join(f"max(CASE WHEN symbol = '{t}' THEN close END) AS {t}" for t in EVENT_TYPES)}
+FROM e_panel GROUP BY 1""")
 def wide_price_export(spark, sf_dir):
-    return pn.wide_panel(I.event_panel(spark, sf_dir), "close", ["error", "signup", "view"])
+    return pn.wide_panel(I.event_panel(spark, sf_dir), "close", EVENT_TYPES)
 
 
 @query("symbol bar_seq:i dollar_vol:d", "SELECT * FROM e_panel")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
 from ..functions.timecols import utc_clock
 
 FILE_PATTERN = "bars_30m_{year}.parquet"
-# Rows a file may hold before two files' orders could overlap.
-FILE_STRIDE = 1 << 40
+# Bits of the file order number, from high to low: year, part file, split
+# of a part file, row in the file.
+PART_BITS, SPLIT_BITS, ROW_BITS = 17, 7, 27
 
 
 def load_bars(spark: SparkSession, base: str, years: int | list[int],
@@ -19,8 +22,7 @@ def load_bars(spark: SparkSession, base: str, years: int | list[int],
 
     The regular-hours flag is filtered in the scan even when it is not asked for.
     """
-    years = [years] if isinstance(years, int) else list(years)
-    df = spark.read.parquet(*[f"{base.rstrip('/')}/{pattern.format(year=y)}" for y in years])
+    df = spark.read.parquet(*_paths(base, years, pattern))
     if regular_hours_only:
         df = df.filter(F.col("is_regular_hours"))
     if columns is not None:
@@ -28,27 +30,43 @@ def load_bars(spark: SparkSession, base: str, years: int | list[int],
     return df
 
 
+def _paths(base: str, years: int | list[int], pattern: str) -> list[str]:
+    years = [years] if isinstance(years, int) else years
+    return [f"{base.rstrip('/')}/{pattern.format(year=y)}" for y in years]
+
+
+def file_order(pattern: str = FILE_PATTERN) -> Column:
+    """A number that grows with the year, the part file and the row in it.
+
+    One number rather than a path and a row lets the de-duplication be a plain hash
+    aggregate. A single file per year is its own part 0.
+    """
+    path = F.col("_metadata.file_path")
+
+    def digits(regex: str) -> Column:
+        return F.coalesce(F.try_to_number(
+            F.nullif(F.regexp_extract(path, regex, 1), F.lit("")), F.lit("9999999")), F.lit(0)).cast("bigint")
+
+    year = digits(re.escape(pattern).replace(r"\{year\}", r"(\d{4})"))
+    order = year
+    for bits, value in ((PART_BITS, digits(r"part-(\d{1,7})")), (SPLIT_BITS, digits(r"[.-]c(\d{1,7})\.")),
+                        (ROW_BITS, F.col("_metadata.row_index"))):
+        order = order * (1 << bits) + value
+    return order
+
+
 def load_panel_bars(spark: SparkSession, base: str, years: int | list[int],
                     price_col: str = "close", pattern: str = FILE_PATTERN) -> DataFrame:
-    """(symbol, bar_ts, close, volume, file_order) for ``build_panel``.
+    """(symbol, bar_ts, close, volume, file_order) of regular hours, for ``build_panel``.
 
-    ``file_order`` numbers rows by year and place in the file, so that of two bars
-    with one key the later one can be kept.
+    ``file_order`` tells which of two bars with one key comes last in the files.
     """
-    years = [years] if isinstance(years, int) else list(years)
-    parts = [
-        load_bars(spark, base, y, pattern=pattern).select(
-            "symbol", "timestamp_utc", F.col(price_col).alias("close"), "volume",
-            (F.lit(y) * FILE_STRIDE + F.col("_metadata.row_index")).alias("file_order"))
-        for y in years
-    ]
-    bars = parts[0]
-    for part in parts[1:]:
-        bars = bars.unionByName(part)
+    bars = spark.read.parquet(*_paths(base, years, pattern)).filter(F.col("is_regular_hours"))
     ts = F.col("timestamp_utc")
     if isinstance(bars.schema["timestamp_utc"].dataType, TimestampType):
         ts = utc_clock(ts)
-    return bars.select("symbol", ts.alias("bar_ts"), "close", "volume", "file_order")
+    return bars.select("symbol", ts.alias("bar_ts"), F.col(price_col).alias("close"), "volume",
+                       file_order(pattern).alias("file_order"))
 
 
 def union_years(frames: list[DataFrame]) -> DataFrame:

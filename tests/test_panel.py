@@ -256,3 +256,20 @@ def test_panel_from_bar_files_keeps_last_copy(spark, bar_files):
     first = {r.symbol: r.close for r in panel.filter("bar_seq = 0").collect()}
     assert first == {"A": 77.0, "B": 10.0}
     assert panel.count() == 20 and panel.agg(F.max("bar_seq")).first()[0] == 9
+
+
+def test_last_copy_across_part_files(spark, tmp_path):
+    base = str(tmp_path / "parts")
+    rows = [("A", dt.datetime(2020, 1, 2, 14, 30), float(i), 1.0, True) for i in range(40)]
+    df = spark.createDataFrame(rows, (
+        "symbol string, timestamp_utc timestamp_ntz, close double, volume double, is_regular_hours boolean"))
+    df.repartitionByRange(5, "close").write.option("maxRecordsPerFile", 3).parquet(f"{base}/bars_30m_2020.parquet")
+    bars = load_panel_bars(spark, base, 2020)
+    assert [r.close for r in bars.orderBy("file_order").collect()] == [float(i) for i in range(40)]
+    assert pn.build_panel(bars).first().close == 39.0
+
+
+def test_dedup_combines_before_the_shuffle(spark, bar_files):
+    bars = load_panel_bars(spark, bar_files, [2019, 2020])
+    plan = pn.keep_last(bars, ["symbol", "bar_ts"], "file_order", ["close"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
