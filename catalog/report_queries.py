@@ -206,15 +206,15 @@ def json_round_trip(spark, sf_dir):
 def tsv_round_trip(spark, sf_dir):
     path = new_stage_path(spark, "fold-metrics-tsv")
     rows = I.all_fold_metrics(spark, sf_dir)
-    rs.write_tsv(rows, path)
+    rs.write_tsv(rows, path, order=("arm", "fold_id"))
     return rs.read_tsv(spark, path, rows.schema)
 
 
 @query("arm fold_id:i sym_a sym_b holding_bars:i pnl:d", f"SELECT * FROM {TRADES}")
 def arm_bundle_round_trip(spark, sf_dir):
     out = new_stage_path(spark, "arm-bundle")
-    for arm in I.three_arms(spark, sf_dir):
-        rs.save_arm(arm.tables(), out)
+    for name, arm in zip(I.ARMS, I.three_arms(spark, sf_dir)):
+        rs.save_arm(arm.tables(), out, name)
     return rs.load_arms(spark, out, ("trades",))["trades"]
 
 
@@ -223,6 +223,6 @@ SELECT 'classic' AS arm, fold_id, sym_a, sym_b, rank, half_life FROM c_pairs
 UNION ALL SELECT 'window_mean', fold_id, sym_a, sym_b, rank, half_life FROM v_pairs""")
 def fold_tables_round_trip(spark, sf_dir):
     out = new_stage_path(spark, "fold-tables")
-    for arm in (I.classic_arm(spark, sf_dir), I.vector_arm(spark, sf_dir)):
-        rs.save_arm({"pairs": arm.pairs}, out)
+    for name, arm in (("classic", I.classic_arm(spark, sf_dir)), ("window_mean", I.vector_arm(spark, sf_dir))):
+        rs.save_arm({"pairs": arm.pairs}, out, name)
     return spark.read.parquet(f"{out}/pairs")

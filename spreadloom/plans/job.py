@@ -29,13 +29,13 @@ def run_arms(market: Market, arms: list[str], out: str, data_label: str) -> Data
     spark = market.panel.sparkSession
 
     def run(arm: str) -> ArmResult:
-        selector = SELECTORS[arm](market.settings, (f"{out}/weights", data_label))
+        selector = SELECTORS[arm](market.settings, (f"{out}/weights", data_label), out)
         return run_arm(market, selector, arm)
 
     aggregates = []
     for arm, result in zip(arms, side_by_side([partial(run, arm) for arm in arms])):
         config = config_frame(spark, arm, market.settings.snapshot())
-        save_arm({**result.tables(), "config": config}, out)
+        save_arm({**result.tables(), "config": config}, out, arm)
         aggregates.append(result.aggregate)
     comparison = stage(union_arms(aggregates).select(*SUMMARY), "comparison")
     write_json(comparison, f"{out}/comparison")

@@ -23,7 +23,7 @@ from ..operators.signal import evaluate_pairs
 from ..operators.training import encode_windows, fit_folds
 from ..operators.windows import (
     enough, pool_codes, sliding_windows, standardize, tumbling_windows, window_scale)
-from ..sources.results import config_key, fit_with_cache
+from ..sources.results import config_key, fit_with_cache, save_arm
 from ..staging import stage
 
 SCORES = ("cand_rank", "train_corr", "emb_distance")
@@ -119,42 +119,52 @@ def autoencoder_embeddings(series: DataFrame, settings: RunSettings,
     return pool_codes(codes, spec.min_windows, unit_rows=False)
 
 
-def gru_samples(series: DataFrame, settings: RunSettings) -> DataFrame:
-    """Lookback windows of every symbol, with and without a known next return."""
-    spec = settings.gru
-    backs = lookbacks(ar_fits(series, spec), spec)
-    return sliding_windows(series, backs, spec).withColumnRenamed("bar_pos", "sample_id")
+def gru_lookbacks(series: DataFrame, settings: RunSettings) -> DataFrame:
+    return lookbacks(ar_fits(series, settings.gru), settings.gru)
 
 
-def gru_embeddings(series: DataFrame, settings: RunSettings,
-                   cache: tuple[str, str] | None = None) -> DataFrame:
+def gru_embeddings(series: DataFrame, settings: RunSettings, cache: tuple[str, str] | None = None,
+                   backs: DataFrame | None = None) -> DataFrame:
     spec = settings.gru
     net = GruRegressor(spec)
-    windows = stage(gru_samples(series, settings), "gru-windows")
+    if backs is None:
+        backs = gru_lookbacks(series, settings)
+    # Lookback windows of every symbol, with and without a known next return.
+    windows = stage(
+        sliding_windows(series, backs, spec).withColumnRenamed("bar_pos", "sample_id"), "gru-windows")
     samples = enough(windows.filter(F.col("target").isNotNull()), spec.min_samples)
     weights = _weights(samples, net, settings, "gru", cache)
     codes = encode_windows(windows, weights, net)
     return pool_codes(codes, spec.min_windows, unit_rows=True)
 
 
-def autoencoder_selector(settings: RunSettings, cache: tuple[str, str] | None = None) -> Selector:
+def autoencoder_selector(settings: RunSettings, cache: tuple[str, str] | None = None,
+                         out: str | None = None) -> Selector:
+    """``out`` also saves each fold's embeddings with the arm's results."""
     def select(train: TrainData) -> DataFrame:
         vectors = stage(autoencoder_embeddings(train.series, settings, cache), "ae-embeddings")
+        if out is not None:
+            save_arm({"embeddings": vectors}, out, "autoencoder")
         return select_by_vectors(vectors, train, settings, settings.autoencoder.neighbours)
 
     return select
 
 
-def gru_selector(settings: RunSettings, cache: tuple[str, str] | None = None) -> Selector:
+def gru_selector(settings: RunSettings, cache: tuple[str, str] | None = None,
+                 out: str | None = None) -> Selector:
+    """``out`` also saves each fold's lookbacks and embeddings with the arm's results."""
     def select(train: TrainData) -> DataFrame:
-        vectors = stage(gru_embeddings(train.series, settings, cache), "gru-embeddings")
+        backs = stage(gru_lookbacks(train.series, settings), "lookbacks")
+        vectors = stage(gru_embeddings(train.series, settings, cache, backs), "gru-embeddings")
+        if out is not None:
+            save_arm({"lookbacks": backs, "embeddings": vectors}, out, "gru")
         return select_by_vectors(vectors, train, settings, settings.gru.neighbours)
 
     return select
 
 
 SELECTORS = {
-    "classic": lambda settings, cache=None: correlation_selector(settings),
+    "classic": lambda settings, cache=None, out=None: correlation_selector(settings),
     "autoencoder": autoencoder_selector,
     "gru": gru_selector,
 }

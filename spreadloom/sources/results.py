@@ -28,9 +28,10 @@ def six_decimals(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated text with a header; doubles carry six decimals."""
-    six_decimals(df).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+def write_tsv(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """Tab-separated text with a header, sorted by ``order``; doubles carry six decimals."""
+    rows = df.orderBy(*order) if order else df
+    six_decimals(rows).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -42,19 +43,17 @@ def config_frame(spark: SparkSession, arm: str, snapshot: dict) -> DataFrame:
                                  "arm string, config string")
 
 
-def _write_arm(df: DataFrame, path: str, *more: str) -> None:
-    # Only the partitions of this arm are replaced; other arms in the table stay.
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("arm", *more).parquet(path))
+def save_arm(tables: dict[str, DataFrame], out: str, arm: str) -> None:
+    """Write result tables of one arm, each to its own folder ``<table>/arm=<arm>``.
 
-
-def save_arm(tables: dict[str, DataFrame], out: str) -> None:
-    """Write the given result tables of an arm below ``out``, one table each."""
+    Only that folder is replaced, so other arms stay and no fold of an earlier run
+    with more folds is left behind. Tables of a fold's intermediates are split by fold.
+    """
     for name, df in tables.items():
+        writer = df.drop("arm").write.mode("overwrite")
         if name in FOLD_TABLES:
-            _write_arm(df, f"{out}/{name}", "fold_id")
-        else:
-            _write_arm(df, f"{out}/{name}")
+            writer = writer.partitionBy("fold_id")
+        writer.parquet(f"{out}/{name}/arm={arm}")
 
 
 def load_arms(spark: SparkSession, out: str, tables: tuple[str, ...] = ARM_TABLES) -> dict[str, DataFrame]:

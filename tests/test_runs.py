@@ -103,6 +103,9 @@ def test_job_saves_and_reloads_every_arm(spark, sf_dir, weekly_files, tmp_path):
     want = I.classic_arm(spark, sf_dir).aggregate.first()
     got = tables["aggregate"].filter("arm = 'classic'").first()
     assert abs(got.sharpe_annualized - want.sharpe_annualized) < 1e-9 and got.n_trades == want.n_trades
+    kept = rs.load_arms(spark, out, ("embeddings", "lookbacks"))
+    assert {r.arm for r in kept["embeddings"].select("arm").distinct().collect()} == {"autoencoder", "gru"}
+    assert kept["lookbacks"].filter("lookback between 1 and 15").count() == kept["lookbacks"].count() > 0
     # The second run reads its weights and leaves the other arms' tables alone.
     weights = spark.read.parquet(f"{out}/weights").count()
     job.run_job(spark, weekly_files, out, ["autoencoder"], years, I.WEEKLY, pattern="year={year}")
