@@ -20,33 +20,32 @@ MIN_BP_ROWS = 60
 
 
 def pair_grid(pairs: DataFrame, series: DataFrame, folds: DataFrame | None = None,
-              side: str = "train") -> DataFrame:
-    """One row per (pair, grid bar): pair columns, bar_seq, close_a/b, ret_a/b.
+              side: str = "train", returns: bool = True) -> DataFrame:
+    """One row per (pair, grid bar): pair columns, bar_seq, close_a/b and, with ``returns``, ret_a/b.
 
     With ``folds`` a pair keeps its full grid of empty bars when a leg has no
     bar at all in the window; without, such a pair has no rows.
     """
-    a = series.select("fold_id", F.col("symbol").alias("sym_a"), F.col("lo").alias("lo_a"),
-                      F.col("close").alias("ca"), F.col("ret").alias("ra"))
-    b = series.select("fold_id", F.col("symbol").alias("sym_b"), F.col("lo").alias("lo_b"),
-                      F.col("close").alias("cb"), F.col("ret").alias("rb"))
+    values = ("close", "ret") if returns else ("close",)
+
+    def leg(tag: str) -> DataFrame:
+        return series.select("fold_id", F.col("symbol").alias(f"sym_{tag}"), F.col("lo").alias(f"lo_{tag}"),
+                             *[F.col(v).alias(f"{v}_{tag}") for v in values])
+
+    packed = [f"{v}_{tag}" for v in values for tag in ("a", "b")]
     how = "inner" if folds is None else "left"
-    both = pairs.join(a, ["fold_id", "sym_a"], how).join(b, ["fold_id", "sym_b"], how)
+    both = pairs.join(leg("a"), ["fold_id", "sym_a"], how).join(leg("b"), ["fold_id", "sym_b"], how)
     if folds is None:
         both = both.withColumn("lo", F.col("lo_a"))
     else:
         bounds = folds.select("fold_id", F.col(f"{side}_lo").alias("lo"),
                               (F.col(f"{side}_hi") - F.col(f"{side}_lo") + 1).cast("int").alias("grid"))
         empty = F.array_repeat(F.lit(None).cast("double"), F.col("grid"))
-        both = both.join(bounds, "fold_id").withColumns(
-            {c: F.coalesce(F.col(c), empty) for c in ("ca", "ra", "cb", "rb")})
+        both = both.join(bounds, "fold_id").withColumns({c: F.coalesce(F.col(c), empty) for c in packed})
     keyed = both.repartition(lanes(pairs.sparkSession), *PAIR)
     kept = [F.col(c) for c in pairs.columns]
-    return keyed.select(*kept, "lo", F.posexplode(F.arrays_zip("ca", "ra", "cb", "rb"))).select(
-        *kept, (F.col("lo") + F.col("pos")).alias("bar_seq"),
-        F.col("col.ca").alias("close_a"), F.col("col.cb").alias("close_b"),
-        F.col("col.ra").alias("ret_a"), F.col("col.rb").alias("ret_b"),
-    )
+    return keyed.select(*kept, "lo", F.posexplode(F.arrays_zip(*packed))).select(
+        *kept, (F.col("lo") + F.col("pos")).alias("bar_seq"), *[F.col(f"col.{c}").alias(c) for c in packed])
 
 
 def residual(log_a: Column, log_b: Column, alpha: Column, beta: Column) -> Column:
@@ -85,8 +84,9 @@ def pair_statistics(grid: DataFrame, keys: tuple[str, ...] = PAIR,
     heteroskedasticity statistic (n times R2 of squared residuals on log b).
     """
     rows = aligned_logs(grid).select(*keys, *carry, "bar_seq", "log_a", "log_b")
-    whole = W.partitionBy(*keys)
-    in_time = whole.orderBy("bar_seq")
+    # Both windows are in time order, so that one sort serves them.
+    in_time = W.partitionBy(*keys).orderBy("bar_seq")
+    whole = in_time.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     spreads = (
         rows
         .withColumn("beta", F.regr_slope("log_a", "log_b").over(whole))

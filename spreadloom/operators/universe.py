@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import Eligibility, FoldPlan
+from ..functions.numeric import finite
 from ..staging import gcd
 
 
@@ -16,9 +17,11 @@ def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
     are looked at row by row.
     """
     v = F.col(value)
+    # The filters are spelled out so that both uses of the counts share one shuffle.
     counts = (
-        df.filter(v.isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("copies"))
+        df.filter(v.isNotNull() & F.col(key).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("bucket", (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 64)).cast("bigint"))
+        .filter(F.col("bucket").isNotNull())
     )
     buckets = counts.groupBy(key, "bucket").agg(F.sum("copies").alias("held"))
     up_to = W.partitionBy(key).orderBy("bucket")
@@ -55,7 +58,7 @@ def liquid_symbols(bars: DataFrame, top_n: int = 150,
     if days is not None:
         rows = rows.filter(F.col("day").between(
             F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")))
-    rows = rows.select("symbol", (F.col("close") * F.col("volume")).alias("dollar_vol"))
+    rows = rows.select("symbol", finite(F.col("close") * F.col("volume")).alias("dollar_vol"))
     medians = exact_median(rows, "symbol", "dollar_vol").withColumnRenamed("median", "median_dv")
     top = medians.orderBy(F.desc("median_dv"), "symbol").limit(top_n)
     return top.withColumn(

@@ -46,7 +46,8 @@ def pair_fits(candidates: DataFrame, series: DataFrame) -> DataFrame:
     """Statistics of every candidate pair, with its search scores carried along."""
     blank = {c: F.lit(None).cast("double") for c in SCORES if c not in candidates.columns}
     pairs = candidates.withColumns(blank).select(*PAIR, *SCORES)
-    return with_p_value(pair_statistics(pair_grid(pairs, series), carry=SCORES))
+    return with_p_value(pair_statistics(
+        pair_grid(pairs, series, returns=False), carry=SCORES))
 
 
 def train_sharpes(fits: DataFrame, series: DataFrame, settings: RunSettings) -> DataFrame:
