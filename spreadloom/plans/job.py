@@ -1,6 +1,6 @@
 """Batch job: run the chosen arms over a range of years and save their tables.
 
-    spark-submit … -m spreadloom.plans.job --bars PATH --out PATH \\
+    spark-submit … run_job.py --bars PATH --out PATH \\
         [--arms classic autoencoder gru] [--start 2016] [--end 2025]
 """
 
