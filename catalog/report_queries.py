@@ -141,7 +141,6 @@ def pnl_histogram(spark, sf_dir):
 def correlation_histogram(spark, sf_dir):
     pairs = cr.correlated_pairs(I.weekly_market(spark, sf_dir).train.series,
                                 CorrelationSearch(top_k=None, min_corr=None))
-    # The outermost values are bin borders; a tenth place keeps them inside.
     return rp.histogram(pairs, "train_corr", 80)
 
 
