@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of one Arrow batch. A batch is the unit held in a Python worker, so with long
 #: texts the default of 10,000 rows would not bound its memory.
-BATCH_ROWS = 256
+BATCH_ROWS = 512
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A-Z to a-z and nothing else: str.lower would also touch other letters.

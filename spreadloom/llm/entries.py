@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import personal_data, token_counts
+from . import bpe, line_dedup, personal_data, simhash_dedup, token_counts
 from .common import read_table
 
 QUERIES, CHECKS = {}, {}
@@ -28,3 +28,42 @@ def op9_token_counts(spark, sf_dir):
         read_table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op1_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_STRIPPED = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), " \
+            "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CHECKS["op5_line_dedup"] = f"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS place
+    FROM documents),
+keys AS (SELECT *, {_STRIPPED} AS key FROM lines),
+common AS (
+    SELECT key, max(doc_id) AS keeper FROM keys WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+    SELECT keys.*, common.keeper IS NULL OR common.keeper = doc_id AS stays
+    FROM keys LEFT JOIN common USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE NOT stays))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE stays), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op2_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(coded, path)
