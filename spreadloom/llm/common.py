@@ -46,7 +46,7 @@ _SIMPLE = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleTyp
 def columns(spec: str) -> T.StructType:
     """A schema from "name type, name type[]"; unlike DDL it can be read without a session, in a worker."""
     fields = []
-    for part in spec.split(","):
+    for part in filter(None, spec.split(",")):
         name, kind = part.split()
         kept = _SIMPLE[kind.removesuffix("[]")]
         fields.append(T.StructField(name, T.ArrayType(kept) if kind.endswith("[]") else kept))

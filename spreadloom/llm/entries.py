@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, personal_data, simhash_dedup, token_counts
+from . import bpe, decontamination, line_dedup, personal_data, quality, simhash_dedup, token_counts
 from .common import read_table
 
 QUERIES, CHECKS = {}, {}
@@ -67,3 +67,14 @@ def op2_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return bpe.round_trip_digests(coded, path)
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, quality.fit(docs)).select("doc_id", "quality_score", "kept")
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
