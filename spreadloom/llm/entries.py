@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, personal_data, quality, simhash_dedup, token_counts
+from . import (
+    bpe, decontamination, html_text, line_dedup, passage_dedup, personal_data, quality, simhash_dedup, token_counts)
 from .common import read_table
 
 QUERIES, CHECKS = {}, {}
@@ -78,3 +79,14 @@ def op3_quality_classifier(spark, sf_dir):
 @query
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_html_extraction(spark, sf_dir):
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_substring_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passage_dedup.drop_repeated_passages(docs).drop("text")
