@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -90,3 +91,36 @@ def partitions(df: DataFrame) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def sorted_groups(batches, keys: int, most_rows: int):
+    """(key, slices) of rows that come sorted by their first ``keys`` columns; a longer run comes in several."""
+    held, size, at = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        changes = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        bounds = [0, *changes.tolist(), b.num_rows]
+        for a, z in zip(bounds, bounds[1:]):
+            key = tuple(v[a] for v in values)
+            if held and (key != at or size >= most_rows):
+                yield at, held
+                held, size = [], 0
+            at = key
+            held.append(b.slice(a, z - a))
+            size += z - a
+    if held:
+        yield at, held
+
+
+def numbers(slices: list[pa.RecordBatch], column: int) -> np.ndarray:
+    return np.concatenate([s.column(column).to_numpy(zero_copy_only=False) for s in slices])
+
+
+def vectors(slices: list[pa.RecordBatch], column: int) -> np.ndarray:
+    """A column of equally long lists as unit rows in double precision."""
+    flat = np.concatenate([s.column(column).flatten().to_numpy(zero_copy_only=False) for s in slices]).astype(np.float64)
+    rows = flat.reshape(sum(s.num_rows for s in slices), -1)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares of very large or small numbers stay finite
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))

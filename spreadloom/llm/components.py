@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..staging import stage
 
 
+class Forest:
+    """Union-find over row numbers; tells which links join two trees."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        la, lb = self.label[a], self.label[b]
+        _, first = np.unique(np.minimum(la, lb) * len(self.label) + np.maximum(la, lb), return_index=True)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        for i in first.tolist():
+            x, y = find(int(la[i])), find(int(lb[i]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                self.links.append((int(a[i]), int(b[i])))
+        if root:
+            old, where = np.unique(self.label, return_inverse=True)
+            self.label = np.fromiter((find(int(x)) for x in old), np.int64, len(old))[where]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node's neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

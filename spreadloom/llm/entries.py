@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, decontamination, html_text, line_dedup, passage_dedup, personal_data, quality, simhash_dedup, token_counts)
+    bpe, decontamination, html_text, line_dedup, passage_dedup, personal_data, quality, simhash_dedup, token_counts,
+    vector_dedup)
 from .common import read_table
 
 QUERIES, CHECKS = {}, {}
@@ -90,3 +91,28 @@ def op6_html_extraction(spark, sf_dir):
 def op7_substring_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return passage_dedup.drop_repeated_passages(docs).drop("text")
+
+
+@query
+def op4_vector_dedup(spark, sf_dir):
+    return vector_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+CHECKS["op4_vector_dedup"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""

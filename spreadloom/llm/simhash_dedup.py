@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..staging import stage
 from .common import batch, columns, partitions
-from .components import connected_components
+from .components import Forest, connected_components
 
 SEED = 42
 MAX_DISTANCE = 4
@@ -79,35 +79,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", tex
     return docs.select(id_column, text_column).mapInArrow(run, PRINTS)
 
 
-class _Forest:
-    """Union-find over row numbers; tells which links join two trees."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        la, lb = self.label[a], self.label[b]
-        _, first = np.unique(np.minimum(la, lb) * len(self.label) + np.maximum(la, lb), return_index=True)
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                root[x] = root.get(y, y)
-                x = y
-            return x
-
-        for i in first.tolist():
-            x, y = find(int(la[i])), find(int(lb[i]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                self.links.append((int(a[i]), int(b[i])))
-        if root:
-            old, where = np.unique(self.label, return_inverse=True)
-            self.label = np.fromiter((find(int(x)) for x in old), np.int64, len(old))[where]
-
-
-def _search(start: int, prints: np.ndarray, forest: _Forest, rows: np.ndarray) -> None:
+def _search(start: int, prints: np.ndarray, forest: Forest, rows: np.ndarray) -> None:
     """Chains that begin at segment ``start``, among fingerprints of any groups of that segment."""
     ring = [(start + i) % 5 for i in range(5)]
     masks = [np.uint64(((1 << WIDTHS[s]) - 1) << LOWS[s]) for s in ring]
@@ -151,7 +123,7 @@ def _links(batches):
     held: list[np.ndarray] = []
 
     def flush(block: np.ndarray):
-        forest = _Forest(len(block))
+        forest = Forest(len(block))
         values = block[:, 1].astype(np.int64).view(np.uint64)
         for start in np.unique(block[:, 0] >> 13):
             rows = np.flatnonzero(block[:, 0] >> 13 == start)

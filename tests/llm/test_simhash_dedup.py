@@ -4,9 +4,9 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from spreadloom.llm.components import connected_components
+from spreadloom.llm.components import Forest, connected_components
 from spreadloom.llm.entries import op1_simhash_dedup
-from spreadloom.llm.simhash_dedup import _Forest, _search, fingerprint, near_duplicates, near_links
+from spreadloom.llm.simhash_dedup import _search, fingerprint, near_duplicates, near_links
 
 
 def plain_print(text):
@@ -56,7 +56,7 @@ def spread(seed, centres, copies, flips):
 def test_chains_lose_no_pair():
     for seed, shape in enumerate([(60, 12, 4), (1, 300, 3), (400, 2, 4), (3, 100, 9)]):
         values = spread(seed, *shape)
-        forest = _Forest(len(values))
+        forest = Forest(len(values))
         for start in range(5):
             _search(start, values, forest, np.arange(len(values)))
         near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
