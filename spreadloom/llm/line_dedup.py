@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..staging import stage
 from .bloom import WORDS_LOG2, second_filter, sketch_cells, suspected
-from .common import ASCII_LOWER, batch, columns, extend_rows, own_name
+from .common import batch, columns, extend_rows, own_name
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,18 +35,20 @@ SPACE = " \t\n\x0b\x0c\r"
 HOLDERS = columns("digest binary, doc_id bigint")
 
 
-def line_key(line: str) -> str:
-    key = line.strip(SPACE)
-    # str.lower is far faster than translate, and on ASCII it is the same.
-    return key.lower() if key.isascii() else key.translate(ASCII_LOWER)
+def long_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
+    """The key of a line as UTF-8, or None if it is too short. bytes.lower touches A-Z only."""
+    if len(line) < min_chars or len(line := line.strip(SPACE)) < min_chars:
+        return None
+    return line.encode().lower()
 
 
 def long_keys(text: str | None, min_chars: int = MIN_CHARS) -> list[bytes]:
-    """The distinct long keys of a text, as UTF-8."""
-    if not text:
+    """The distinct long keys of a text."""
+    if not text or len(text) < min_chars:
         return []
-    return list({line_key(line).encode() for line in text.split("\n")
-                 if len(line) >= min_chars and len(line.strip(SPACE)) >= min_chars})
+    keys = {long_key(line, min_chars) for line in text.split("\n")}
+    keys.discard(None)
+    return list(keys)
 
 
 def _hashes(keys: list[bytes]) -> np.ndarray:
@@ -77,7 +79,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
             yield batch(HOLDERS, [digests, ids])
 
     holders = stage(docs.select("doc_id", "text").mapInArrow(suspects, HOLDERS).distinct(), "line-holders")
-    common = holders.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
+    # A table of its own: a join whose sides are both dealt for it can be split where a digest is hot.
+    common = stage(holders.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+                   .filter(F.col("n") >= min_docs).drop("n"), "common-lines")
     return (holders.join(common, "digest").filter("doc_id != keeper")
             .groupBy("doc_id").agg(F.collect_list("digest").alias("digests")))
 
@@ -98,8 +102,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
             counts.append(len(lines))
             if digests:
                 gone = set(digests)
-                lines = [x for x in lines if len(x) < min_chars or len(x.strip(SPACE)) < min_chars
-                         or digest(line_key(x).encode()) not in gone]
+                lines = [x for x in lines if (key := long_key(x, min_chars)) is None or digest(key) not in gone]
             kept.append("\n".join(lines) if digests else text or "")
             dropped.append(counts[-1] - len(lines))
         return None, [kept, counts, dropped]
