@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import (
     bpe, decontamination, html_text, line_dedup, passage_dedup, personal_data, quality, simhash_dedup, token_counts,
     vector_dedup)
@@ -116,3 +118,8 @@ degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
 """
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

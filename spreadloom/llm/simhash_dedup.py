@@ -1,30 +1,38 @@
 """Near-duplicates by SimHash fingerprints, candidates by pigeonring chains.
 
-A fingerprint has 64 bits, cut in a ring of five segments. If two fingerprints differ in
-at most four bits, a ring of five budgets of 4/5 bit each is not exceeded in total, so
-from some segment on every chain stays in budget: no difference in the first segment, at
-most one in the first two, two in three, three in four, four in all. The operator looks
-only for such chains:
-
-1. each distinct fingerprint goes to the five groups (first segment, its bits): five rows
-   of 17 bytes, whatever the number of copies;
-2. in a group, fingerprints whose next segment is equal or differs in one bit are met by
-   binary search among the sorted values, never by trying all pairs of the group;
+A fingerprint has 64 bits, cut in a ring of ``segments``. Two fingerprints that differ in at most
+``distance`` bits do not exceed a ring of equal budgets (distance / segments) in total, so
+from some segment on every chain stays in budget: with five segments and four bits no difference in
+the first, at most one in the first two, two in three, three in four, four in all. Only such
+chains are looked for:
+
+1. each distinct fingerprint goes to the groups (first segment, its bits), one row for each
+   segment, whatever the number of copies;
+2. in a group, fingerprints whose next segments stay in budget are met by binary search
+   among the sorted values, one search for each way to differ, never by trying all pairs;
 3. the remaining chain sums prune, the full Hamming distance confirms;
 4. pairs that are already connected inside the task are passed over, so a task returns at
    most one link per fingerprint it holds: a forest, from which alternating stars make the components.
 
-A group holds distinct fingerprints only, 8 bytes each: a group of copies, however large,
-is one. Near copies share a group only as far as their fingerprints differ.
+A group holds distinct fingerprints only, so a group of copies, however large, is one row.
+A group of more than ``GROUP_ROWS`` is cut in blocks, and each two blocks meet in a task of their own.
+
+``near_duplicates`` links by the fingerprint alone. ``similar_documents`` is for a similarity of word
+shingles, which 64 bits measure too coarsely: the ring searches two fingerprints, of the set of
+words and of the set of word pairs, within eight bits each, and 256 bits over the five-word shingles confirm. Of two documents of similarity
+0.8 they differ in 39 bits on average, with a deviation of 6, and of unrelated ones in 128; the limit is 50.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and
 is linked like any other; a row with a null id gets a fingerprint and the component of
 its group, whose id is the smallest id that is not null; repeated ids and rows are rows
-of their own; extra columns are ignored; an empty table gives no rows.
+of their own; extra columns are ignored; an empty table gives no rows. ``drop_similar`` keeps all
+columns; a row with a null id stays, and rows that repeat an id stay or go together.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -34,16 +42,45 @@ from .common import batch, columns, partitions
 from .components import Forest, connected_components
 
 SEED = 42
-MAX_DISTANCE = 4
-WIDTHS = (13, 13, 13, 13, 12)
-LOWS = (51, 38, 25, 12, 0)
-#: Pairs held at once while a group is searched, and rows at which complete groups are searched.
-PAIR_BLOCK, ROW_BLOCK = 1 << 17, 1 << 16
+#: Pairs held at once while a group is searched, rows at which complete groups are searched, most rows of a group.
+PAIR_BLOCK, ROW_BLOCK, GROUP_ROWS = 1 << 17, 1 << 16, 1 << 20
 
 PRINTS = columns("doc_id bigint, print bigint")
+WIDE_PRINTS = columns("doc_id bigint, word_print bigint, pair_print bigint, fine binary")
 LINKS = columns("a bigint, b bigint")
 
 
+class Ring:
+    """Segments of 64 bits, their budgets, and how many of a chain are looked up at once."""
+
+    def __init__(self, distance: int, segments: int, looked_up: int):
+        assert distance < segments  # the first segment of a chain then has no difference
+        self.distance, self.n = distance, segments
+        cuts = [64 * i // segments for i in range(segments + 1)]
+        self.widths = [b - a for a, b in zip(cuts, cuts[1:])]
+        self.lows = [64 - b for b in cuts[1:]]
+        self.budgets = [length * distance // segments for length in range(1, segments + 1)]
+        self.looked_up = looked_up
+
+    def chain(self, start: int) -> list[tuple[int, int]]:
+        """(lowest bit, width) of the segments from ``start`` on."""
+        at = [(start + i) % self.n for i in range(self.n)]
+        return [(self.lows[i], self.widths[i]) for i in at]
+
+    def ways(self, start: int) -> list[int]:
+        """Every difference of the looked up part that stays in budget, as bits of the part's key."""
+        found = [(0, 0)]
+        for (_, width), budget in list(zip(self.chain(start), self.budgets))[1:self.looked_up]:
+            single = [0] + [sum(1 << b for b in bits) for k in range(1, budget + 1) for bits in combinations(range(width), k)]
+            found = [(way << width | x, used + x.bit_count()) for way, used in found for x in single if used + x.bit_count() <= budget]
+        return [way for way, _ in found]
+
+
+EXACT = Ring(4, 5, 2)
+WIDE = Ring(8, 10, 3)
+FINE_BITS, FINE_DISTANCE = 256, 50
+
+
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 of every shingle of ``words`` words, repeats included; of the whole sequence if it is shorter."""
     # bytes.lower touches A-Z only, bytes.split cuts at \x20 and \x09-\x0D only.
@@ -58,14 +95,34 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
                         for a, z in zip(starts[:n - k + 1].tolist(), ends[k - 1:].tolist())), np.uint64, n - k + 1)
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half the hashes, as 64-bit words; ``hashes`` has a row each."""
+    rows = hashes.reshape(len(hashes), -1).astype("<u8")
+    ones = np.zeros(64 * rows.shape[1], np.int64)
+    for i in range(0, len(rows), 1 << 14):
+        part = np.unpackbits(rows[i:i + (1 << 14)].view(np.uint8), axis=1, bitorder="little")
+        ones += part.sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * ones > len(rows)).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     hashes = shingle_hashes(text, words)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i:i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(majority(hashes)[0]) if len(hashes) else 0
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, int, bytes]:
+    """64 bits over the set of words, 64 over the set of word pairs, and ``FINE_BITS`` over the shingles."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0, 0, bytes(FINE_BITS // 8)
+    fine = []
+    for i in range(FINE_BITS // 64):  # the finishing steps of SplitMix64 on shifted values
+        x = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        fine.append(x ^ (x >> np.uint64(31)))
+    coarse = (int(majority(np.unique(shingle_hashes(text, n)))[0]) for n in (1, 2))
+    return *coarse, majority(np.stack(fine, axis=1)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -79,25 +136,24 @@ def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", tex
     return docs.select(id_column, text_column).mapInArrow(run, PRINTS)
 
 
-def _search(start: int, prints: np.ndarray, forest: Forest, rows: np.ndarray) -> None:
-    """Chains that begin at segment ``start``, among fingerprints of any groups of that segment."""
-    ring = [(start + i) % 5 for i in range(5)]
-    masks = [np.uint64(((1 << WIDTHS[s]) - 1) << LOWS[s]) for s in ring]
-    first = (prints & masks[0]) >> np.uint64(LOWS[ring[0]])
-    second = (prints & masks[1]) >> np.uint64(LOWS[ring[1]])
-    width = WIDTHS[ring[1]]
-    key = (first << np.uint64(width)) | second
+def search(start: int, prints: np.ndarray, forest: Forest, rows: np.ndarray, ring: Ring, fine: np.ndarray | None = None) -> None:
+    """Chains that begin at segment ``start``, among fingerprints of any groups of that segment.
+
+    ``rows`` are the fingerprints' numbers in the forest, ``fine`` their confirming bits by row number.
+    """
+    chain = ring.chain(start)
+    key = np.zeros(len(prints), np.uint64)
+    for low, width in chain[:ring.looked_up]:
+        key = key << np.uint64(width) | (prints >> np.uint64(low)) & np.uint64((1 << width) - 1)
+    masks = [np.uint64(((1 << width) - 1) << low) for low, width in chain]
     order = np.argsort(key, kind="stable")
     key, prints, rows = key[order], prints[order], rows[order]
     here = np.arange(len(key))
-    for bit in (0, *(1 << i for i in range(width))):
-        other = key ^ np.uint64(bit)
-        low = np.searchsorted(key, other, "left")
+    for way in ring.ways(start):
+        other = key ^ np.uint64(way)
         high = np.searchsorted(key, other, "right")
-        if bit == 0:
-            low = here + 1  # each pair once: only what stands behind
-        else:
-            low = np.where(other > key, low, high)
+        # Each pair once: only what stands behind.
+        low = here + 1 if way == 0 else np.where(other > key, np.searchsorted(key, other, "left"), high)
         n = np.maximum(high - low, 0)
         total = np.concatenate(([0], np.cumsum(n)))
         for at in range(0, int(total[-1]), PAIR_BLOCK):
@@ -107,67 +163,109 @@ def _search(start: int, prints: np.ndarray, forest: Forest, rows: np.ndarray) ->
             b = low[a] + np.arange(at, stop) - total[a]
             apart = forest.label[rows[a]] != forest.label[rows[b]]
             a, b = a[apart], b[apart]
-            differs = prints[a] ^ prints[b]
-            so_far = np.bitwise_count(differs & (masks[0] | masks[1])).astype(np.int64)
-            good = so_far <= 1
-            for step, budget in ((2, 2), (3, 3), (4, 4)):  # floor(length * 4 / 5)
-                so_far += np.bitwise_count(differs & masks[step])
-                good &= so_far <= budget
-            good &= np.bitwise_count(differs) <= MAX_DISTANCE
-            if good.any():
-                forest.add(rows[a[good]], rows[b[good]])
-
-
-def _links(batches):
-    """Forest links of sorted (segment, bits, print) rows; groups are kept whole."""
-    held: list[np.ndarray] = []
-
-    def flush(block: np.ndarray):
-        forest = Forest(len(block))
-        values = block[:, 1].astype(np.int64).view(np.uint64)
-        for start in np.unique(block[:, 0] >> 13):
-            rows = np.flatnonzero(block[:, 0] >> 13 == start)
-            _search(int(start), values[rows], forest, rows)
+            differs, so_far = prints[a] ^ prints[b], np.zeros(len(a), np.int64)
+            for mask, budget in zip(masks, ring.budgets):
+                so_far += np.bitwise_count(differs & mask)
+                good = so_far <= budget
+                if not good.all():
+                    a, b, differs, so_far = a[good], b[good], differs[good], so_far[good]
+            if fine is not None and len(a):
+                good = np.bitwise_count(fine[rows[a]] ^ fine[rows[b]]).sum(axis=1) <= FINE_DISTANCE
+                a, b = a[good], b[good]
+            if len(a):
+                forest.add(rows[a], rows[b])
+
+
+def _links(ring: Ring, with_fine: bool):
+    """Forest links of sorted (group, print, node[, fine]) rows; groups are kept whole."""
+    def flush(blocks):
+        group, prints, node = (np.concatenate(x) for x in list(zip(*blocks))[:3])
+        fine = np.concatenate([b[3] for b in blocks]) if with_fine else None
+        forest = Forest(len(node))
+        prints = prints.view(np.uint64)
+        # Equal numbers of a segment stand together; blocks of one group are searched apart.
+        segment = (group >> 32) // (1 << 16)
+        part = group & 0xFFFFFFFF
+        for start, own in np.unique(np.stack([segment, part], axis=1), axis=0).tolist():
+            rows = np.flatnonzero((segment == start) & (part == own))
+            search(start, prints[rows], forest, rows, ring, fine)
         if forest.links:
             ends = np.array(forest.links)
-            yield batch(LINKS, [block[ends[:, 0], 1], block[ends[:, 1], 1]])
-
-    size = 0
-    for b in batches:
-        held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1))
-        size += len(held[-1])
-        if size >= ROW_BLOCK:
-            block = np.concatenate(held)
-            cut = int(np.searchsorted(block[:, 0], block[-1, 0], "left"))
-            if cut:
-                yield from flush(block[:cut])
-            held, size = [block[cut:]], 0 if cut else -len(block)  # a large group waits for its end
-    if held:
-        block = np.concatenate(held)
-        if len(block):
-            yield from flush(block)
-
-
-def near_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints of at most four differing bits, enough to connect all that are.
-
-    ``prints``: distinct values in a column ``print``.
+            return batch(LINKS, [node[ends[:, 0]], node[ends[:, 1]]])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            row = [b.column(i).to_numpy() for i in range(3)]
+            if with_fine:
+                row.append(np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(-1, FINE_BITS // 64))
+            held.append(row)
+            size += b.num_rows
+            if size >= ROW_BLOCK:
+                whole = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+                if cut and (links := flush([[x[:cut] for x in whole]])) is not None:
+                    yield links
+                held = [[x[cut:] for x in whole]]
+                size = 0 if cut else -len(whole[0])  # a large group waits for its end
+        if held and sum(len(x[0]) for x in held) and (links := flush(held)) is not None:
+            yield links
+
+    return run
+
+
+def near_links(prints: DataFrame, ring: Ring = EXACT) -> DataFrame:
+    """Links (a, b) between nodes of near fingerprints, enough to connect all that are linked.
+
+    ``prints``: columns node and print, no pair of nodes with all bits alike, and fine if that must agree too.
     """
+    with_fine = ["fine"] if "fine" in prints.columns else []
     groups = F.array(*[
-        (F.lit(i << 13) + F.shiftrightunsigned("print", LOWS[i]).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1)))
-        for i in range(5)])
-    return (prints.filter("print IS NOT NULL").select(F.explode(groups).alias("chain"), "print")
-            .repartition(partitions(prints), "chain").sortWithinPartitions("chain").mapInArrow(_links, LINKS))
+        F.lit(i << 16) + F.shiftrightunsigned("print", ring.lows[i]).bitwiseAND(F.lit((1 << ring.widths[i]) - 1))
+        for i in range(ring.n)])
+    rows = prints.filter("node IS NOT NULL").select(F.explode(groups).alias("chain"), "print", "node", *with_fine)
+    sizes = rows.groupBy("chain").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                        lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other))
+    dealt = rows.join(sizes, "chain").select("chain", F.explode(meets).alias("part"), "print", "node", *with_fine).withColumn(
+        "group", F.shiftleft(F.col("chain").cast("bigint"), 32) + F.col("part")).select("group", "print", "node", *with_fine)
+    return (dealt.repartition(partitions(prints), "group").sortWithinPartitions("group")
+            .mapInArrow(_links(ring, bool(with_fine)), LINKS))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) for every row of ``docs``."""
     prints = stage(fingerprints(docs, words, id_column, text_column), "prints")
     kinds = stage(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    groups = connected_components(near_links(kinds))
+    groups = connected_components(near_links(kinds.select(F.col("print").alias("node"), "print")))
     label = F.coalesce("component", "print")
     kinds = kinds.join(groups.withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", label.alias("label"))
     least = kinds.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_print = kinds.join(least, "label").select("print", "component_id")
     return prints.join(of_print, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents whose shingles of ``words`` words have a similarity of about 0.8 or more, by components."""
+    def run(batches):
+        for b in batches:
+            each = [wide_fingerprint(t, words) for t in b.column(1).to_pylist()]
+            coarse = [np.array([e[i] for e in each], np.uint64).view(np.int64) for i in (0, 1)]
+            yield batch(WIDE_PRINTS, [b.column(0).cast("int64"), *coarse, [e[2] for e in each]])
+
+    bits = ["word_print", "pair_print", "fine"]
+    prints = stage(docs.filter(F.col(id_column).isNotNull()).select(id_column, text_column).mapInArrow(run, WIDE_PRINTS), "prints")
+    kinds = stage(prints.groupBy(bits).agg(F.min("doc_id").alias("node")), "distinct-prints")
+    links = [near_links(kinds.select("node", F.col(c).alias("print"), "fine"), WIDE) for c in bits[:2]]
+    groups = connected_components(links[0].unionByName(links[1]))
+    of_kind = stage(kinds.join(groups, "node", "left").select(*bits, F.coalesce("component", "node").alias("component_id")), "print-components")
+    return prints.join(of_kind, bits).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, without those that a smaller id of their component stands for."""
+    extra = (similar_documents(docs, words, id_column, text_column).filter("doc_id != component_id")
+             .select(F.col("doc_id").alias("copied_id")).distinct())
+    return docs.join(extra, docs[id_column].cast("bigint") == extra.copied_id, "left_anti")

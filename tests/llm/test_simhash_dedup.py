@@ -1,12 +1,17 @@
 """SimHash fingerprints, chain search and components against brute force."""
 
+import random
+
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
 from spreadloom.llm.components import Forest, connected_components
 from spreadloom.llm.entries import op1_simhash_dedup
-from spreadloom.llm.simhash_dedup import _search, fingerprint, near_duplicates, near_links
+from spreadloom.llm.simhash_dedup import (
+    EXACT, GROUP_ROWS, WIDE, Ring, drop_similar, fingerprint, near_duplicates, near_links, search, similar_documents)
+from spreadloom.llm import simhash_dedup
 
 
 def plain_print(text):
@@ -53,13 +58,14 @@ def spread(seed, centres, copies, flips):
     return np.unique(np.array(out, np.uint64))
 
 
-def test_chains_lose_no_pair():
+@pytest.mark.parametrize("ring", [EXACT, WIDE, Ring(2, 3, 1), Ring(6, 7, 3)])
+def test_chains_lose_no_pair(ring):
     for seed, shape in enumerate([(60, 12, 4), (1, 300, 3), (400, 2, 4), (3, 100, 9)]):
         values = spread(seed, *shape)
         forest = Forest(len(values))
-        for start in range(5):
-            _search(start, values, forest, np.arange(len(values)))
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
+        for start in range(ring.n):
+            search(start, values, forest, np.arange(len(values)), ring)
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= ring.distance
         want = roots(range(len(values)), [tuple(x) for x in np.argwhere(near)])
         got = roots(range(len(values)), forest.links)
         assert got == want
@@ -67,9 +73,11 @@ def test_chains_lose_no_pair():
         assert len(forest.links) < len(values)
 
 
-def test_links_of_a_large_group_stay_a_forest(spark):
+@pytest.mark.parametrize("most", [GROUP_ROWS, 50])
+def test_links_of_a_large_group_stay_a_forest(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", most)
     values = spread(7, 2, 900, 2).view(np.int64)
-    prints = spark.createDataFrame([(int(v),) for v in values], "print long")
+    prints = spark.createDataFrame([(int(v), int(v)) for v in values], "node long, print long")
     links = [(r.a, r.b) for r in near_links(prints).collect()]
     got = roots(values.tolist(), links)
     unsigned = values.view(np.uint64)
@@ -103,3 +111,24 @@ def test_query_against_brute_force(spark, sf_dir):
     want = roots(ids, [(ids[a], ids[b]) for a, b in near])
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op1_simhash_dedup(spark, sf_dir).collect()}
     assert got == {i: (f"{int(p):016x}", want[i]) for i, p in zip(ids, prints)}
+
+
+def test_similar_documents_are_grouped_and_others_left(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(3000)] + ["the", "of", "and"] * 400
+    docs, want = [], {}
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(120, 400))]
+        for c in range(5 if g < 20 else 1):
+            copy = list(base)
+            for _ in range(c * len(base) // 350):  # each edit changes five shingles: similarity stays over 0.88
+                copy[rng.randrange(len(copy))] = "edited"
+            want[len(docs)] = len(docs) - c
+            docs.append((len(docs), " ".join(copy), "x"))
+    df = spark.createDataFrame(docs + [(None, "alone", "y"), (900, "", "z"), (901, None, "z")], "doc_id long, text string, print string")
+    got = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
+    assert got == {**want, 900: 900, 901: 900}
+    kept = drop_similar(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {*want.values(), None, 900}
+    assert drop_similar(df.limit(0)).count() == 0
