@@ -11,15 +11,15 @@ two weeks. The number of symbols grows with the data.
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import replace
 from functools import partial
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from spreadloom.config import (
-    AutoencoderSpec, CorrelationSearch, Eligibility, FoldPlan, GruSpec, MarketClock,
-    NeighbourSearch, RunSettings, TradeRule, TrainerSpec)
-from spreadloom.operators.autoregression import effective_lookback
+    Eligibility, FoldPlan, GruSpec, MarketClock, RunSettings, TradeRule)
+from spreadloom.operators.autoregression import ar_fits
 from spreadloom.operators.correlation import correlated_pairs
 from spreadloom.operators.panel import build_panel, grid_calendar
 from spreadloom.operators.reports import union_arms
@@ -29,28 +29,26 @@ from spreadloom.plans import selection
 from spreadloom.staging import side_by_side, stage
 
 SPAN_WEEKS = 20
-COEF_CUTOFF = 0.2
+# Two lags, so that SQL can give the fit in closed form.
+SHORT_AR = GruSpec(max_lags=2, ar_cutoff=0.1)
 WEEK_CLOCK = MarketClock(zone="UTC", open_time="none", bars_per_year=52)
 WEEK_FOLDS = FoldPlan(train_days=104, test_days=26, roll_days=26)
-TRAINER = TrainerSpec(epochs=4, batch_size=256, patience=3)
 
 WEEKLY = RunSettings(
     clock=WEEK_CLOCK,
     folds=WEEK_FOLDS,
     rule=TradeRule(z_entry=1.5, z_exit=0.5, z_stop=2.5),
-    eligibility=Eligibility(top_n_liquid=60, max_pairs=20),
-    correlation=CorrelationSearch(top_k=100, min_corr=0.5),
-    autoencoder=AutoencoderSpec(trainer=TRAINER, neighbours=NeighbourSearch(k=8, cap=100)),
-    gru=GruSpec(hidden=16, trainer=TRAINER, neighbours=NeighbourSearch(k=8, cap=100)),
 )
 
+# The same without a cap on the universe, for operators whose feature is not the cap.
+OPEN = replace(WEEKLY, eligibility=replace(WEEKLY.eligibility, top_n_liquid=None))
+
 WEEKLY_BASELINE = RunSettings(
     clock=WEEK_CLOCK,
     folds=WEEK_FOLDS,
     rule=TradeRule(z_entry=1.5, z_exit=0.5, z_stop=2.5, full_window=True),
-    eligibility=Eligibility(top_n_liquid=60, min_coverage=0.98, bp_strict=True,
+    eligibility=Eligibility(min_coverage=0.98, bp_strict=True,
                             half_life_min=2.0, rank_by="half_life"),
-    correlation=CorrelationSearch(top_k=100, min_corr=0.5),
 )
 
 EVENT_CLOCK = MarketClock()
@@ -162,6 +160,12 @@ def weekly_market(spark, sf_dir):
                     weekly_panel(spark, sf_dir), WEEKLY, calendar=weekly_grid(spark, sf_dir)))
 
 
+def open_weekly_market(spark, sf_dir):
+    """The weekly market with every covered symbol in its universe."""
+    return once(spark, sf_dir, "open_market", lambda: open_market(
+        weekly_panel(spark, sf_dir), OPEN, calendar=weekly_grid(spark, sf_dir)))
+
+
 def baseline_market(spark, sf_dir):
     return once(spark, sf_dir, "baseline_market", lambda: open_market(
         weekly_panel(spark, sf_dir), WEEKLY_BASELINE, liquid_first=True,
@@ -184,16 +188,16 @@ def baseline_arm(spark, sf_dir):
         baseline_market(spark, sf_dir), selection.correlation_selector(WEEKLY_BASELINE), "baseline"))
 
 
-def window_vectors(spark, sf_dir) -> DataFrame:
+def window_vectors(market) -> DataFrame:
     """Symbol vectors without a network: the unit-length mean return window."""
-    windows = tumbling_windows(weekly_market(spark, sf_dir).train.series, WEEKLY.autoencoder)
+    windows = tumbling_windows(market.train.series, WEEKLY.autoencoder)
     return pool_codes(windows.withColumnRenamed("x", "code"), WEEKLY.autoencoder.min_windows, False)
 
 
 def vector_arm(spark, sf_dir):
     def select(train):
         return selection.select_by_vectors(
-            window_vectors(spark, sf_dir), train, WEEKLY, WEEKLY.autoencoder.neighbours)
+            window_vectors(weekly_market(spark, sf_dir)), train, WEEKLY, WEEKLY.autoencoder.neighbours)
 
     return once(spark, sf_dir, "vector_arm",
                 lambda: run_arm(weekly_market(spark, sf_dir), select, "window_mean"))
@@ -232,14 +236,14 @@ def all_aggregates(spark, sf_dir) -> DataFrame:
     return union_arms([a.aggregate for a in three_arms(spark, sf_dir)])
 
 
-def classic_candidates(spark, sf_dir) -> DataFrame:
-    return once(spark, sf_dir, "classic_candidates", lambda: stage(correlated_pairs(
-        weekly_market(spark, sf_dir).train.series, WEEKLY.correlation), "candidates"))
+def open_candidates(spark, sf_dir) -> DataFrame:
+    return once(spark, sf_dir, "open_candidates", lambda: stage(correlated_pairs(
+        open_weekly_market(spark, sf_dir).train.series, OPEN.correlation), "candidates"))
 
 
-def classic_fits(spark, sf_dir) -> DataFrame:
-    return once(spark, sf_dir, "classic_fits", lambda: stage(selection.pair_fits(
-        classic_candidates(spark, sf_dir), weekly_market(spark, sf_dir).train.series), "fits"))
+def open_fits(spark, sf_dir) -> DataFrame:
+    return once(spark, sf_dir, "open_fits", lambda: stage(selection.pair_fits(
+        open_candidates(spark, sf_dir), open_weekly_market(spark, sf_dir).train.series), "fits"))
 
 
 def labelled_vectors(spark, sf_dir) -> DataFrame:
@@ -249,8 +253,7 @@ def labelled_vectors(spark, sf_dir) -> DataFrame:
         F.format_string("V%07d", "vec_id").alias("symbol"), "embedding")
 
 
-def labelled_fits(spark, sf_dir) -> DataFrame:
-    """The first fifteen numbers of each embedding taken as AR coefficients."""
-    coefs = F.transform(F.slice("embedding", 1, 15), lambda c: c.cast("double"))
-    return labelled_vectors(spark, sf_dir).select("fold_id", "symbol", coefs.alias("coefs")).withColumn(
-        "lookback", effective_lookback(F.col("coefs"), COEF_CUTOFF))
+def short_fits(spark, sf_dir) -> DataFrame:
+    """AR fits of two lags for every fold and symbol."""
+    return once(spark, sf_dir, "short_fits", lambda: stage(
+        ar_fits(open_weekly_market(spark, sf_dir).train.series, SHORT_AR), "ar-fits"))

@@ -11,7 +11,7 @@ import re
 
 from spreadloom.config import RunSettings
 
-from .inputs import EVENTS, SPAN_WEEKS, WEEKLY, WEEKLY_BASELINE
+from .inputs import OPEN, EVENTS, SPAN_WEEKS, WEEKLY, WEEKLY_BASELINE
 
 TABLES: dict[str, str] = {}
 
@@ -325,6 +325,7 @@ FROM {p}_scored QUALIFY rank <= {e.max_pairs}""")
 
 
 market("w", "w_bars", WEEKLY)
+market("o", "w_bars", OPEN, shared="w")
 market("e", "e_bars", EVENTS)
 market("b", "w_bars", WEEKLY_BASELINE, liquid_first=True, shared="w")
 
@@ -333,37 +334,54 @@ fits("c", "w_cand", "w_train", WEEKLY)
 in_sample("c", "w_train", WEEKLY)
 trading("c", "classic", "w", WEEKLY)
 
+correlation("o", OPEN)
+fits("oc", "o_cand", "o_train", OPEN)
+
 correlation("b", WEEKLY_BASELINE)
 fits("h", "b_cand", "b_train", WEEKLY_BASELINE)
 in_sample("h", "b_train", WEEKLY_BASELINE)
 trading("h", "baseline", "w", WEEKLY_BASELINE)
 
 # ---- an arm on given vectors: the mean tumbling window of each symbol ----
-define("w_pos", """
+def windows(p: str) -> None:
+    """Tables <p>_pos, _windows, _mean and _vec of <p>_train."""
+    spec = WEEKLY.autoencoder
+    define(f"{p}_pos", f"""
 SELECT fold_id, symbol, ret, bar_seq - min(bar_seq) OVER (PARTITION BY fold_id, symbol) AS pos,
-       count(*) OVER (PARTITION BY fold_id, symbol) AS n FROM w_train""")
-define("w_windows", f"""
-SELECT fold_id, symbol, (pos // {WEEKLY.autoencoder.seq_len})::INTEGER AS window_id,
+       count(*) OVER (PARTITION BY fold_id, symbol) AS n FROM {p}_train""")
+    define(f"{p}_windows", f"""
+SELECT fold_id, symbol, (pos // {spec.seq_len})::INTEGER AS window_id,
        list(coalesce(ret, 0.0) ORDER BY pos) AS x
-FROM w_pos WHERE pos < n // {WEEKLY.autoencoder.seq_len} * {WEEKLY.autoencoder.seq_len}
-GROUP BY 1, 2, 3 HAVING count(ret) * 1.0 / {WEEKLY.autoencoder.seq_len} >= {WEEKLY.autoencoder.min_valid_share}""")
-define("w_mean", """
+FROM {p}_pos WHERE pos < n // {spec.seq_len} * {spec.seq_len}
+GROUP BY 1, 2, 3 HAVING count(ret) * 1.0 / {spec.seq_len} >= {spec.min_valid_share}""")
+    define(f"{p}_mean", f"""
 SELECT fold_id, symbol, i, avg(v) AS v, count(*) AS n
-FROM (SELECT fold_id, symbol, unnest(x) AS v, unnest(range(12)) AS i FROM w_windows) GROUP BY 1, 2, 3""")
-define("w_vec", f"""
+FROM (SELECT fold_id, symbol, unnest(x) AS v, unnest(range(12)) AS i FROM {p}_windows) GROUP BY 1, 2, 3""")
+    define(f"{p}_vec", f"""
 SELECT fold_id, symbol, i, v / sqrt(sum(v * v) OVER (PARTITION BY fold_id, symbol)) AS v
-FROM w_mean WHERE n >= {WEEKLY.autoencoder.min_windows}""")
-define("v_dist", """
+FROM {p}_mean WHERE n >= {spec.min_windows}""")
+
+
+def neighbours(p: str, vectors: str) -> None:
+    """Tables <p>_dist, _near and _cand of the symbol vectors."""
+    search = WEEKLY.autoencoder.neighbours
+    define(f"{p}_dist", f"""
 SELECT a.fold_id, a.symbol, b.symbol AS neighbour, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS distance
-FROM w_vec a JOIN w_vec b ON a.fold_id = b.fold_id AND a.i = b.i AND a.symbol <> b.symbol GROUP BY 1, 2, 3""")
-define("v_near", f"""
-SELECT * FROM v_dist QUALIFY row_number() OVER (PARTITION BY fold_id, symbol ORDER BY distance, neighbour)
-  <= {WEEKLY.autoencoder.neighbours.k}""")
-define("v_cand", f"""
+FROM {vectors} a JOIN {vectors} b ON a.fold_id = b.fold_id AND a.i = b.i AND a.symbol <> b.symbol GROUP BY 1, 2, 3""")
+    define(f"{p}_near", f"""
+SELECT * FROM {p}_dist QUALIFY row_number() OVER (PARTITION BY fold_id, symbol ORDER BY distance, neighbour)
+  <= {search.k}""")
+    define(f"{p}_cand", f"""
 SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY emb_distance, sym_a, sym_b) AS cand_rank
 FROM (SELECT fold_id, least(symbol, neighbour) AS sym_a, greatest(symbol, neighbour) AS sym_b,
-             min(distance) AS emb_distance FROM v_near GROUP BY 1, 2, 3)
-QUALIFY cand_rank <= {WEEKLY.autoencoder.neighbours.cap}""")
+             min(distance) AS emb_distance FROM {p}_near GROUP BY 1, 2, 3)
+QUALIFY cand_rank <= {search.cap}""")
+
+
+windows("w")
+windows("o")
+neighbours("v", "w_vec")
+neighbours("ov", "o_vec")
 fits("v", "v_cand", "w_train", WEEKLY)
 in_sample("v", "w_train", WEEKLY)
 trading("v", "window_mean", "w", WEEKLY)

@@ -20,8 +20,8 @@ FITS = f"{PAIR} n_rows:i alpha:d beta:d mu:d sigma:d half_life:d bp_stat:d bp_pv
 
 
 def _train_grid(spark, sf_dir):
-    pairs = I.classic_candidates(spark, sf_dir)
-    return ps.pair_grid(pairs.select(*ps.PAIR), I.weekly_market(spark, sf_dir).train.series)
+    pairs = I.open_candidates(spark, sf_dir)
+    return ps.pair_grid(pairs.select(*ps.PAIR), I.open_weekly_market(spark, sf_dir).train.series, returns=False)
 
 
 def _test_grid(spark, sf_dir, arm=None):
@@ -32,21 +32,21 @@ def _test_grid(spark, sf_dir, arm=None):
 
 
 @query(f"{PAIR} bar_seq:i log_a:d log_b:d",
-       "SELECT fold_id, sym_a, sym_b, bar_seq, la AS log_a, lb AS log_b FROM c_legs")
+       "SELECT fold_id, sym_a, sym_b, bar_seq, la AS log_a, lb AS log_b FROM oc_legs")
 def aligned_pair_bars(spark, sf_dir):
     return ps.aligned_logs(_train_grid(spark, sf_dir))
 
 
-@query(f"{PAIR} rank_a:i rank_b:i train_corr:d n_obs:i", "SELECT * FROM w_corr")
+@query(f"{PAIR} rank_a:i rank_b:i train_corr:d n_obs:i", "SELECT * FROM o_corr")
 def all_pair_correlations(spark, sf_dir):
     # Tiles smaller than the universe, so that the check crosses tile borders.
-    return cr.correlated_pairs(I.weekly_market(spark, sf_dir).train.series,
+    return cr.correlated_pairs(I.open_weekly_market(spark, sf_dir).train.series,
                                CorrelationSearch(top_k=None, min_corr=None), tile=16)
 
 
-@query(f"{PAIR} train_corr:d n_obs:i cand_rank:i", "SELECT * FROM w_cand")
+@query(f"{PAIR} train_corr:d n_obs:i cand_rank:i", "SELECT * FROM o_cand")
 def correlation_candidates(spark, sf_dir):
-    return cr.correlated_pairs(I.weekly_market(spark, sf_dir).train.series, I.WEEKLY.correlation)
+    return cr.correlated_pairs(I.open_weekly_market(spark, sf_dir).train.series, I.OPEN.correlation)
 
 
 @query(f"{PAIR} train_corr:d n_obs:i", """
@@ -60,42 +60,43 @@ def intraday_correlations(spark, sf_dir):
                                CorrelationSearch(top_k=None, min_corr=None))
 
 
-@query(f"{PAIR} n_rows:i alpha:d beta:d", "SELECT * FROM c_ols")
+@query(f"{PAIR} n_rows:i alpha:d beta:d", "SELECT * FROM oc_ols")
 def hedge_ratios(spark, sf_dir):
     return ps.hedge_ratios(_train_grid(spark, sf_dir))
 
 
-@query(f"{PAIR} n_rows:i alpha:d beta:d mu:d sigma:d", "SELECT * FROM c_fits")
+@query(f"{PAIR} n_rows:i alpha:d beta:d mu:d sigma:d", "SELECT * FROM oc_fits")
 def pair_parameters(spark, sf_dir):
     return ps.pair_statistics(_train_grid(spark, sf_dir))
 
 
-@query(f"{PAIR} half_life:d", "SELECT * FROM c_fits")
+@query(f"{PAIR} half_life:d", "SELECT * FROM oc_fits")
 def half_lives(spark, sf_dir):
     return ps.pair_statistics(_train_grid(spark, sf_dir))
 
 
-@query(f"{PAIR} bp_stat:d bp_pval:d", "SELECT * FROM c_fits")
+@query(f"{PAIR} bp_stat:d bp_pval:d", "SELECT * FROM oc_fits")
 def heteroskedasticity_test(spark, sf_dir):
     return ps.with_p_value(ps.pair_statistics(_train_grid(spark, sf_dir)))
 
 
-@query(FITS, "SELECT * FROM c_ok")
+@query(FITS, "SELECT * FROM oc_ok")
 def eligible_pairs(spark, sf_dir):
-    return ps.eligible_pairs(I.classic_fits(spark, sf_dir), I.WEEKLY.eligibility)
+    return ps.eligible_pairs(I.open_fits(spark, sf_dir), I.OPEN.eligibility)
 
 
 @query(FITS, """
-SELECT * FROM c_fits WHERE beta > 0 AND bp_pval > 0.05 AND half_life BETWEEN 3 AND 150 AND sigma >= 0.005""")
+SELECT * FROM oc_fits WHERE beta > 0 AND bp_pval > 0.05 AND half_life BETWEEN 3 AND 150 AND sigma >= 0.005""")
 def eligible_pairs_strict(spark, sf_dir):
-    rule = replace(I.WEEKLY.eligibility, bp_strict=True, half_life_min=3.0)
-    return ps.eligible_pairs(I.classic_fits(spark, sf_dir), rule)
+    rule = replace(I.OPEN.eligibility, bp_strict=True, half_life_min=3.0)
+    return ps.eligible_pairs(I.open_fits(spark, sf_dir), rule)
 
 
 @query(f"{PAIR} train_sharpe:d", "SELECT * FROM c_scored")
 def train_sharpes(spark, sf_dir):
-    fits = ps.eligible_pairs(I.classic_fits(spark, sf_dir), I.WEEKLY.eligibility)
-    return sl.train_sharpes(fits, I.weekly_market(spark, sf_dir).train.series, I.WEEKLY)
+    series = I.weekly_market(spark, sf_dir).train.series
+    fits = I.stage(sl.pair_fits(cr.correlated_pairs(series, I.WEEKLY.correlation), series), "fits")
+    return sl.train_sharpes(ps.eligible_pairs(fits, I.WEEKLY.eligibility), series, I.WEEKLY)
 
 
 @query(f"{FITS.replace('n_rows:i ', '')} cand_rank:i train_sharpe:d rank:i", "SELECT * FROM c_pairs")

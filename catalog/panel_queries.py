@@ -13,11 +13,16 @@ from . import inputs as I
 from .registry import query
 
 
-# The years the bars of the given tables span.
-YEARS = list(range(1995, 2002))
+# The columns of the wide export; an export has a fixed set.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+def _years(spark, sf_dir) -> list[int]:
+    """The years the bars span; one row each."""
+    years = I.weekly_bars(spark, sf_dir).select(F.year("bar_ts").alias("y")).distinct()
+    return sorted(r.y for r in years.collect())
+
+
 def _yearly_files(spark, sf_dir) -> str:
     """The weekly bars as one folder per year, with the columns of raw bar files."""
     def write():
@@ -36,7 +41,7 @@ def _yearly_files(spark, sf_dir) -> str:
 @query("symbol timestamp_utc close:d", """
 SELECT symbol, bar_ts AS timestamp_utc, close FROM w_bars WHERE month(bar_ts) <> 12""")
 def bar_scan(spark, sf_dir):
-    return br.load_bars(spark, _yearly_files(spark, sf_dir), YEARS,
+    return br.load_bars(spark, _yearly_files(spark, sf_dir), _years(spark, sf_dir),
                         columns=["symbol", "timestamp_utc", "close", "symbol"], pattern="year={year}")
 
 
@@ -44,14 +49,14 @@ def bar_scan(spark, sf_dir):
        "SELECT symbol, bar_ts AS timestamp_utc, bar_ts::DATE::VARCHAR AS date_ny, close, volume, "
        "month(bar_ts) <> 12 AS is_regular_hours FROM w_bars")
 def bar_scan_all_hours(spark, sf_dir):
-    return br.load_bars(spark, _yearly_files(spark, sf_dir), YEARS, regular_hours_only=False, pattern="year={year}")
+    return br.load_bars(spark, _yearly_files(spark, sf_dir), _years(spark, sf_dir), regular_hours_only=False, pattern="year={year}")
 
 
 @query("symbol bar_ts close:d dollar_vol:d bar_seq:i", """
 SELECT symbol, bar_ts, close, close * volume AS dollar_vol, dense_rank() OVER (ORDER BY bar_ts) - 1 AS bar_seq
 FROM w_bars WHERE month(bar_ts) <> 12""")
 def panel_from_files(spark, sf_dir):
-    bars = br.load_panel_bars(spark, _yearly_files(spark, sf_dir), YEARS, pattern="year={year}")
+    bars = br.load_panel_bars(spark, _yearly_files(spark, sf_dir), _years(spark, sf_dir), pattern="year={year}")
     return pn.build_panel(bars, I.WEEK_CLOCK)
 
 
@@ -117,10 +122,10 @@ def day_slice(spark, sf_dir):
 
 @query("fold_id:i symbol bar_seq:i logret:d", """
 SELECT u.fold_id, u.symbol, g.bar_seq, coalesce(p.logret, 0.0) AS logret
-FROM w_uni u JOIN w_folds f USING (fold_id) JOIN w_grid g ON g.bar_seq BETWEEN f.test_lo AND f.test_hi
+FROM o_uni u JOIN w_folds f USING (fold_id) JOIN w_grid g ON g.bar_seq BETWEEN f.test_lo AND f.test_hi
 LEFT JOIN w_panel p ON p.symbol = u.symbol AND p.bar_seq = g.bar_seq""")
 def zero_reindex(spark, sf_dir):
-    m = I.weekly_market(spark, sf_dir)
+    m = I.open_weekly_market(spark, sf_dir)
     grid = m.universe.select("fold_id", "symbol").join(m.folds, "fold_id").select(
         "fold_id", "symbol", F.explode(F.sequence("test_lo", "test_hi")).alias("bar_seq"))
     rows = fd.assign_folds(m.panel, I.WEEK_FOLDS, "test").select("fold_id", "symbol", "bar_seq", "logret")
@@ -142,9 +147,9 @@ def bounded_fill(spark, sf_dir):
 
 
 @query("fold_id:i symbol bar_seq:i close:d logret:d",
-       "SELECT fold_id, symbol, bar_seq, close, ret AS logret FROM w_train")
+       "SELECT fold_id, symbol, bar_seq, close, ret AS logret FROM o_train")
 def train_windows_filled(spark, sf_dir):
-    return sr.series_rows(I.weekly_market(spark, sf_dir).train.series)
+    return sr.series_rows(I.open_weekly_market(spark, sf_dir).train.series)
 
 
 @query("fold_id:i train_start train_end test_start test_end train_lo:i train_hi:i test_lo:i test_hi:i",

@@ -137,26 +137,26 @@ def pnl_histogram(spark, sf_dir):
 
 
 @query("bin:i bin_low:d n:i",
-       hist("w_corr", "train_corr", 80, "(SELECT min(train_corr) FROM w_corr)", "(SELECT max(train_corr) FROM w_corr)"))
+       hist("o_corr", "train_corr", 80, "(SELECT min(train_corr) FROM o_corr)", "(SELECT max(train_corr) FROM o_corr)"))
 def correlation_histogram(spark, sf_dir):
-    pairs = cr.correlated_pairs(I.weekly_market(spark, sf_dir).train.series,
+    pairs = cr.correlated_pairs(I.open_weekly_market(spark, sf_dir).train.series,
                                 CorrelationSearch(top_k=None, min_corr=None))
     return rp.histogram(pairs, "train_corr", 80)
 
 
 @query("bin:i bin_low:d n:i",
-       hist("c_fits", "bp_pval", 50, "(SELECT min(bp_pval) FROM c_fits)", "(SELECT max(bp_pval) FROM c_fits)"))
+       hist("oc_fits", "bp_pval", 50, "(SELECT min(bp_pval) FROM oc_fits)", "(SELECT max(bp_pval) FROM oc_fits)"))
 def p_value_histogram(spark, sf_dir):
-    return rp.histogram(I.classic_fits(spark, sf_dir), "bp_pval", 50)
+    return rp.histogram(I.open_fits(spark, sf_dir), "bp_pval", 50)
 
 
-KNOWN = "(SELECT *, bp_pval > 0.05 AS bp_pass FROM c_fits WHERE half_life > 0 AND half_life < 500)"
+KNOWN = "(SELECT *, bp_pval > 0.05 AS bp_pass FROM oc_fits WHERE half_life > 0 AND half_life < 500)"
 
 
 @query("bp_pass bin:i bin_low:d n:i", hist(
     KNOWN, "half_life", 40, f"(SELECT min(half_life) FROM {KNOWN})", f"(SELECT max(half_life) FROM {KNOWN})", "bp_pass"))
 def half_life_histogram(spark, sf_dir):
-    fits = I.classic_fits(spark, sf_dir).withColumn("bp_pass", F.col("bp_pval") > 0.05)
+    fits = I.open_fits(spark, sf_dir).withColumn("bp_pass", F.col("bp_pval") > 0.05)
     return rp.half_life_histogram(fits)
 
 
@@ -174,7 +174,7 @@ def coverage_histogram(spark, sf_dir):
 @query("fold_id:i n_liquid:i n_clean:i n_candidates:i n_bp_pass:i n_bp_fail:i", """
 SELECT l.fold_id, n_liquid, coalesce(n_clean, 0) AS n_clean, coalesce(n_candidates, 0) AS n_candidates,
        coalesce(n_bp_pass, 0) AS n_bp_pass, coalesce(n_bp_fail, 0) AS n_bp_fail
-FROM (SELECT fold_id, least(count(*), 60) AS n_liquid FROM w_cov GROUP BY 1) l
+FROM (SELECT fold_id, least(count(*), 150) AS n_liquid FROM w_cov GROUP BY 1) l
 LEFT JOIN (SELECT fold_id, count(*) AS n_clean FROM b_uni GROUP BY 1) USING (fold_id)
 LEFT JOIN (SELECT fold_id, count(*) AS n_candidates FROM b_cand GROUP BY 1) USING (fold_id)
 LEFT JOIN (SELECT fold_id, count(*) FILTER (WHERE bp_pval > 0.05) AS n_bp_pass,
@@ -184,7 +184,7 @@ def selection_funnel(spark, sf_dir):
     from spreadloom.plans.selection import pair_fits
 
     m = I.baseline_market(spark, sf_dir)
-    liquid = liquid_in_fold(fold_coverage(m.panel, m.folds, I.WEEK_FOLDS), 60)
+    liquid = liquid_in_fold(fold_coverage(m.panel, m.folds, I.WEEK_FOLDS), I.WEEKLY_BASELINE.eligibility.top_n_liquid)
     candidates = I.once(spark, sf_dir, "baseline_candidates", lambda: I.stage(
         cr.correlated_pairs(m.train.series, I.WEEKLY_BASELINE.correlation), "candidates"))
     fits = pair_fits(candidates, m.train.series).withColumn("bp_pass", F.col("bp_pval") > 0.05)

@@ -34,7 +34,7 @@ def neighbour_candidates(spark, sf_dir):
     return nb.neighbour_pairs(I.labelled_vectors(spark, sf_dir), NeighbourSearch(8, 300))
 
 
-@query("fold_id:i sym_a sym_b emb_distance:d cand_rank:i", "SELECT * FROM v_cand")
+@query("fold_id:i sym_a sym_b emb_distance:d cand_rank:i", "SELECT * FROM ov_cand")
 def window_mean_candidates(spark, sf_dir):
     return nb.neighbour_pairs(I.window_vectors(spark, sf_dir), I.WEEKLY.autoencoder.neighbours)
 
@@ -45,11 +45,11 @@ def vector_pairs(spark, sf_dir):
 
 
 def _windows(spark, sf_dir):
-    return wn.tumbling_windows(I.weekly_market(spark, sf_dir).train.series, I.WEEKLY.autoencoder)
+    return wn.tumbling_windows(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY.autoencoder)
 
 
 @query("fold_id:i symbol window_id:i i:i v:d",
-       "SELECT fold_id, symbol, window_id, unnest(range(12)) AS i, unnest(x) AS v FROM w_windows")
+       "SELECT fold_id, symbol, window_id, unnest(range(12)) AS i, unnest(x) AS v FROM o_windows")
 def tumbling_windows(spark, sf_dir):
     return _windows(spark, sf_dir).select(
         "fold_id", "symbol", "window_id", F.posexplode("x").alias("i", "v"))
@@ -75,7 +75,7 @@ def intraday_tumbling_windows(spark, sf_dir):
 
 def _given_lookbacks(spark, sf_dir):
     """A lookback from 1 to 15 by place in the universe."""
-    return I.weekly_market(spark, sf_dir).universe.select(
+    return I.open_weekly_market(spark, sf_dir).universe.select(
         "fold_id", "symbol", (F.col("uni_rank") % 15 + 1).cast("int").alias("lookback"))
 
 
@@ -83,13 +83,13 @@ def _given_lookbacks(spark, sf_dir):
 SELECT t.fold_id, t.symbol, t.pos AS bar_pos, 15 AS width, any_value(t.ret) AS target,
        15 - count(*) + count(*) FILTER (WHERE h.ret = 0) AS n_zeros,
        sum(h.ret * (16 - (t.pos - h.pos))) AS weighed
-FROM w_pos t JOIN w_uni u USING (fold_id, symbol)
-JOIN w_pos h ON h.fold_id = t.fold_id AND h.symbol = t.symbol
+FROM o_pos t JOIN o_uni u USING (fold_id, symbol)
+JOIN o_pos h ON h.fold_id = t.fold_id AND h.symbol = t.symbol
      AND h.pos BETWEEN t.pos - (u.uni_rank % 15 + 1) AND t.pos - 1
 GROUP BY 1, 2, 3, u.uni_rank HAVING count(h.ret) = u.uni_rank % 15 + 1""")
 def sliding_windows(spark, sf_dir):
     # One row per window: its width, its zeros, and its values weighed by place.
-    series = I.weekly_market(spark, sf_dir).train.series
+    series = I.open_weekly_market(spark, sf_dir).train.series
     rows = wn.sliding_windows(series, _given_lookbacks(spark, sf_dir), GruSpec())
     weighed = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return rows.select(
@@ -103,22 +103,22 @@ LAGS = " ".join(f"lag_{i}:d" for i in range(1, 16))
 @query(f"fold_id:i symbol bar_seq:i r:d {LAGS}", f"""
 SELECT * FROM (SELECT fold_id, symbol, bar_seq, ret AS r,
   {", ".join(f"lag(ret, {i}) OVER t AS lag_{i}" for i in range(1, 16))}
-FROM w_train WHERE ret IS NOT NULL WINDOW t AS (PARTITION BY fold_id, symbol ORDER BY bar_seq)) WHERE lag_15 IS NOT NULL""")
+FROM o_train WHERE ret IS NOT NULL WINDOW t AS (PARTITION BY fold_id, symbol ORDER BY bar_seq)) WHERE lag_15 IS NOT NULL""")
 def lag_matrix(spark, sf_dir):
-    return ar.lag_matrix(I.weekly_market(spark, sf_dir).train.series, 15)
+    return ar.lag_matrix(I.open_weekly_market(spark, sf_dir).train.series, 15)
 
 
 @query("fold_id:i scale_mean:d scale_std:d n_values:i", """
 SELECT fold_id, avg(v) AS scale_mean, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END AS scale_std,
        count(*) AS n_values
-FROM (SELECT fold_id, unnest(x) AS v FROM w_windows) GROUP BY 1""")
+FROM (SELECT fold_id, unnest(x) AS v FROM o_windows) GROUP BY 1""")
 def window_scale(spark, sf_dir):
     return wn.window_scale(_windows(spark, sf_dir))
 
 
 @query("fold_id:i symbol window_id:i i:i v:d", """
 SELECT fold_id, symbol, window_id, i, (v - avg(v) OVER f) / CASE WHEN stddev_pop(v) OVER f > 0 THEN stddev_pop(v) OVER f ELSE 1 END AS v
-FROM (SELECT fold_id, symbol, window_id, unnest(range(12)) AS i, unnest(x) AS v FROM w_windows)
+FROM (SELECT fold_id, symbol, window_id, unnest(range(12)) AS i, unnest(x) AS v FROM o_windows)
 WINDOW f AS (PARTITION BY fold_id)""")
 def standardized_windows(spark, sf_dir):
     windows = _windows(spark, sf_dir)
@@ -126,7 +126,7 @@ def standardized_windows(spark, sf_dir):
         "fold_id", "symbol", "window_id", F.posexplode("x").alias("i", "v"))
 
 
-@query("fold_id:i symbol i:i v:d", "SELECT fold_id, symbol, i, v FROM w_vec")
+@query("fold_id:i symbol i:i v:d", "SELECT fold_id, symbol, i, v FROM o_vec")
 def pooled_codes(spark, sf_dir):
     return I.window_vectors(spark, sf_dir).select("fold_id", "symbol", F.posexplode("embedding").alias("i", "v"))
 
@@ -135,7 +135,7 @@ def pooled_codes(spark, sf_dir):
 SELECT fold_id, symbol, i, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY fold_id, symbol)), 0) AS v FROM (
   SELECT fold_id, symbol, i, avg(v / CASE WHEN norm > 0 THEN norm ELSE 1 END) AS v FROM (
     SELECT fold_id, symbol, unnest(range(12)) AS i, unnest(x) AS v,
-           sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM w_windows)
+           sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM o_windows)
   GROUP BY 1, 2, 3 HAVING count(*) >= 5)""")
 def pooled_unit_codes(spark, sf_dir):
     codes = _windows(spark, sf_dir).withColumnRenamed("x", "code")
@@ -144,74 +144,93 @@ def pooled_unit_codes(spark, sf_dir):
 
 
 @query("fold_id:i symbol window_id:i", """
-SELECT fold_id, symbol, window_id FROM (SELECT *, count(*) OVER (PARTITION BY fold_id) AS n FROM w_windows) WHERE n >= 450""")
+SELECT fold_id, symbol, window_id FROM (SELECT *, count(*) OVER (PARTITION BY fold_id) AS n FROM o_windows) WHERE n >= 450""")
 def folds_with_enough_windows(spark, sf_dir):
     return wn.enough(_windows(spark, sf_dir), 450)
 
 
-GIVEN_FITS = """(
-SELECT label AS fold_id, vec_id, embedding[1:15]::DOUBLE[] AS coefs,
-       greatest(1, list_max(list_transform(range(1, 16),
-           lambda k: CASE WHEN abs(embedding[k]::DOUBLE) >= 0.2 THEN k ELSE 0 END))) AS lookback
-FROM embeddings)"""
+# AR fits of two lags in closed form, from the sums of lag products.
+PRODUCTS = """(
+SELECT fold_id, symbol, count(*) AS n, sum(r * l1) AS p01, sum(r * l2) AS p02,
+       sum(l1 * l1) AS p11, sum(l1 * l2) AS p12, sum(l2 * l2) AS p22
+FROM (SELECT fold_id, symbol, ret AS r, lag(ret, 1) OVER t AS l1, lag(ret, 2) OVER t AS l2
+      FROM o_train WHERE ret IS NOT NULL WINDOW t AS (PARTITION BY fold_id, symbol ORDER BY bar_seq))
+WHERE l2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30)"""
+SHORT_FITS = f"""(
+SELECT *, CASE WHEN abs(c2) >= 0.1 THEN 2 ELSE 1 END AS lookback FROM (
+  SELECT fold_id, symbol, (p01 * p22 - p02 * p12) / (p11 * p22 - p12 * p12) AS c1,
+         (p02 * p11 - p01 * p12) / (p11 * p22 - p12 * p12) AS c2 FROM {PRODUCTS}))"""
 
 
-@query("fold_id:i symbol lookback:i",
-       f"SELECT fold_id, 'V' || lpad(vec_id::VARCHAR, 7, '0') AS symbol, lookback FROM {GIVEN_FITS}")
+@query("fold_id:i symbol n:i p01:d p02:d p11:d p12:d p22:d", f"SELECT * FROM {PRODUCTS}")
+def lag_products(spark, sf_dir):
+    rows = ar.lag_products(I.open_weekly_market(spark, sf_dir).train.series, I.SHORT_AR)
+    return rows.select("fold_id", "symbol", "n", *[F.col("products")[i][j].alias(f"p{i}{j}")
+                                                   for i, j in ((0, 1), (0, 2), (1, 1), (1, 2), (2, 2))])
+
+
+@query("fold_id:i symbol lag:i coef:d lookback:i", f"""
+SELECT fold_id, symbol, unnest([0, 1]) AS lag, unnest([c1, c2]) AS coef, lookback FROM {SHORT_FITS}""")
+def ar_fits_of_two_lags(spark, sf_dir):
+    return I.short_fits(spark, sf_dir).filter("coefs IS NOT NULL").select(
+        "fold_id", "symbol", "lookback", F.posexplode("coefs").alias("lag", "coef"))
+
+
+@query("fold_id:i symbol lookback:i", f"""
+SELECT fold_id, symbol, coalesce(lookback, 5) AS lookback FROM o_uni LEFT JOIN {SHORT_FITS} USING (fold_id, symbol)""")
 def effective_lookbacks(spark, sf_dir):
-    return ar.lookbacks(I.labelled_fits(spark, sf_dir))
+    return ar.lookbacks(I.short_fits(spark, sf_dir))
 
 
 @query("fold_id:i n_symbols:i avg_lookback:d median_lookback:d", f"""
 SELECT fold_id, count(*) AS n_symbols, avg(lookback) AS avg_lookback, median(lookback) AS median_lookback
-FROM {GIVEN_FITS} GROUP BY 1""")
+FROM {SHORT_FITS} GROUP BY 1""")
 def lookback_summary(spark, sf_dir):
-    return ar.lookback_summary(I.labelled_fits(spark, sf_dir))
+    return ar.lookback_summary(I.short_fits(spark, sf_dir))
 
 
-@query("lookback:i n_symbols:i", f"SELECT lookback, count(*) AS n_symbols FROM {GIVEN_FITS} GROUP BY 1")
+@query("lookback:i n_symbols:i", f"SELECT lookback, count(*) AS n_symbols FROM {SHORT_FITS} GROUP BY 1")
 def lookback_histogram(spark, sf_dir):
-    return ar.lookback_histogram(I.labelled_fits(spark, sf_dir))
+    return ar.lookback_histogram(I.short_fits(spark, sf_dir))
 
 
 @query("pooled_mean:d suggested_lookback:i", f"""
-SELECT avg(lookback) AS pooled_mean, round_even(avg(lookback), 0) AS suggested_lookback FROM {GIVEN_FITS}""")
+SELECT avg(lookback) AS pooled_mean, round_even(avg(lookback), 0) AS suggested_lookback FROM {SHORT_FITS}""")
 def suggested_lookback(spark, sf_dir):
-    return ar.suggested_lookback(I.labelled_fits(spark, sf_dir))
+    return ar.suggested_lookback(I.short_fits(spark, sf_dir))
 
 
 @query("fold_id:i lag:i avg_coef:d", f"""
-SELECT fold_id, lag, avg(c) AS avg_coef FROM (
-  SELECT fold_id, unnest(range(1, 16)) AS lag, unnest(coefs) AS c FROM {GIVEN_FITS}) GROUP BY 1, 2""")
+SELECT fold_id, unnest([1, 2]) AS lag, unnest([avg(c1), avg(c2)]) AS avg_coef FROM {SHORT_FITS} GROUP BY fold_id""")
 def mean_ar_coefficients(spark, sf_dir):
-    return ar.mean_coefficients(I.labelled_fits(spark, sf_dir))
+    return ar.mean_coefficients(I.short_fits(spark, sf_dir))
 
 
 # Fits whose numbers SQL cannot give; tests check them against loops and invariants.
 
 @query("fold_id:i symbol lag:i coef:d lookback:i")
 def ar_fits(spark, sf_dir):
-    fits = ar.ar_fits(I.weekly_market(spark, sf_dir).train.series, I.WEEKLY.gru)
+    fits = ar.ar_fits(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY.gru)
     return fits.filter("coefs IS NOT NULL").select(
         "fold_id", "symbol", "lookback", F.posexplode("coefs").alias("lag", "coef"))
 
 
 @query("fold_id:i n_samples:i epochs_run:i first_loss:d val_loss:d")
 def autoencoder_fits(spark, sf_dir):
-    samples = sl.autoencoder_samples(I.weekly_market(spark, sf_dir).train.series, I.WEEKLY)
+    samples = sl.autoencoder_samples(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY)
     spec = I.WEEKLY.autoencoder
     return sl.fit_folds(samples, sl.Autoencoder(spec), spec.trainer)
 
 
 @query("fold_id:i symbol i:i v:d")
 def autoencoder_embeddings(spark, sf_dir):
-    return sl.autoencoder_embeddings(I.weekly_market(spark, sf_dir).train.series, I.WEEKLY).select(
+    return sl.autoencoder_embeddings(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY).select(
         "fold_id", "symbol", F.posexplode("embedding").alias("i", "v"))
 
 
 @query("fold_id:i symbol i:i v:d")
 def gru_embeddings(spark, sf_dir):
-    return sl.gru_embeddings(I.weekly_market(spark, sf_dir).train.series, I.WEEKLY).select(
+    return sl.gru_embeddings(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY).select(
         "fold_id", "symbol", F.posexplode("embedding").alias("i", "v"))
 
 

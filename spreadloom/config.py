@@ -15,6 +15,7 @@ TRADING_DAYS_PER_YEAR = 252
 DEFAULT_SEED = 42
 
 
+# The defaults of the settings below define the results as well.
 @dataclass(frozen=True)
 class MarketClock:
     zone: str = "America/New_York"
@@ -85,8 +86,8 @@ class TrainerSpec:
     patience: int = 6
     min_gain: float = 1e-6
     validation_share: float = 0.15
-    # Rows of one training shard; larger folds are split and averaged per epoch.
-    shard_rows: int = 200_000
+    # Parts of a fold that train side by side and are averaged after each epoch.
+    shards: int = 4
 
 
 @dataclass(frozen=True)
@@ -132,6 +133,7 @@ class RunSettings:
 def baseline_settings() -> RunSettings:
     """The exploratory variant: full coverage, strict BP, half-life ranking."""
     return RunSettings(
+        rule=TradeRule(full_window=True),
         eligibility=Eligibility(
             min_coverage=1.0, bp_strict=True, half_life_min=10.0, rank_by="half_life"
         ),

@@ -1,7 +1,7 @@
-"""Batch job: run the chosen arms over a range of years and save their tables.
+"""Batch job: run the chosen arms over a range of years, save their tables and the reports.
 
     spark-submit … run_job.py --bars PATH --out PATH \\
-        [--arms classic autoencoder gru] [--start 2016] [--end 2025]
+        [--arms classic autoencoder gru baseline] [--start 2016] [--end 2025]
 """
 
 from __future__ import annotations
@@ -11,51 +11,56 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import RunSettings
+from ..config import RunSettings, baseline_settings
 from ..operators.panel import build_panel, grid_calendar
 from ..operators.reports import union_arms
 from ..sources.bars import FILE_PATTERN, load_panel_bars
 from ..sources.results import config_frame, save_arm, write_json
 from ..staging import side_by_side, stage
-from .selection import SELECTORS
+from .report_job import write_reports
+from .selection import BASELINE, SELECTORS
 from .walk_forward import ArmResult, Market, open_market, run_arm
 
-SUMMARY = ("arm", "sharpe_annualized", "return_total", "return_annualized", "max_drawdown",
-           "n_trades", "trade_win_rate", "n_active_pairs")
 
-
-def run_arms(market: Market, arms: list[str], out: str, data_label: str) -> DataFrame:
-    """Run and save each arm; returns the comparison of their aggregates."""
-    spark = market.panel.sparkSession
+def run_arms(markets: dict[str, Market], out: str, years: list[int]) -> DataFrame:
+    """Run each arm on its market and save it; returns the arms' aggregates."""
+    spark = next(iter(markets.values())).panel.sparkSession
 
     def run(arm: str) -> ArmResult:
-        selector = SELECTORS[arm](market.settings, (f"{out}/weights", data_label), out)
-        return run_arm(market, selector, arm)
-
-    aggregates = []
-    for arm, result in zip(arms, side_by_side([partial(run, arm) for arm in arms])):
-        config = config_frame(spark, arm, market.settings.snapshot())
-        save_arm({**result.tables(), "config": config}, out, arm)
-        aggregates.append(result.aggregate)
-    comparison = stage(union_arms(aggregates).select(*SUMMARY), "comparison")
+        selector = SELECTORS[arm](markets[arm].settings, f"{out}/weights", out)
+        result = run_arm(markets[arm], selector, arm)
+        config = {"arm": arm, "years": years, "settings": markets[arm].settings.snapshot()}
+        # Saved as soon as the arm is done: a later arm's failure does not lose it.
+        save_arm({**result.tables(), "config": config_frame(spark, arm, config)}, out, arm)
+        return result
+
+    results = side_by_side([partial(run, arm) for arm in markets])
+    comparison = stage(union_arms([r.aggregate for r in results]), "comparison")
     write_json(comparison, f"{out}/comparison")
     return comparison
 
 
 def run_job(spark: SparkSession, bars: str, out: str, arms: list[str], years: list[int],
-            settings: RunSettings = RunSettings(), pattern: str = FILE_PATTERN) -> DataFrame:
+            settings: RunSettings = RunSettings(), pattern: str = FILE_PATTERN,
+            baseline: RunSettings = baseline_settings()) -> DataFrame:
     rows = load_panel_bars(spark, bars, years, pattern=pattern)
     calendar = stage(grid_calendar(rows, settings.clock), "grid")
     panel = stage(build_panel(rows, settings.clock, calendar=calendar), "panel")
-    market = open_market(panel, settings, calendar=calendar)
-    return run_arms(market, arms, out, f"{bars}|{years[0]}-{years[-1]}")
+    shared = own = None
+    if set(arms) - {BASELINE}:
+        shared = open_market(panel, settings, calendar=calendar)
+    if BASELINE in arms:
+        own = open_market(panel, baseline, liquid_first=True, calendar=calendar)
+    comparison = run_arms({arm: own if arm == BASELINE else shared for arm in arms}, out, years)
+    write_reports(spark, out, arms, settings.clock.bars_per_year)
+    return comparison
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Walk-forward pair selection and back-test")
     parser.add_argument("--bars", required=True)
     parser.add_argument("--out", required=True)
-    parser.add_argument("--arms", nargs="+", default=list(SELECTORS), choices=list(SELECTORS))
+    parser.add_argument("--arms", nargs="+", default=["classic", "autoencoder", "gru"], choices=list(SELECTORS))
     parser.add_argument("--start", type=int, default=2016)
     parser.add_argument("--end", type=int, default=2025)
     args = parser.parse_args(argv)

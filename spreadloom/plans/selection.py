@@ -23,7 +23,7 @@ from ..operators.signal import evaluate_pairs
 from ..operators.training import encode_windows, fit_folds
 from ..operators.windows import (
     enough, pool_codes, sliding_windows, standardize, tumbling_windows, window_scale)
-from ..sources.results import config_key, fit_with_cache, save_arm
+from ..sources.results import config_key, fit_with_cache, sample_key, save_arm
 from ..staging import stage
 
 SCORES = ("cand_rank", "train_corr", "emb_distance")
@@ -74,30 +74,51 @@ def choose_pairs(candidates: DataFrame, series: DataFrame, settings: RunSettings
     return cap_pairs(scored, rule).select(*PAIR_COLUMNS)
 
 
-def correlation_selector(settings: RunSettings) -> Selector:
+def selection_counts(folds: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fold_id, n_candidates, n_selected) of every fold."""
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("fold_id").agg(F.count(F.lit(1)).alias(name))
+
+    names = ("n_candidates", "n_selected")
+    joined = folds.select("fold_id")
+    for df, name in zip((candidates, pairs), names):
+        joined = joined.join(counted(df, name), "fold_id", "left")
+    return joined.select("fold_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+
+
+def _choose(candidates: DataFrame, train: TrainData, settings: RunSettings, arm: str, out: str | None) -> DataFrame:
+    """The chosen pairs; with ``out`` the counts of each fold are saved with the arm's results."""
+    candidates = stage(candidates, "candidates")
+    pairs = choose_pairs(candidates, train.series, settings)
+    if out is not None:
+        pairs = stage(pairs, f"{arm}-chosen")
+        save_arm({"selection": selection_counts(train.folds, candidates, pairs)}, out, arm)
+    return pairs
+
+
+def correlation_selector(settings: RunSettings, out: str | None = None, arm: str = "classic") -> Selector:
     def select(train: TrainData) -> DataFrame:
-        candidates = stage(correlated_pairs(train.series, settings.correlation), "candidates")
-        return choose_pairs(candidates, train.series, settings)
+        return _choose(correlated_pairs(train.series, settings.correlation), train, settings, arm, out)
 
     return select
 
 
-def select_by_vectors(vectors: DataFrame, train: TrainData, settings: RunSettings, search) -> DataFrame:
+def select_by_vectors(vectors: DataFrame, train: TrainData, settings: RunSettings, search,
+                      arm: str = "vectors", out: str | None = None) -> DataFrame:
     """Pairs of near neighbours among given symbol vectors."""
-    candidates = stage(neighbour_pairs(vectors, search), "candidates")
-    return choose_pairs(candidates, train.series, settings)
+    return _choose(neighbour_pairs(vectors, search), train, settings, arm, out)
 
 
 def _weights(samples: DataFrame, net, settings: RunSettings, arm: str,
-             cache: tuple[str, str] | None) -> DataFrame:
-    """Fitted weights; ``cache`` is a weights table and a label of the data it is fitted on."""
+             cache: str | None) -> DataFrame:
+    """Fitted weights; ``cache`` is the folder of weights fitted before, known by settings and samples."""
     def fit(rows: DataFrame) -> DataFrame:
         return fit_folds(rows, net, net.spec.trainer)
 
     if cache is None:
         return stage(fit(samples), f"{arm}-weights")
-    path, data_label = cache
-    return fit_with_cache(samples, fit, path, arm, config_key(arm, settings.snapshot(), data_label))
+    samples = stage(samples, f"{arm}-samples")
+    return fit_with_cache(samples, fit, cache, arm, config_key(arm, settings.snapshot(), sample_key(samples)))
 
 
 def autoencoder_samples(series: DataFrame, settings: RunSettings) -> DataFrame:
@@ -111,7 +132,7 @@ def autoencoder_samples(series: DataFrame, settings: RunSettings) -> DataFrame:
 
 
 def autoencoder_embeddings(series: DataFrame, settings: RunSettings,
-                           cache: tuple[str, str] | None = None) -> DataFrame:
+                           cache: str | None = None) -> DataFrame:
     spec = settings.autoencoder
     net = Autoencoder(spec)
     samples = stage(autoencoder_samples(series, settings), "ae-samples")
@@ -124,7 +145,7 @@ def gru_lookbacks(series: DataFrame, settings: RunSettings) -> DataFrame:
     return lookbacks(ar_fits(series, settings.gru), settings.gru)
 
 
-def gru_embeddings(series: DataFrame, settings: RunSettings, cache: tuple[str, str] | None = None,
+def gru_embeddings(series: DataFrame, settings: RunSettings, cache: str | None = None,
                    backs: DataFrame | None = None) -> DataFrame:
     spec = settings.gru
     net = GruRegressor(spec)
@@ -139,19 +160,19 @@ def gru_embeddings(series: DataFrame, settings: RunSettings, cache: tuple[str, s
     return pool_codes(codes, spec.min_windows, unit_rows=True)
 
 
-def autoencoder_selector(settings: RunSettings, cache: tuple[str, str] | None = None,
+def autoencoder_selector(settings: RunSettings, cache: str | None = None,
                          out: str | None = None) -> Selector:
     """``out`` also saves each fold's embeddings with the arm's results."""
     def select(train: TrainData) -> DataFrame:
         vectors = stage(autoencoder_embeddings(train.series, settings, cache), "ae-embeddings")
         if out is not None:
             save_arm({"embeddings": vectors}, out, "autoencoder")
-        return select_by_vectors(vectors, train, settings, settings.autoencoder.neighbours)
+        return select_by_vectors(vectors, train, settings, settings.autoencoder.neighbours, "autoencoder", out)
 
     return select
 
 
-def gru_selector(settings: RunSettings, cache: tuple[str, str] | None = None,
+def gru_selector(settings: RunSettings, cache: str | None = None,
                  out: str | None = None) -> Selector:
     """``out`` also saves each fold's lookbacks and embeddings with the arm's results."""
     def select(train: TrainData) -> DataFrame:
@@ -159,13 +180,15 @@ def gru_selector(settings: RunSettings, cache: tuple[str, str] | None = None,
         vectors = stage(gru_embeddings(train.series, settings, cache, backs), "gru-embeddings")
         if out is not None:
             save_arm({"lookbacks": backs, "embeddings": vectors}, out, "gru")
-        return select_by_vectors(vectors, train, settings, settings.gru.neighbours)
+        return select_by_vectors(vectors, train, settings, settings.gru.neighbours, "gru", out)
 
     return select
 
 
+BASELINE = "baseline"
 SELECTORS = {
-    "classic": lambda settings, cache=None, out=None: correlation_selector(settings),
+    "classic": lambda settings, cache=None, out=None: correlation_selector(settings, out),
     "autoencoder": autoencoder_selector,
     "gru": gru_selector,
+    BASELINE: lambda settings, cache=None, out=None: correlation_selector(settings, out, BASELINE),
 }

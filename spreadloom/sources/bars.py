@@ -1,18 +1,13 @@
-"""Bar files: one Parquet file per year, read as one multi-path scan."""
+"""Bar files: one Parquet file or folder per year; columns that only some years have are kept."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
 from ..functions.timecols import utc_clock
 
 FILE_PATTERN = "bars_30m_{year}.parquet"
-# Bits of the file order number, from high to low: year, part file, split
-# of a part file, row in the file.
-PART_BITS, SPLIT_BITS, ROW_BITS = 17, 7, 27
 
 
 def load_bars(spark: SparkSession, base: str, years: int | list[int],
@@ -20,9 +15,9 @@ def load_bars(spark: SparkSession, base: str, years: int | list[int],
               pattern: str = FILE_PATTERN) -> DataFrame:
     """Bars of the given years with the asked columns, in that order and once each.
 
-    The regular-hours flag is filtered in the scan even when it is not asked for.
+    The regular-hours flag is filtered in the scans even when it is not asked for.
     """
-    df = spark.read.parquet(*_paths(base, years, pattern))
+    df = union_years([spark.read.parquet(p) for p in _paths(base, years, pattern)])
     if regular_hours_only:
         df = df.filter(F.col("is_regular_hours"))
     if columns is not None:
@@ -35,24 +30,14 @@ def _paths(base: str, years: int | list[int], pattern: str) -> list[str]:
     return [f"{base.rstrip('/')}/{pattern.format(year=y)}" for y in years]
 
 
-def file_order(pattern: str = FILE_PATTERN) -> Column:
-    """A number that grows with the year, the part file and the row in it.
+def file_order(year: int) -> Column:
+    """Where a row stands in the files: year, file path, place in the file.
 
-    One number rather than a path and a row lets the de-duplication be a plain hash
-    aggregate. A single file per year is its own part 0.
+    A struct of the three compares field by field, so ``max_by`` takes the last copy of a
+    bar whatever the files are called, in a hash aggregate that combines before the shuffle.
     """
-    path = F.col("_metadata.file_path")
-
-    def digits(regex: str) -> Column:
-        return F.coalesce(F.try_to_number(
-            F.nullif(F.regexp_extract(path, regex, 1), F.lit("")), F.lit("9999999")), F.lit(0)).cast("bigint")
-
-    year = digits(re.escape(pattern).replace(r"\{year\}", r"(\d{4})"))
-    order = year
-    for bits, value in ((PART_BITS, digits(r"part-(\d{1,7})")), (SPLIT_BITS, digits(r"[.-]c(\d{1,7})\.")),
-                        (ROW_BITS, F.col("_metadata.row_index"))):
-        order = order * (1 << bits) + value
-    return order
+    return F.struct(F.lit(year).alias("year"), F.col("_metadata.file_path").alias("path"),
+                    F.col("_metadata.row_index").alias("row"))
 
 
 def load_panel_bars(spark: SparkSession, base: str, years: int | list[int],
@@ -61,12 +46,16 @@ def load_panel_bars(spark: SparkSession, base: str, years: int | list[int],
 
     ``file_order`` tells which of two bars with one key comes last in the files.
     """
-    bars = spark.read.parquet(*_paths(base, years, pattern)).filter(F.col("is_regular_hours"))
-    ts = F.col("timestamp_utc")
-    if isinstance(bars.schema["timestamp_utc"].dataType, TimestampType):
-        ts = utc_clock(ts)
-    return bars.select("symbol", ts.alias("bar_ts"), F.col(price_col).alias("close"), "volume",
-                       file_order(pattern).alias("file_order"))
+    years = [years] if isinstance(years, int) else years
+    frames = []
+    for year, path in zip(years, _paths(base, years, pattern)):
+        bars = spark.read.parquet(path).filter(F.col("is_regular_hours"))
+        ts = F.col("timestamp_utc")
+        if isinstance(bars.schema["timestamp_utc"].dataType, TimestampType):
+            ts = utc_clock(ts)
+        frames.append(bars.select("symbol", ts.alias("bar_ts"), F.col(price_col).alias("close"), "volume",
+                                  file_order(year).alias("file_order")))
+    return union_years(frames)
 
 
 def union_years(frames: list[DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, StructType
 from pyspark.errors import AnalysisException
 
 ARM_TABLES = ("aggregate", "equity", "fold_metrics", "trades", "config")
-FOLD_TABLES = ("pairs", "embeddings", "lookbacks")
+FOLD_TABLES = ("pairs", "embeddings", "lookbacks", "selection", "fold_metrics")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -24,7 +24,8 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
 
 def six_decimals(df: DataFrame) -> DataFrame:
     return df.select(*[
-        F.format_string("%.6f", F.col(f.name)).alias(f.name)
+        # format_string would write the word null for a missing number.
+        F.when(F.col(f.name).isNotNull() & ~F.isnan(f.name), F.format_string("%.6f", F.col(f.name))).alias(f.name)
         if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
@@ -66,13 +67,26 @@ def config_key(*parts) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def weights_folder(path: str, arm: str, key: str) -> str:
+    """A folder of its own for each arm and key: arms that run side by side never write to one."""
+    return f"{path}/arm={arm}/config_key={key}"
+
+
 def cached_weights(spark: SparkSession, path: str, arm: str, key: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).filter((F.col("arm") == arm) & (F.col("config_key") == key))
+        return spark.read.parquet(weights_folder(path, arm, key))
     except AnalysisException:
         return None
 
 
+def sample_key(samples: DataFrame) -> str:
+    """What the samples are, whatever their order: per fold their number and a sum of hashes."""
+    rows = samples.groupBy("fold_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("symbol", "sample_id", "x", "target").cast("decimal(38,0)")).cast("string").alias("h"))
+    return config_key(sorted(map(tuple, rows.collect())))
+
+
 def fit_with_cache(samples: DataFrame, fit, path: str, arm: str, key: str) -> DataFrame:
     """Weights of every fold in ``samples``; ``fit`` runs for the folds not in the cache."""
     spark = samples.sparkSession
@@ -80,6 +94,5 @@ def fit_with_cache(samples: DataFrame, fit, path: str, arm: str, key: str) -> Da
     todo = samples if known is None else samples.join(
         known.select("fold_id"), "fold_id", "left_anti")
     if known is None or not todo.isEmpty():
-        fitted = fit(todo).withColumn("arm", F.lit(arm)).withColumn("config_key", F.lit(key))
-        fitted.write.mode("append").partitionBy("arm", "config_key").parquet(path)
-    return cached_weights(spark, path, arm, key).drop("arm", "config_key")
+        fit(todo).write.mode("append").parquet(weights_folder(path, arm, key))
+    return cached_weights(spark, path, arm, key)

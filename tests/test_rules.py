@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,20 +14,27 @@ from spreadloom.operators import signal as sg
 KEYS = ("fold_id", "sym_a", "sym_b")
 
 
-def loop_positions(zs, rule):
-    state, out = 0, []
-    for z in zs:
-        if z is None:
-            state = 0
-        elif state == 0:
-            if z >= rule.z_entry:
-                state = -1
-            elif z <= -rule.z_entry:
-                state = 1
-        elif abs(z) <= rule.z_exit or abs(z) >= rule.z_stop:
-            state = 0
-        out.append(state)
-    return out
+# Positions worked out by hand for entry 2.5, exit 0.5, stop 4.0; None is a missing z.
+BY_HAND = [
+    ([0.0, 2.4, 2.5, 1.0, 0.6, 0.5, 3.0], [0, 0, -1, -1, -1, 0, -1]),
+    ([-2.5, -3.9, -0.6, 2.6, 0.4], [1, 1, 1, 1, 0]),
+    ([-3.0, None, -2.0, -2.5, -4.0, -3.0], [1, 0, 0, 1, 0, 1]),
+    ([2.6, 4.0, 4.0, 4.1, 3.9, 3.9], [-1, 0, -1, 0, -1, -1]),
+    ([None, None, 2.5], [0, 0, -1]),
+    ([-2.5, 4.5, -4.5, 0.0, 0.0], [1, 0, 1, 0, 0]),
+]
+# The same rule as a walk over rows in SQL: (position before, z) gives the position.
+WALK = """
+WITH RECURSIVE walk AS (
+    SELECT series, -1 AS i, 0 AS position FROM (SELECT DISTINCT series FROM z)
+    UNION ALL
+    SELECT w.series, z.i, CASE
+        WHEN z.z IS NULL THEN 0
+        WHEN w.position = 0 AND abs(z.z) >= {entry} THEN -sign(z.z)::INTEGER
+        WHEN w.position <> 0 AND NOT (abs(z.z) > {exit} AND abs(z.z) < {stop}) THEN 0
+        ELSE w.position END
+    FROM walk w JOIN z ON z.series = w.series AND z.i = w.i + 1)
+SELECT series, list(position ORDER BY i) FROM walk WHERE i >= 0 GROUP BY series"""
 
 
 def loop_trades(pos, gross, cost):
@@ -68,13 +76,23 @@ def z_rows(spark):
 
 @pytest.mark.parametrize("rule", [TradeRule(), TradeRule(z_entry=2.0, z_exit=0.5, z_stop=4.0),
                                   TradeRule(z_entry=1.0, z_exit=1.5, z_stop=3.0)])
-def test_positions_equal_loop(z_rows, rule):
+def test_positions_equal_a_recursive_query(z_rows, rule):
     series, df = z_rows
+    con = duckdb.connect()
+    con.execute("CREATE TABLE z (series INTEGER, i INTEGER, z DOUBLE)")
+    con.executemany("INSERT INTO z VALUES (?, ?, ?)", [(s, i, z) for s, zs in series.items() for i, z in enumerate(zs)])
+    want = dict(con.execute(WALK.format(entry=rule.z_entry, exit=rule.z_exit, stop=rule.z_stop)).fetchall())
     got = {}
     for r in sg.positions(df, rule).orderBy("fold_id", "bar_seq").collect():
         got.setdefault(r.fold_id, []).append(r.position)
-    for s, zs in series.items():
-        assert got[s] == loop_positions(zs, rule), s
+    assert got == want
+
+
+@pytest.mark.parametrize("zs, want", BY_HAND)
+def test_positions_by_hand(spark, zs, want):
+    df = spark.createDataFrame([(0, "a", "b", i, i, z) for i, z in enumerate(zs)],
+                               "fold_id int, sym_a string, sym_b string, bar_seq bigint, time_key bigint, z double")
+    assert [r.position for r in sg.positions(df, TradeRule()).orderBy("bar_seq").collect()] == want
 
 
 def test_stop_sized_z_toggles(spark):

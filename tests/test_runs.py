@@ -1,6 +1,7 @@
 """Whole runs: no lookahead, caps, empty selections, the batch job, plan shapes."""
 
 import datetime as dt
+import json
 from dataclasses import replace
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from spreadloom.config import CorrelationSearch, FoldPlan, RunSettings, baseline_settings
 from spreadloom.plans import job, selection as sl, walk_forward as wf
+from spreadloom.plans.report_job import ORDERS
 from spreadloom.plans.walk_forward import open_market, run_arm
 from spreadloom.operators import pairstats as ps, correlation as cr
 from spreadloom.operators.panel import build_panel
@@ -78,6 +80,7 @@ def test_partition_count_does_not_change_results(spark, sf_dir):
 def test_baseline_settings():
     s = baseline_settings()
     assert s.eligibility.min_coverage == 1.0 and s.eligibility.rank_by == "half_life"
+    assert s.rule.full_window and not RunSettings().rule.full_window
     assert RunSettings().snapshot()["folds"]["train_days"] == 252
 
 
@@ -94,12 +97,26 @@ def weekly_files(spark, sf_dir, tmp_path_factory):
 def test_job_saves_and_reloads_every_arm(spark, sf_dir, weekly_files, tmp_path):
     out = str(tmp_path / "out")
     years = list(range(1995, 2002))
-    arms = ["classic", "autoencoder", "gru"]
-    job.run_job(spark, weekly_files, out, arms, years, I.WEEKLY, pattern="year={year}")
+    arms = ["classic", "autoencoder", "gru", "baseline"]
+    job.run_job(spark, weekly_files, out, arms, years, I.WEEKLY, pattern="year={year}", baseline=I.WEEKLY_BASELINE)
     tables = rs.load_arms(spark, out)
     assert sorted(r.arm for r in tables["aggregate"].collect()) == sorted(arms)
-    assert tables["equity"].groupBy("arm").count().filter(F.col("count") == 234).count() == 3
-    assert rs.read_json(spark, f"{out}/comparison").count() == 3
+    assert tables["equity"].groupBy("arm").count().filter(F.col("count") == 234).count() == 4
+    assert rs.read_json(spark, f"{out}/comparison").count() == 4
+    config = json.loads(tables["config"].filter("arm = 'baseline'").first().config)
+    assert config["years"] == years and config["settings"]["rule"]["full_window"]
+    counts = spark.read.parquet(f"{out}/selection").groupBy("arm").agg(
+        F.count("*").alias("folds"), F.sum("n_selected").alias("n"), F.min(F.col("n_candidates") - F.col("n_selected")).alias("left")).collect()
+    assert {r.arm: r.folds for r in counts} == dict.fromkeys(arms, 9) and all(r.left >= 0 for r in counts)
+    pairs = spark.read.parquet(f"{out}/pairs").groupBy("arm").count().collect()
+    assert {r.arm: r["count"] for r in pairs} == {r.arm: r.n for r in counts if r.n}
+    # Every report is there, and says what the saved tables say.
+    text = {name: spark.read.option("sep", "\t").option("header", True).csv(f"{out}/reports/{name}") for name in ORDERS}
+    assert text["fold_metrics"].count() == 4 * 9 and text["equity"].columns == ["bar_ts", *arms]
+    assert text["cost_sensitivity"].count() == 4 * 7 and text["pair_overlap"].count() == 16 and text["headline"].count() == 10
+    assert text["trades"].count() == tables["trades"].count()
+    said = {r.arm: float(r.sharpe_annualized) for r in text["summary"].collect()}
+    assert said == {r.arm: round(r.sharpe_annualized, 6) for r in tables["aggregate"].collect()}
     want = I.classic_arm(spark, sf_dir).aggregate.first()
     got = tables["aggregate"].filter("arm = 'classic'").first()
     assert abs(got.sharpe_annualized - want.sharpe_annualized) < 1e-9 and got.n_trades == want.n_trades
@@ -110,7 +127,7 @@ def test_job_saves_and_reloads_every_arm(spark, sf_dir, weekly_files, tmp_path):
     weights = spark.read.parquet(f"{out}/weights").count()
     job.run_job(spark, weekly_files, out, ["autoencoder"], years, I.WEEKLY, pattern="year={year}")
     assert spark.read.parquet(f"{out}/weights").count() == weights
-    assert rs.load_arms(spark, out)["aggregate"].count() == 3
+    assert rs.load_arms(spark, out)["aggregate"].count() == 4
 
 
 def test_plans_have_no_cross_joins(spark, sf_dir):
