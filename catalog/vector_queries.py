@@ -36,7 +36,7 @@ def neighbour_candidates(spark, sf_dir):
 
 @query("fold_id:i sym_a sym_b emb_distance:d cand_rank:i", "SELECT * FROM ov_cand")
 def window_mean_candidates(spark, sf_dir):
-    return nb.neighbour_pairs(I.window_vectors(spark, sf_dir), I.WEEKLY.autoencoder.neighbours)
+    return nb.neighbour_pairs(I.window_vectors(I.open_weekly_market(spark, sf_dir)), I.WEEKLY.autoencoder.neighbours)
 
 
 @query(f"{FITS.replace('n_rows:i ', '')} cand_rank:i train_sharpe:d rank:i", "SELECT * FROM v_pairs")
@@ -128,7 +128,7 @@ def standardized_windows(spark, sf_dir):
 
 @query("fold_id:i symbol i:i v:d", "SELECT fold_id, symbol, i, v FROM o_vec")
 def pooled_codes(spark, sf_dir):
-    return I.window_vectors(spark, sf_dir).select("fold_id", "symbol", F.posexplode("embedding").alias("i", "v"))
+    return I.window_vectors(I.open_weekly_market(spark, sf_dir)).select("fold_id", "symbol", F.posexplode("embedding").alias("i", "v"))
 
 
 @query("fold_id:i symbol i:i v:d", """

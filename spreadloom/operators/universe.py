@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import Eligibility, FoldPlan
 from ..functions.numeric import finite
-from ..staging import gcd
+from .folds import assign_folds
 
 
 def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -73,35 +73,14 @@ def span_coverage(panel: DataFrame, n_bars) -> DataFrame:
 def fold_coverage(panel: DataFrame, folds: DataFrame, plan: FoldPlan) -> DataFrame:
     """(fold_id, symbol, coverage, median_dv) on each train window, before any fill.
 
-    A train window is a run of equal day blocks. Bars are grouped once per
-    (symbol, block) and the few block rows, not the bars, are copied to each fold.
+    The median counts equal values, map side first; no list of values is gathered.
     """
-    g = gcd(plan.train_days, plan.test_days, plan.roll_days)
-    block_first = F.col("block") * g
-    block_last = block_first + g - 1
-    n_folds_lo = F.greatest(F.ceil((block_last - plan.train_days + 1) / F.lit(plan.roll_days)),
-                            F.lit(0)).cast("int")
-    n_folds_hi = F.floor(block_first / F.lit(plan.roll_days)).cast("int")
-    blocks = (
-        panel.filter(F.col("close").isNotNull())
-        .groupBy("symbol", F.floor(F.col("day_idx") / g).cast("bigint").alias("block"))
-        .agg(F.count(F.lit(1)).alias("observed"), F.collect_list("dollar_vol").alias("dvs"))
-        .filter(n_folds_lo <= n_folds_hi)
-        .withColumn("fold_id", F.explode(F.sequence(n_folds_lo, n_folds_hi)))
-    )
-    per_symbol = blocks.groupBy("fold_id", "symbol").agg(
-        F.sum("observed").alias("observed"),
-        F.array_sort(F.flatten(F.collect_list("dvs"))).alias("dvs"),
-    )
-    n = F.size("dvs")
-    middle = (F.element_at("dvs", F.floor((n + 1) / 2).cast("int"))
-              + F.element_at("dvs", F.floor((n + 2) / 2).cast("int"))) / 2
+    rows = assign_folds(panel.filter(F.col("close").isNotNull()).select("symbol", "day_idx", "n_days", "dollar_vol"), plan, "train")
+    per_symbol = rows.groupBy("fold_id", "symbol").agg(
+        F.count(F.lit(1)).alias("observed"), F.median("dollar_vol").alias("median_dv"))
     sized = folds.select("fold_id", (F.col("train_hi") - F.col("train_lo") + 1).alias("grid"))
     return per_symbol.join(sized, "fold_id").select(
-        "fold_id", "symbol",
-        (F.col("observed") / F.col("grid")).alias("coverage"),
-        F.when(n > 0, middle).alias("median_dv"),
-    )
+        "fold_id", "symbol", (F.col("observed") / F.col("grid")).alias("coverage"), "median_dv")
 
 
 def fold_universe(panel: DataFrame, folds: DataFrame, plan: FoldPlan,

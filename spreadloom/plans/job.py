@@ -16,7 +16,7 @@ from ..operators.panel import build_panel, grid_calendar
 from ..operators.reports import union_arms
 from ..sources.bars import FILE_PATTERN, load_panel_bars
 from ..sources.results import config_frame, save_arm, write_json
-from ..staging import side_by_side, stage
+from ..staging import clear_stages, side_by_side, stage
 from .report_job import write_reports
 from .selection import BASELINE, SELECTORS
 from .walk_forward import ArmResult, Market, open_market, run_arm
@@ -67,6 +67,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("spreadloom").getOrCreate()
     comparison = run_job(spark, args.bars, args.out, args.arms, list(range(args.start, args.end + 1)))
     comparison.orderBy(F.col("arm")).show(truncate=False)
+    clear_stages(spark)
 
 
 if __name__ == "__main__":

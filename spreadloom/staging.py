@@ -9,7 +9,6 @@ sort-merged, without a hint in the code.
 from __future__ import annotations
 
 import atexit
-import math
 import shutil
 import tempfile
 import uuid
@@ -47,15 +46,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete every table this application has staged; at the end of a job, when its outputs are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lanes(spark: SparkSession) -> int:
     """Partitions for CPU-heavy exploded work, whose input bytes are tiny.
 
     AQE sizes partitions by bytes, which would put thousands of packed series in
-    one task although each expands to a whole fold of rows.
+    one task although each expands to a whole fold of rows. So the configured number
+    holds, and more where the cluster has more cores; there is no upper bound.
     """
-    cores = spark.sparkContext.defaultParallelism
     configured = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(max(configured, cores), 2 * cores))
+    return max(1, configured, spark.sparkContext.defaultParallelism)
 
 
 def side_by_side(tasks: list) -> list:
@@ -64,7 +70,3 @@ def side_by_side(tasks: list) -> list:
         return [task() for task in tasks]
     with ThreadPoolExecutor(max_workers=min(len(tasks), 4)) as pool:
         return [f.result() for f in [pool.submit(task) for task in tasks]]
-
-
-def gcd(*values: int) -> int:
-    return math.gcd(*values)
