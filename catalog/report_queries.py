@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spreadloom.operators import correlation as cr, reports as rp
-from spreadloom.config import CorrelationSearch
 from spreadloom.sources import results as rs
 from spreadloom.staging import new_stage_path
 
@@ -139,9 +138,7 @@ def pnl_histogram(spark, sf_dir):
 @query("bin:i bin_low:d n:i",
        hist("o_corr", "train_corr", 80, "(SELECT min(train_corr) FROM o_corr)", "(SELECT max(train_corr) FROM o_corr)"))
 def correlation_histogram(spark, sf_dir):
-    pairs = cr.correlated_pairs(I.open_weekly_market(spark, sf_dir).train.series,
-                                CorrelationSearch(top_k=None, min_corr=None))
-    return rp.histogram(pairs, "train_corr", 80)
+    return cr.correlation_histogram(I.open_weekly_market(spark, sf_dir).train.series, 80)
 
 
 @query("bin:i bin_low:d n:i",

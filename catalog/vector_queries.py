@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from spreadloom.config import AutoencoderSpec, GruSpec, NeighbourSearch
 from spreadloom.operators import autoregression as ar, neighbours as nb, windows as wn
+from spreadloom.operators.training import encode_windows
 from spreadloom.plans import selection as sl
 
 from . import inputs as I
@@ -206,6 +209,72 @@ def mean_ar_coefficients(spark, sf_dir):
     return ar.mean_coefficients(I.short_fits(spark, sf_dir))
 
 
+# Encoders with given weights: the forward pass in SQL. Weight k is ((37 k) mod 64 - 32) / 64.
+
+def _w(k: str) -> str:
+    return f"((37 * ({k})) % 64 - 32) / 64.0"
+
+
+def _given_weights(spark, sf_dir, net):
+    size = sum(math.prod(shape) for shape, _ in net.shapes())
+    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: ((k * 37 % 64 - 32) / 64).cast("float"))
+    return I.open_weekly_market(spark, sf_dir).folds.select("fold_id", values.alias("weights"))
+
+
+def _code_sums(codes):
+    return codes.groupBy("fold_id", "symbol").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col("code")[e]).alias(f"code_{e}") for e in (0, 1)])
+
+
+@query("fold_id:i symbol n:i code_0:d code_1:d", f"""
+SELECT fold_id, symbol, count(*) AS n, {", ".join(f"sum({' + '.join(f'h{j} * {_w(39 + 2 * j + e)}' for j in range(3))} + {_w(45 + e)}) AS code_{e}" for e in (0, 1))}
+FROM (SELECT fold_id, symbol, {", ".join(f"tanh({_w(36 + j)} + list_sum(list_transform(range(12), lambda i: x[i + 1] * ({_w(f'3 * i + {j}')})))) AS h{j}" for j in range(3))}
+      FROM o_windows) GROUP BY 1, 2""")
+def autoencoder_codes(spark, sf_dir):
+    net = sl.Autoencoder(AutoencoderSpec(hidden=3, emb_dim=2))
+    return _code_sums(encode_windows(_windows(spark, sf_dir), _given_weights(spark, sf_dir, net), net))
+
+
+def _gate(k: int, x: str = "s.x") -> tuple[str, str]:
+    return (f"({x} * ({_w(k)}) + {_w(18 + k)})",
+            f"(g.h0 * ({_w(6 + k)}) + g.h1 * ({_w(12 + k)}) + {_w(24 + k)})")
+
+
+def _next_state(j: int) -> str:
+    reset, keep, new = _gate(j), _gate(2 + j), _gate(4 + j)
+    sigmoid = "1 / (1 + exp(-({0} + {1})))"
+    kept = sigmoid.format(*keep)
+    return f"(1 - {kept}) * tanh({new[0]} + {sigmoid.format(*reset)} * {new[1]}) + {kept} * g.h{j} AS h{j}"
+
+
+@query("fold_id:i symbol n:i code_0:d code_1:d", f"""
+WITH RECURSIVE ends AS (
+    SELECT fold_id, symbol, pos, uni_rank % 15 + 1 AS back, pos - (uni_rank % 15 + 1) AS first
+    FROM o_pos JOIN o_uni USING (fold_id, symbol)),
+steps AS (
+    SELECT e.fold_id, e.symbol, e.pos, 16 - (e.pos - h.pos) AS step, h.ret AS x
+    FROM ends e JOIN o_pos h ON h.fold_id = e.fold_id AND h.symbol = e.symbol AND h.pos BETWEEN e.first AND e.pos - 1),
+whole AS (
+    SELECT fold_id, symbol, pos FROM steps s JOIN ends USING (fold_id, symbol, pos)
+    GROUP BY 1, 2, 3 HAVING count(x) = any_value(back)),
+grid AS (
+    SELECT w.fold_id, w.symbol, w.pos, k.step, coalesce(s.x, 0.0) AS x
+    FROM whole w CROSS JOIN (SELECT unnest(generate_series(1, 15)) AS step) k
+    LEFT JOIN steps s ON s.fold_id = w.fold_id AND s.symbol = w.symbol AND s.pos = w.pos AND s.step = k.step),
+g AS (
+    SELECT fold_id, symbol, pos, 0 AS step, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1 FROM whole
+    UNION ALL
+    SELECT g.fold_id, g.symbol, g.pos, s.step, {_next_state(0)}, {_next_state(1)}
+    FROM g JOIN grid s ON s.fold_id = g.fold_id AND s.symbol = g.symbol AND s.pos = g.pos AND s.step = g.step + 1)
+SELECT fold_id, symbol, count(*) AS n, {", ".join(f"sum(greatest(h0 * ({_w(30 + e)}) + h1 * ({_w(32 + e)}) + {_w(34 + e)}, 0)) AS code_{e}" for e in (0, 1))}
+FROM g WHERE step = 15 GROUP BY 1, 2""")
+def gru_codes(spark, sf_dir):
+    net = sl.GruRegressor(GruSpec(hidden=2, emb_dim=2))
+    series = I.open_weekly_market(spark, sf_dir).train.series
+    windows = wn.sliding_windows(series, _given_lookbacks(spark, sf_dir), GruSpec())
+    return _code_sums(encode_windows(windows, _given_weights(spark, sf_dir, net), net))
+
+
 # Fits whose numbers SQL cannot give; tests check them against loops and invariants.
 
 @query("fold_id:i symbol lag:i coef:d lookback:i")
