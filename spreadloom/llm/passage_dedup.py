@@ -33,7 +33,7 @@ from ..staging import stage
 from .bloom import WORDS_LOG2, second_filter, sketch_cells, suspected
 from .common import batch, columns, extend_rows, own_name
 
-PARAGRAPH_WORDS, LEAST_WORDS = 20, 40
+PARAGRAPH_WORDS, LEAST_WORDS = 12, 25
 
 _WORD = re.compile(r"\S+")
 _CLOSING = "\"')]}»”’"
