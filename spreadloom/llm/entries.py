@@ -104,8 +104,8 @@ CHECKS["op4_vector_dedup"] = """
 WITH RECURSIVE usable AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
