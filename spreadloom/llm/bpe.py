@@ -94,18 +94,21 @@ def unpack_words(packed: bytes) -> list[bytes]:
 
 
 class _Chunk:
-    """Documents read one after the other: positions by word number, and the words."""
+    """Documents read one after the other: the distinct words, and with ``places`` also where each stands."""
 
-    def __init__(self, split, n_buckets: int):
+    def __init__(self, split, n_buckets: int, places: bool):
         self.split, self.n_buckets = split, n_buckets
-        self.number: dict[str, int] = defaultdict()
+        self.number: dict[str, int] = defaultdict()  # in the order of first appearance
         self.number.default_factory = self.number.__len__
-        self.doc_ids, self.places, self.size, self.content = [], [], 0, xxhash.xxh3_64(seed=7)
+        self.doc_ids, self.places, self.size, self.content = [], [] if places else None, 0, xxhash.xxh3_64(seed=7)
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         words = self.split(text) if text else []
         self.doc_ids.append(doc_id)
-        self.places.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        if self.places is None:
+            self.number.update(dict.fromkeys(words, 0))
+        else:
+            self.places.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         raw = (text or "").encode()
         self.size += len(raw) + 64
         self.content.update(f"{doc_id} {len(raw)} ".encode())
@@ -114,21 +117,18 @@ class _Chunk:
     def name(self) -> int:
         return self.content.intdigest() - (1 << 63)
 
-    def words(self) -> list[tuple[int, bytes, int]]:
-        """(bucket, word, number), sorted: the order of the chunk's packs."""
+    def dealt(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words as UTF-8, their buckets, and their order in the packs: by bucket, then by appearance."""
         coded = [w.encode() for w in self.number]
-        return sorted((xxhash.xxh3_64_intdigest(w) % self.n_buckets, w, i) for i, w in enumerate(coded))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded), np.uint64, len(coded))
+        bucket = (hashes % np.uint64(self.n_buckets)).astype(np.int64)
+        return coded, bucket, np.argsort(bucket, kind="stable")
 
     def packs(self):
-        run, last = [], None
-        for bucket, word, _ in self.words():
-            if bucket != last and run:
-                yield self.name(), last, pack_words(run)
-                run = []
-            last = bucket
-            run.append(word)
-        if run:
-            yield self.name(), last, pack_words(run)
+        coded, bucket, order = self.dealt()
+        found, begins = np.unique(bucket[order], return_index=True)
+        for own, a, z in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)]):
+            yield self.name(), own, pack_words(sorted(coded[i] for i in order[a:z].tolist()))
 
     def positions(self) -> tuple[int, int, list, list[int], bytes]:
         """Positions by frequency rank, which compress well, and the place of each rank among the packed words."""
@@ -136,20 +136,24 @@ class _Chunk:
         by_rank = np.argsort(-np.bincount(places, minlength=len(self.number)), kind="stable")
         rank = np.empty(len(by_rank), np.int64)
         rank[by_rank] = np.arange(len(by_rank))
+        coded, bucket, order = self.dealt()
+        begins = np.unique(bucket[order], return_index=True)[1].tolist()
+        for a, z in zip(begins, [*begins[1:], len(order)]):
+            order[a:z] = sorted(order[a:z].tolist(), key=coded.__getitem__)  # as the packs are sorted
         place = np.empty(len(by_rank), np.int64)
-        place[np.fromiter((i for _, _, i in self.words()), np.int64, len(by_rank))] = np.arange(len(by_rank))
+        place[order] = np.arange(len(by_rank))
         return self.name(), -1, self.doc_ids, [len(p) for p in self.places], pack(rank[places], place[by_rank])
 
 
-def _chunks(batches, pattern: str, n_buckets: int, chunk_bytes: int):
+def _chunks(batches, pattern: str, n_buckets: int, chunk_bytes: int, places: bool):
     split = splitter(pattern)
-    chunk = _Chunk(split, n_buckets)
+    chunk = _Chunk(split, n_buckets, places)
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             chunk.add(doc_id, text)
             if chunk.size >= chunk_bytes:
                 yield chunk
-                chunk = _Chunk(split, n_buckets)
+                chunk = _Chunk(split, n_buckets, places)
     if chunk.doc_ids:
         yield chunk
 
@@ -221,12 +225,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     given = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
 
     def words(batches):
-        for chunk in _chunks(batches, pattern, n, chunk_bytes):
+        for chunk in _chunks(batches, pattern, n, chunk_bytes, False):
             for row in chunk.packs():
                 yield batch(PACKS, [[x] for x in row])
 
     def positions(batches):
-        for chunk in _chunks(batches, pattern, n, chunk_bytes):
+        for chunk in _chunks(batches, pattern, n, chunk_bytes, True):
             yield batch(PARTS, [[x] for x in chunk.positions()])
 
     coded = (given.mapInArrow(words, PACKS).repartition(n, "bucket").sortWithinPartitions("bucket")
@@ -235,14 +239,30 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
             .repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_assemble, IDS))
 
 
+def _rows_of_ids(b: pa.RecordBatch):
+    """The ids of each row as a list of Python numbers, or None; the values of a batch are unpacked at once."""
+    lists = b.column(1)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    values, offsets = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
+    for known, a, z in zip(lists.is_valid().to_pylist(), offsets, offsets[1:]):
+        yield values[a:z] if known else None
+
+
+def _table(path: str) -> list[bytes]:
+    """The token table as a list by id; ids without a token are gaps."""
+    tokens = token_bytes(path)
+    return [tokens.get(i) for i in range(max(tokens) + 1)]
+
+
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """(doc_id, bytes): the ids of each row joined with the token table, which is as large as the vocabulary."""
 
     def run(batches):
-        table = token_bytes(path)
+        table = _table(path)
         for b in batches:
             yield batch(BYTES, [b.column(0), [None if ids is None else b"".join(map(table.__getitem__, ids))
-                                              for ids in b.column(1).to_pylist()]])
+                                              for ids in _rows_of_ids(b)]])
 
     return coded.select("doc_id", "ids").mapInArrow(run, BYTES)
 
@@ -252,15 +272,14 @@ def round_trip_digests(coded: DataFrame, path: str) -> DataFrame:
     schema = columns("doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
     def run(batches):
-        table = token_bytes(path)
-        said = {i: str(i) for i in table}
+        table = _table(path)
+        said = [str(i) for i in range(len(table))]
         for b in batches:
-            rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.append((doc_id, len(ids),
-                             hashlib.sha256(" ".join(map(said.__getitem__, ids)).encode()).hexdigest(),
-                             hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest()))
-            if rows:
-                yield batch(schema, list(zip(*rows)))
+            n, names, texts = [], [], []
+            for ids in _rows_of_ids(b):
+                n.append(len(ids))
+                names.append(hashlib.sha256(" ".join(map(said.__getitem__, ids)).encode()).hexdigest())
+                texts.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
+            yield batch(schema, [b.column(0), n, names, texts])
 
     return coded.select("doc_id", "ids").mapInArrow(run, schema)
