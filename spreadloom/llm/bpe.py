@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batch, columns, partitions
 from .pretokens import splitter
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 #: Ids in a batch of results.
 BLOCK_IDS = 1 << 20
 
