@@ -147,20 +147,26 @@ def search(start: int, prints: np.ndarray, forest: Forest, rows: np.ndarray, rin
         key = key << np.uint64(width) | (prints >> np.uint64(low)) & np.uint64((1 << width) - 1)
     masks = [np.uint64(((1 << width) - 1) << low) for low, width in chain]
     order = np.argsort(key, kind="stable")
-    key, prints, rows = key[order], prints[order], rows[order]
-    here = np.arange(len(key))
+    prints, rows = prints[order], rows[order]
+    keys, begins, counts = np.unique(key[order], return_index=True, return_counts=True)
     for way in ring.ways(start):
-        other = key ^ np.uint64(way)
-        high = np.searchsorted(key, other, "right")
-        # Each pair once: only what stands behind.
-        low = here + 1 if way == 0 else np.where(other > key, np.searchsorted(key, other, "left"), high)
-        n = np.maximum(high - low, 0)
-        total = np.concatenate(([0], np.cumsum(n)))
+        if way == 0:
+            one = two = np.flatnonzero(counts > 1)
+        else:
+            one = np.flatnonzero(keys ^ np.uint64(way) > keys)  # each two keys once
+            other = keys[one] ^ np.uint64(way)
+            two = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+            met = keys[two] == other
+            one, two = one[met], two[met]
+        total = np.concatenate(([0], np.cumsum(counts[one] * counts[two])))
         for at in range(0, int(total[-1]), PAIR_BLOCK):
             stop = min(at + PAIR_BLOCK, int(total[-1]))
             i, j = np.searchsorted(total, [at, stop - 1], "right") - 1
-            a = np.repeat(here[i:j + 1], np.minimum(total[i + 1:j + 2], stop) - np.maximum(total[i:j + 1], at))
-            b = low[a] + np.arange(at, stop) - total[a]
+            pair = np.repeat(np.arange(i, j + 1), np.minimum(total[i + 1:j + 2], stop) - np.maximum(total[i:j + 1], at))
+            nth, wide = np.arange(at, stop) - total[pair], counts[two[pair]]
+            a, b = begins[one[pair]] + nth // wide, begins[two[pair]] + nth % wide
+            if way == 0:
+                a, b = a[a < b], b[a < b]
             apart = forest.label[rows[a]] != forest.label[rows[b]]
             a, b = a[apart], b[apart]
             differs, so_far = prints[a] ^ prints[b], np.zeros(len(a), np.int64)
