@@ -36,7 +36,7 @@ from .components import Forest, connected_components
 LEAST_COSINE = 0.93
 NEIGHBOURS, TREES, LEAF, MOST_BITS = 10, 4, 256, 24
 #: Rows compared in one block; rows of a component block; reverse neighbours in one group.
-BLOCK, COMPONENT_BLOCK, POPULAR = 4096, 1024, 256
+BLOCK, COMPONENT_BLOCK, POPULAR = 4096, 256, 256
 MOST_DESCENTS, STILL = 4, 0.02
 AUDIT_ROWS, RECALL, MOST_AUDITS = 1000, 0.995, 4
 
