@@ -18,9 +18,7 @@ A group holds distinct fingerprints only, so a group of copies, however large, i
 A group of more than ``GROUP_ROWS`` is cut in blocks, and each two blocks meet in a task of their own.
 
 ``near_duplicates`` links by the fingerprint alone. ``similar_documents`` is for a similarity of word
-shingles, which 64 bits measure too coarsely: the ring searches two fingerprints, of the set of
-words and of the set of word pairs, within eight bits each, and 256 bits over the five-word shingles confirm. Of two documents of similarity
-0.8 they differ in 39 bits on average, with a deviation of 6, and of unrelated ones in 128; the limit is 50.
+shingles, which fingerprints measure too coarsely: ``jaccard_links`` searches by minima and decides on the exact sets.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and
 is linked like any other; a row with a null id gets a fingerprint and the component of
@@ -40,13 +38,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..staging import stage
 from .common import batch, columns, partitions
 from .components import Forest, connected_components
+from .jaccard_links import keyed, similar_links
 
 SEED = 42
 #: Pairs held at once while a group is searched, rows at which complete groups are searched, most rows of a group.
 PAIR_BLOCK, ROW_BLOCK, GROUP_ROWS = 1 << 17, 1 << 16, 1 << 20
 
 PRINTS = columns("doc_id bigint, print bigint")
-WIDE_PRINTS = columns("doc_id bigint, word_print bigint, pair_print bigint, fine binary")
 LINKS = columns("a bigint, b bigint")
 
 
@@ -110,21 +108,6 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(majority(hashes)[0]) if len(hashes) else 0
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, int, bytes]:
-    """64 bits over the set of words, 64 over the set of word pairs, and ``FINE_BITS`` over the shingles."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return 0, 0, bytes(FINE_BITS // 8)
-    fine = []
-    for i in range(FINE_BITS // 64):  # the finishing steps of SplitMix64 on shifted values
-        x = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        fine.append(x ^ (x >> np.uint64(31)))
-    coarse = (int(majority(np.unique(shingle_hashes(text, n)))[0]) for n in (1, 2))
-    return *coarse, majority(np.stack(fine, axis=1)).tobytes()
-
-
 def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, print): the fingerprint of each whole text as a signed long. No shuffle."""
 
@@ -254,20 +237,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id",
 
 
 def similar_documents(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents whose shingles of ``words`` words have a similarity of about 0.8 or more, by components."""
-    def run(batches):
-        for b in batches:
-            each = [wide_fingerprint(t, words) for t in b.column(1).to_pylist()]
-            coarse = [np.array([e[i] for e in each], np.uint64).view(np.int64) for i in (0, 1)]
-            yield batch(WIDE_PRINTS, [b.column(0).cast("int64"), *coarse, [e[2] for e in each]])
-
-    bits = ["word_print", "pair_print", "fine"]
-    prints = stage(docs.filter(F.col(id_column).isNotNull()).select(id_column, text_column).mapInArrow(run, WIDE_PRINTS), "prints")
-    kinds = stage(prints.groupBy(bits).agg(F.min("doc_id").alias("node")), "distinct-prints")
-    links = [near_links(kinds.select("node", F.col(c).alias("print"), "fine"), WIDE) for c in bits[:2]]
-    groups = connected_components(links[0].unionByName(links[1]))
-    of_kind = stage(kinds.join(groups, "node", "left").select(*bits, F.coalesce("component", "node").alias("component_id")), "print-components")
-    return prints.join(of_kind, bits).select("doc_id", "component_id")
+    """(doc_id, component_id): documents whose sets of shingles of ``words`` words have a similarity of 0.8 or more, by components."""
+    def shingle_set(text):
+        return np.unique(shingle_hashes(text, words))
+
+    given = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    prints = stage(keyed(given, shingle_set), "prints")
+    kinds = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "keys", "minima")]),
+                  "distinct-sets")
+    groups = connected_components(similar_links(given, kinds, shingle_set))
+    labels = stage(kinds.join(groups, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("label")), "labels")
+    least = labels.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_node = labels.join(least, "label").select("node", "component_id")
+    return prints.join(of_node, "node").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -132,3 +132,30 @@ def test_similar_documents_are_grouped_and_others_left(spark):
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {*want.values(), None, 900}
     assert drop_similar(df.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = (set(simhash_dedup.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_cut_pasted_and_replaced_copies_of_similarity_08_are_linked(spark):
+    rng, docs, want = random.Random(9), [], {}
+    filler = " ".join(f"f{i}" for i in range(30)) + " "
+    for g in range(240):
+        base = [f"g{g}w{rng.randrange(500)}" for _ in range(rng.randrange(120, 600))]
+        n, share = len(base), rng.uniform(0.02, 0.3)
+        at, k = rng.randrange(n // 2), int(n * share)
+        copy = [base[:n - k], base[:at] + (filler * 20).split()[:k] + base[at:], base[:at] + (filler * 20).split()[:k] + base[at + k:]][g % 3]
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (jaccard(docs[-1][1], docs[-2][1]) < 0.8)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_documents(df).collect()} == want
+    assert 60 < sum(i == c for i, c in want.items()) - 240 < 180
+
+
+def test_chains_that_no_star_joins(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[12 * i:12 * i + 150])) for i in range(20)]  # neighbours 0.85, next but one 0.72
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(20), 0)
