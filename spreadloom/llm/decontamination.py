@@ -2,14 +2,16 @@
 
 Words are runs of word characters, lower-cased. The seeds are the benchmark's n-grams of
 ``SEED_WORDS`` words, and one pass over all documents counts how many hold each. An item keeps the seeds
-that are rare in the corpus, and in any case the rarer half of its own: an item that a third
-of all documents copy has no rare seed, yet keeps half of them.
+that are rare in the corpus, and in any case the rarer half of its own and of each ``STRETCH`` of them in a row: an
+item that a third of all documents copy has no rare seed, yet keeps half of them, and so does any passage of it.
 
 A second pass looks up the kept seeds in every document. Where enough different seeds of
 an item lie near one diagonal (place in the document minus place in the item), the passage
 around is aligned with the item's words: match 2, other word -1, gap -1. The score is
-divided by twice the item's words, so 1 is a whole copy; pairs of at least ``least`` are the result,
-with the aligned words' offsets in the text.
+divided by twice the item's words, so 1 is a whole copy. Pairs of at least ``least`` are the result, and those
+whose aligned part counts ``PASSAGE_WORDS`` words whatever the item's length (an edit takes off half a word), with
+the aligned words' offsets in the text. Where one part is too little, disjoint parts of the item at disjoint places of
+the document are added up, each of a fifth of the item, but four words at least and eight are enough; the offsets then reach from the first to the last.
 
 The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters, each broadcast to
 both passes: the bound holds whatever the benchmark's size, and all blocks are worked on. Documents are never shuffled.
@@ -35,6 +37,8 @@ from .common import batch, columns, extend_rows
 SEED_WORDS, LEAST_SCORE = 2, 0.4
 #: Seeds in at most this share of the documents are rare. Near a diagonal: within this many words, or a third of the item.
 RARE_SHARE, NEAR_WORDS = 1e-3, 8
+#: Words of a passage that is reported by itself; places of seeds of which half are kept; fewest and most words of a part that is added.
+PASSAGE_WORDS, STRETCH, PART_WORDS = 20, 4, (4, 8)
 BLOCK_CHARS = 8 << 20
 MATCH, OTHER, GAP = 2, -1, -1
 
@@ -123,18 +127,57 @@ def _best(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def kept_seeds(block: Block, frequency: np.ndarray, rare: float) -> np.ndarray:
-    """For each seed whether an item keeps it: rare in the corpus, or in the rarer half of an item's."""
+    """For each seed whether an item keeps it: rare in the corpus, or in the rarer half of an item's or of a stretch's."""
     keep = frequency <= rare
-    own = defaultdict(set)
+    own = defaultdict(list)
     for seed, places in enumerate(block.places):
-        for item, _ in places:
-            own[item].add(seed)
-    for seeds in own.values():
-        each = np.array(sorted(seeds))
+        for item, place in places:
+            own[item].append((place, seed))
+    for found in own.values():
+        row = np.array([seed for _, seed in sorted(found)])
+        each = np.unique(row)
         keep[each[frequency[each] <= np.median(frequency[each])]] = True
+        if len(row) >= STRETCH:
+            stretches = np.concatenate([row[:len(row) // STRETCH * STRETCH], row[-STRETCH:]]).reshape(-1, STRETCH)
+            counts = frequency[stretches]
+            keep[stretches[counts <= np.sort(counts, axis=1)[:, [STRETCH // 2 - 1]]]] = True
     return keep
 
 
+def near_diagonals(found: list[tuple[int, int]], slack: int, needed: int):
+    """(first, last) diagonal of each run of ``found`` (diagonal, seed) without a gap over ``slack`` that has enough seeds."""
+    found.sort()
+    i = 0
+    while i < len(found):
+        j = i
+        while j + 1 < len(found) and found[j + 1][0] - found[j][0] <= slack:
+            j += 1
+        if len({seed for _, seed in found[i:j + 1]}) >= needed:
+            yield found[i][0], found[j][0]
+        i = j + 1
+
+
+def added_parts(block: Block, item: int, coded: np.ndarray, where: np.ndarray, seeds: np.ndarray, slack: int,
+                part: int) -> tuple[int, int, int]:
+    """(score, first word, word behind the last) of disjoint parts of an item of ``part`` words or more, by all its seeds."""
+    own, coded = block.items[item][1].copy(), coded.copy()
+    mine = {seed: [place for i, place in block.places[seed] if i == item]
+            for seed in np.unique(block.hits(own)[1]).tolist()}
+    hit = np.isin(seeds, list(mine))
+    found = [(at - place, seed) for at, seed in zip(where[hit].tolist(), seeds[hit].tolist()) for place in mine[seed]]
+    total, first, last = 0, len(coded), 0
+    for low, high in list(near_diagonals(found, slack, 2)):
+        low, high = max(0, low - slack), min(len(coded), max(0, high) + len(own) + slack)
+        while True:
+            score, a, z = align(own, coded[low:high])
+            if score < MATCH * part:
+                break
+            _, begin, end = align(coded[low + a:low + z], own)
+            own[begin:end], coded[low + a:low + z] = -1, -2  # neither meets anything again
+            total, first, last = total + score, min(first, low + a), max(last, low + z)
+    return total, first, last
+
+
 def matches(block: Block, keep: np.ndarray, text: str | None, least: float) -> list[tuple[int | None, float, int, int]]:
     """(item id, score, start, end) of each item the text holds; offsets in code points of the lower-cased text."""
     words = words_of(text)
@@ -151,22 +194,18 @@ def matches(block: Block, keep: np.ndarray, text: str | None, least: float) -> l
         slack = max(NEAR_WORDS, len(own) // 3)
         # A copy whose alignment reaches ``least`` keeps pairs of neighbours; two must be seen, or all a short item has.
         needed = min(2, max(1, len(own) // 6))
-        found.sort()
-        best, i = None, 0
-        while i < len(found):
-            j = i
-            while j + 1 < len(found) and found[j + 1][0] - found[j][0] <= slack:
-                j += 1
-            if len({seed for _, seed in found[i:j + 1]}) >= needed:
-                low = max(0, found[i][0] - slack)
-                high = min(len(words), max(0, found[j][0]) + len(own) + slack)
-                score, a, z = align(own, coded[low:high])
-                score /= MATCH * len(own)
-                if score >= least and (best is None or score > best[1]):
-                    best = (item_id, score, low + a, low + z)
-            i = j + 1
-        if best:
-            out.append(best)
+        wanted = min(least * MATCH * len(own), MATCH * PASSAGE_WORDS)
+        best = 0, 0, 0
+        for low, high in near_diagonals(found, slack, needed):
+            low, high = max(0, low - slack), min(len(words), max(0, high) + len(own) + slack)
+            score, a, z = align(own, coded[low:high])
+            if score > best[0]:
+                best = score, low + a, low + z
+        part = min(PART_WORDS[1], max(PART_WORDS[0], len(own) // 5))
+        if MATCH * part <= best[0] < wanted and MATCH * np.isin(own, coded).sum() >= wanted:
+            best = max(best, added_parts(block, item, coded, where, seeds, slack, part))
+        if best[0] > 0 and best[0] >= wanted:
+            out.append((item_id, best[0] / (MATCH * len(own)), *best[1:]))
     if out:
         spans = [m.span() for m in WORD.finditer(text.lower())]
         out = [(item_id, score, spans[a][0], spans[z - 1][1]) for item_id, score, a, z in out]

@@ -86,3 +86,24 @@ def test_query_against_brute_force(spark, sf_dir):
     strong = {k: v for k, v in want.items() if v >= 0.6}
     assert strong and {k: got.get(k) for k in strong} == strong
     assert all(k in want and got[k] <= want[k] for k in got)
+
+
+def test_passages_of_long_items_and_moved_parts(spark, filler):
+    rng = random.Random(8)
+    long, short = ([f"{c}{rng.randrange(900)}" for _ in range(n)] for c, n in (("l", 300), ("s", 30)))
+    docs = {1: long[50:150], 2: long[211:231], 3: long[211:229], 4: short[20:] + filler(90).split() + short[10:20] + filler(70).split() + short[:10],
+            5: sum([long[i:i + 11] + filler(300).split() for i in (250, 100, 40)], []), 6: sum([long[i:i + 5] + filler(300).split() for i in (9, 90, 200)], []),
+            7: short[:9], 8: long[100:200] + filler(150).split() + long[200:] + filler(150).split() + long[:100], 9: short[3:12] + filler(60).split() + short[3:12]}
+    d = spark.createDataFrame([(i, filler(40) + " " + " ".join(w) + " " + filler(40)) for i, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(d, b).collect()}
+    assert got.keys() == {(1, 1), (2, 1), (4, 2), (5, 1), (8, 1)}
+    assert got[1, 1] == pytest.approx(1 / 3, abs=0.01) and got[4, 2] == pytest.approx(1, abs=0.01)
+    assert sorted(r.doc_id for r in drop_contaminated(d, b).collect()) == [3, 6, 7, 9]
+
+
+def test_a_common_passage_of_a_rare_item_is_found(spark, filler):
+    item = [f"r{i}" for i in range(200)]
+    docs = [(i, filler(20) + " " + " ".join(item[60:82]) + " " + filler(20)) for i in range(50)]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).count() == 50
