@@ -1,8 +1,10 @@
 """Substring dedup by hashed paragraphs: repeated passages go, their first occurrence stays.
 
 A text is cut in units: a unit ends at a line end, behind a sentence mark, and before a
-word with a capital letter, since a passage pasted in the middle of a line begins with one.
-From each unit's start a paragraph of whole units is taken until it has ``PARAGRAPH_WORDS`` words. Its words, lower-cased and
+word with a capital letter, since a passage pasted in the middle of a line begins with one. A passage without such marks has
+borders by content: a unit also begins at the word whose hash is the smallest of ``WINDOW`` neighbours, which are the same words wherever the passage stands.
+From each unit's start a paragraph of whole units is taken until it has ``PARAGRAPH_WORDS`` words, and to each unit's end
+the shortest such one that ends there. Its words, lower-cased and
 joined by one space, are hashed. So a paragraph inside a pasted passage has the same digest wherever the
 passage stands, which digests of lines alone would not give.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -33,7 +36,7 @@ from ..staging import stage
 from .bloom import WORDS_LOG2, second_filter, sketch_cells, suspected
 from .common import batch, columns, extend_rows, own_name
 
-PARAGRAPH_WORDS, LEAST_WORDS = 12, 25
+PARAGRAPH_WORDS, LEAST_WORDS, WINDOW = 12, 25, 8
 
 _WORD = re.compile(r"\S+")
 _CLOSING = "\"')]}»”’"
@@ -56,6 +59,20 @@ def unit_starts(text: str, spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+@lru_cache(1 << 16)
+def word_hash(word: str) -> int:
+    return xxhash.xxh32_intdigest(word)
+
+
+def content_starts(words: list[str]) -> np.ndarray:
+    """Numbers of the words whose hash is the smallest, the last such one, of some ``WINDOW`` words in a row."""
+    if len(words) < WINDOW:
+        return np.empty(0, np.int64)
+    hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
+    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], WINDOW)
+    return np.unique(len(words) - 1 - np.arange(len(windows)) - windows.argmin(axis=1))
+
+
 def paragraphs(text: str | None, size: int = PARAGRAPH_WORDS) -> tuple[list[tuple[int, int]], list[bytes], list[tuple[int, int]]]:
     """(first word, word behind the last) of each paragraph, its normalised words, and all words' offsets."""
     if not text:
@@ -63,13 +80,16 @@ def paragraphs(text: str | None, size: int = PARAGRAPH_WORDS) -> tuple[list[tupl
     spans = word_starts(text)
     if len(spans) < size:
         return [], [], spans
-    starts = np.array(unit_starts(text, spans) + [len(spans)])
-    ends = np.searchsorted(starts, starts[:-1] + size)
-    whole = ends < len(starts)
-    places = list(zip(starts[:-1][whole].tolist(), starts[ends[whole]].tolist()))
     words = text.lower().split()
     if len(words) != len(spans):  # a letter whose lower case holds white space: none is known
         words = [text[a:z].lower() for a, z in spans]
+    starts = np.union1d(unit_starts(text, spans) + [len(spans)], content_starts(words))
+    ends = np.searchsorted(starts, starts + size)
+    begins = np.searchsorted(starts, starts - size, "right") - 1
+    ahead, back = ends < len(starts), begins >= 0
+    pairs = np.concatenate([np.stack([starts[ahead], starts[ends[ahead]]], axis=1), np.stack([starts[begins[back]], starts[back]], axis=1)])
+    codes = np.unique(pairs[:, 0] * (len(spans) + 1) + pairs[:, 1])
+    places = list(zip((codes // (len(spans) + 1)).tolist(), (codes % (len(spans) + 1)).tolist()))
     return places, [" ".join(words[a:z]).encode() for a, z in places], spans
 
 

@@ -57,3 +57,20 @@ def test_query_against_brute_force(spark, sf_dir):
     got = collected(op7_substring_dedup(spark, sf_dir))
     assert got == plain(docs)
     assert any(cut for _, _, cut in got)
+
+
+def test_passages_without_marks_cut_at_any_word_go(spark):
+    rng = random.Random(2)
+    words = ["w%d" % i for i in range(3000)]
+    docs = []
+    for i in range(40):
+        passage = [rng.choice(words) + "," * (i % 2) for _ in range(50 + i)]
+        for _ in range(2):
+            host = [rng.choice(words) for _ in range(rng.randrange(60, 200))]
+            at = rng.randrange(len(host))
+            docs.append((len(docs), " ".join(host[:at] + passage + host[at:])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = collected(drop_repeated_passages(df))
+    assert got == plain(docs)
+    lost = {i: len(dict(docs)[i].split()) - len(t.split()) for i, t, _ in got}
+    assert all(lost[2 * i] == 0 and 30 + i <= lost[2 * i + 1] <= 50 + i for i in range(40))
