@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (
-    bpe, decontamination, html_text, line_dedup, passage_dedup, personal_data, quality, simhash_dedup, token_counts,
-    vector_dedup)
+    bpe, decontamination, exact_dedup, html_text, line_dedup, passage_dedup, personal_data, quality, simhash_dedup,
+    token_counts, vector_dedup)
 from .common import read_table
 
 QUERIES, CHECKS = {}, {}
@@ -120,6 +120,21 @@ FROM embeddings e JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
 """
 
 
+@query
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.mark_copies(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+CHECKS["op13_exact_dedup"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+copies AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY norm)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
+       sha256(norm) AS text_sha256
+FROM texts JOIN copies USING (norm)
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
