@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (
-    bpe, decontamination, exact_dedup, html_text, line_dedup, passage_dedup, personal_data, quality, simhash_dedup,
-    token_counts, vector_dedup)
+    bpe, decontamination, exact_dedup, fill_middle, html_text, line_dedup, passage_dedup, personal_data, quality,
+    simhash_dedup, token_counts, vector_dedup)
 from .common import read_table
 
 QUERIES, CHECKS = {}, {}
@@ -120,6 +120,43 @@ FROM embeddings e JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
 """
 
 
+@query
+def op11_fill_middle(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    moved = fill_middle.fill_middle(docs).drop("text")
+    return fill_middle.restore(moved).select(
+        "doc_id", F.col("n_units").alias("n"), F.col("fim_form").alias("form"), "prefix_chars", "middle_chars",
+        F.sha2("fim_text", 256).alias("output_sha256"), F.sha2("restored_text", 256).alias("restored_sha256"))
+
+
+CHECKS["op11_fill_middle"] = """
+WITH lines AS (
+    SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts,
+           sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
+drawn AS (
+    SELECT doc_id, text, parts, len(parts) - (parts[-1] = '')::INT AS n,
+           [('0x' || substr(code, 8 * i + 1, 8))::BIGINT for i in range(4)] AS h FROM lines),
+cuts AS (
+    SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS z FROM drawn),
+heads AS (
+    SELECT *, [CASE WHEN k = 0 THEN '' WHEN k = n THEN text ELSE array_to_string(parts[1:k], chr(10)) || chr(10) END
+               for k in [a, z]] AS head FROM cuts),
+pieces AS (
+    SELECT doc_id, n, text, h, head[1] AS pre, substr(head[2], length(head[1]) + 1) AS mid,
+           substr(text, length(head[2]) + 1) AS suf,
+           text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS is_plain FROM heads),
+formed AS (
+    SELECT *, CASE WHEN is_plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM pieces)
+SELECT doc_id, n::BIGINT AS n, form,
+       (CASE WHEN form <> 'plain' THEN length(pre) END)::BIGINT AS prefix_chars,
+       (CASE WHEN form <> 'plain' THEN length(mid) END)::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+              ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed
+"""
+
+
 @query
 def op13_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
