@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (
-    bpe, decontamination, exact_dedup, fill_middle, html_text, line_dedup, passage_dedup, personal_data, quality,
-    simhash_dedup, token_counts, vector_dedup)
+    bpe, decontamination, exact_dedup, fill_middle, html_text, line_dedup, passage_dedup, periodic_runs,
+    personal_data, quality, simhash_dedup, token_counts, vector_dedup)
 from .common import read_table
 
 QUERIES, CHECKS = {}, {}
@@ -157,6 +157,12 @@ FROM formed
 """
 
 
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_periodic_tails(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs))
+
+
 @query
 def op13_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
