@@ -21,7 +21,7 @@ MIN_BP_ROWS = 60
 
 def pair_grid(pairs: DataFrame, series: DataFrame, folds: DataFrame | None = None,
               side: str = "train", returns: bool = True) -> DataFrame:
-    """One row per (pair, grid bar): pair columns, bar_seq, close_a/b and, with ``returns``, ret_a/b.
+    """One row per (pair, grid bar): pair columns, first_seq, bar_seq, close_a/b and, with ``returns``, ret_a/b.
 
     With ``folds`` a pair keeps its full grid of empty bars when a leg has no
     bar at all in the window; without, such a pair has no rows.
@@ -45,7 +45,7 @@ def pair_grid(pairs: DataFrame, series: DataFrame, folds: DataFrame | None = Non
     keyed = both.repartition(lanes(pairs.sparkSession), *PAIR)
     kept = [F.col(c) for c in pairs.columns]
     return keyed.select(*kept, "lo", F.posexplode(F.arrays_zip(*packed))).select(
-        *kept, (F.col("lo") + F.col("pos")).alias("bar_seq"), *[F.col(f"col.{c}").alias(c) for c in packed])
+        *kept, F.col("lo").alias("first_seq"), (F.col("lo") + F.col("pos")).alias("bar_seq"), *[F.col(f"col.{c}").alias(c) for c in packed])
 
 
 def residual(log_a: Column, log_b: Column, alpha: Column, beta: Column) -> Column:

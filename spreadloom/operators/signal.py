@@ -8,13 +8,6 @@ from ..config import TradeRule
 from ..functions.numeric import safe_div
 from .pairstats import PAIR, residual
 
-# Frame bounds must be literals but each pair has its own window width. Ordering by
-# floor(seq * SCALE / width) makes "the last `width` bars" the constant key range
-# SCALE - 1, exact for widths up to SCALE. The key grows with the bar, so it also
-# serves as the time order of every other window: one sort for the whole chain.
-SCALE = 1_000_000
-
-
 def leg_weights(beta: Column) -> tuple[Column, Column]:
     """Dollar-neutral weights of the two legs per unit of spread."""
     gross = 1 + F.abs(beta)
@@ -27,24 +20,26 @@ def window_width(half_life: Column, rule: TradeRule) -> Column:
 
 
 def _time_order(keys: tuple[str, ...]) -> WindowSpec:
-    return W.partitionBy(*keys).orderBy("time_key")
+    # Blocks follow each other in time, so this is the time order, and the sort that windows inside a block need.
+    return W.partitionBy(*keys).orderBy("block", "bar_seq")
 
 
-def with_time_key(grid: DataFrame, rule: TradeRule) -> DataFrame:
+def with_blocks(grid: DataFrame, rule: TradeRule) -> DataFrame:
+    """Add ``width``, the bars of the pair's own window, and ``block``: each pair's bars in runs of ``width``."""
     width = F.coalesce(window_width(F.col("half_life"), rule), F.lit(1).cast("bigint"))
-    return grid.withColumn("width", width).withColumn(
-        "time_key", F.expr(f"(bar_seq * {SCALE}L) div width"))
+    return grid.withColumn("width", F.greatest(width, F.lit(1))).withColumn(
+        "block", F.expr("(bar_seq - first_seq) div width"))
 
 
 def spread_zscores(grid: DataFrame, rule: TradeRule = TradeRule(),
                    keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """Add ``spread`` and ``z`` to a pair grid that carries alpha, beta, mu, sigma, half_life.
+    """Add ``spread`` and ``z`` to a pair grid that carries first_seq, alpha, beta, mu, sigma, half_life.
 
     z is taken against the trailing window of the pair's own width; a pair without
     a half-life is measured against its train mean and deviation.
     """
     spread = residual(F.ln("close_a"), F.ln("close_b"), F.col("alpha"), F.col("beta"))
-    rows = with_time_key(grid, rule).withColumn("spread", spread)
+    rows = with_blocks(grid, rule).withColumn("spread", spread)
     frozen = safe_div(F.col("spread") - F.col("mu"), F.col("sigma"))
     if not rule.rolling:
         return rows.withColumn("z", frozen)
@@ -52,21 +47,65 @@ def spread_zscores(grid: DataFrame, rule: TradeRule = TradeRule(),
         "z", F.when(F.col("half_life").isNull(), frozen).otherwise(F.col("z")))
 
 
+def _moments(value: str, frame: WindowSpec) -> Column:
+    """(n, mean, m2, low, high) of a frame; m2 is the sum of squared deviations from the frame's own mean."""
+    n = F.count(value).over(frame)
+    return F.struct(
+        n.alias("n"), F.avg(value).over(frame).alias("mean"), (F.var_pop(value).over(frame) * n).alias("m2"),
+        F.min(value).over(frame).alias("low"), F.max(value).over(frame).alias("high"))
+
+
+def merged_moments(a: Column, b: Column) -> Column:
+    """The moments of two disjoint sets of values together; either may be empty or NULL."""
+    n_a, n_b = F.coalesce(a["n"], F.lit(0)), F.coalesce(b["n"], F.lit(0))
+    apart, share = b["mean"] - a["mean"], F.try_divide(n_b, n_a + n_b)
+    low, high = F.least(a["low"], b["low"]), F.greatest(a["high"], b["high"])
+    m2 = (F.coalesce(a["m2"], F.lit(0.0)) + F.coalesce(b["m2"], F.lit(0.0))
+          + F.coalesce(apart * apart * share * n_a, F.lit(0.0)))
+    return F.struct(
+        (n_a + n_b).alias("n"), F.coalesce(a["mean"] + apart * share, a["mean"], b["mean"]).alias("mean"),
+        # Means of equal values may differ in the last digit; low and high tell that nothing is spread.
+        F.when(low == high, 0.0).otherwise(m2).alias("m2"), low.alias("low"), high.alias("high"))
+
+
+def rolling_moments(rows: DataFrame, value: str, keys: tuple[str, ...] = PAIR) -> DataFrame:
+    """Add ``seen``: (n, mean, m2, low, high) of ``value`` over the last ``width`` grid bars, at a cost that does not grow with the width.
+
+    The last ``width`` bars are the end of one block and the beginning of the next. Running
+    moments from both sides of every block give either part, and the two are merged, so
+    nothing is ever subtracted and a large offset of the values costs no digits. The bar
+    ``width - 1`` steps back is the previous one of those whose number leaves the same rest
+    by ``width - 1``, which turns each pair's own distance into a plain lag. Rows need
+    ``first_seq``, ``width``, ``block``, and one row for every bar from first_seq on.
+    """
+    step = F.greatest(F.col("width") - 1, F.lit(1))
+    back = W.partitionBy(*keys, "block").orderBy(F.desc("bar_seq")).rowsBetween(W.unboundedPreceding, 0)
+    forth = W.partitionBy(*keys, "block").orderBy("bar_seq").rowsBetween(W.unboundedPreceding, 0)
+    stride = W.partitionBy(*keys, "stride").orderBy("bar_seq")
+    to_end = F.struct("bar_seq", "block", _moments(value, back).alias("held"))
+    rows = rows.withColumn("to_end", to_end).withColumn("stride", (F.col("bar_seq") - F.col("first_seq")) % step)
+    rows = rows.withColumn("oldest", F.lag("to_end").over(stride))
+    reaches_back = (F.col("oldest.bar_seq") == F.col("bar_seq") - F.col("width") + 1) & (F.col("oldest.block") < F.col("block"))
+    rows = rows.withColumn("older", F.when(reaches_back, F.col("oldest.held"))).drop("to_end", "stride", "oldest")
+    return rows.withColumn("newer", _moments(value, forth)).withColumn(
+        "seen", merged_moments(F.col("older"), F.col("newer"))).drop("older", "newer")
+
+
 def rolling_zscores(rows: DataFrame, rule: TradeRule, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """z of ``spread`` against its last ``width`` grid bars, NULL until enough are seen."""
-    trailing = _time_order(keys).rangeBetween(-(SCALE - 1), 0)
     if rule.full_window:
         needed = F.col("width")
     else:
         needed = F.greatest(F.floor(F.col("width") / 2), F.lit(rule.window_floor))
-    z = safe_div(F.col("spread") - F.avg("spread").over(trailing),
-                 F.stddev_samp("spread").over(trailing))
-    return rows.withColumn("z", F.when(F.count("spread").over(trailing) >= needed, z))
+    seen = F.col("seen")
+    deviation = F.sqrt(safe_div(seen["m2"], seen["n"] - 1))
+    z = safe_div(F.col("spread") - seen["mean"], deviation)
+    return rolling_moments(rows, "spread", keys).withColumn("z", F.when(seen["n"] >= needed, z)).drop("seen")
 
 
 def positions(rows: DataFrame, rule: TradeRule = TradeRule(),
               keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """Add ``position`` in {-1, 0, 1} driven by ``z``; rows need ``time_key``.
+    """Add ``position`` in {-1, 0, 1} driven by ``z``; rows need ``block``.
 
     What a bar does to the state depends only on |z|: a missing or small or (when
     below entry) extreme z always ends flat; an entry-sized z always ends in a

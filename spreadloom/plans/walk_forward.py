@@ -71,7 +71,7 @@ def trade_test(market: Market, pairs: DataFrame) -> DataFrame:
     s = market.settings
     series = test_series(market.panel, market.folds, pairs, s.folds)
     grid = pair_grid(with_weight(pairs).select(*PAIR, *TRADED), series, market.folds, "test")
-    return evaluate_pairs(grid, s.rule).drop("time_key", "width")
+    return evaluate_pairs(grid, s.rule).drop("first_seq", "width", "block")
 
 
 def trade_log(pair_bars: DataFrame, calendar: DataFrame) -> DataFrame:

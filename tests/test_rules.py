@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 import statistics
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -70,7 +72,7 @@ def z_rows(spark):
     series = {s: z_series(s) for s in range(60)}
     rows = [(s, "a", "b", i, i, z) for s, zs in series.items() for i, z in enumerate(zs)]
     df = spark.createDataFrame(
-        rows, "fold_id int, sym_a string, sym_b string, bar_seq bigint, time_key bigint, z double")
+        rows, "fold_id int, sym_a string, sym_b string, bar_seq bigint, block bigint, z double")
     return series, df
 
 
@@ -91,14 +93,14 @@ def test_positions_equal_a_recursive_query(z_rows, rule):
 @pytest.mark.parametrize("zs, want", BY_HAND)
 def test_positions_by_hand(spark, zs, want):
     df = spark.createDataFrame([(0, "a", "b", i, i, z) for i, z in enumerate(zs)],
-                               "fold_id int, sym_a string, sym_b string, bar_seq bigint, time_key bigint, z double")
+                               "fold_id int, sym_a string, sym_b string, bar_seq bigint, block bigint, z double")
     assert [r.position for r in sg.positions(df, TradeRule()).orderBy("bar_seq").collect()] == want
 
 
 def test_stop_sized_z_toggles(spark):
     rows = [(0, "a", "b", i, i, z) for i, z in enumerate([5.0, 5.0, 5.0, -5.0, 0.0])]
     df = spark.createDataFrame(
-        rows, "fold_id int, sym_a string, sym_b string, bar_seq bigint, time_key bigint, z double")
+        rows, "fold_id int, sym_a string, sym_b string, bar_seq bigint, block bigint, z double")
     got = [r.position for r in sg.positions(df, TradeRule()).orderBy("bar_seq").collect()]
     assert got == [-1, 0, -1, 0, 0]
 
@@ -111,11 +113,11 @@ def test_rolling_z_equals_loop(spark, full):
     for s, hl in enumerate([1.0, 2.5, 3.75, 9.0, 20.3, 150.0]):
         values = [None if rng.random() < 0.15 else rng.gauss(0, 1) for _ in range(400)]
         series[s] = (hl, values)
-        rows += [(s, "a", "b", 1000 + i, hl, v) for i, v in enumerate(values)]
+        rows += [(s, "a", "b", 1000, 1000 + i, hl, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(
-        rows, "fold_id int, sym_a string, sym_b string, bar_seq bigint, half_life double, spread double")
+        rows, "fold_id int, sym_a string, sym_b string, first_seq bigint, bar_seq bigint, half_life double, spread double")
     got = {}
-    for r in sg.rolling_zscores(sg.with_time_key(df, rule), rule).orderBy("fold_id", "bar_seq").collect():
+    for r in sg.rolling_zscores(sg.with_blocks(df, rule), rule).orderBy("fold_id", "bar_seq").collect():
         got.setdefault(r.fold_id, []).append(r.z)
     for s, (hl, values) in series.items():
         w = max(round(hl * 2), 5)
@@ -142,7 +144,7 @@ def test_returns_costs_and_trades_equal_loop(spark):
         series[s] = (beta, pos, ra, rb)
         rows += [(s, "a", "b", 500 + i, 500 + i, beta, p, ra[i], rb[i]) for i, p in enumerate(pos)]
     df = spark.createDataFrame(rows, (
-        "fold_id int, sym_a string, sym_b string, bar_seq bigint, time_key bigint, beta double, "
+        "fold_id int, sym_a string, sym_b string, bar_seq bigint, block bigint, beta double, "
         "position int, ret_a double, ret_b double"))
     bars = sg.position_returns(df, rule)
     got, trades = {}, {}
@@ -169,20 +171,50 @@ def test_returns_costs_and_trades_equal_loop(spark):
 
 def test_frozen_z_without_half_life(spark):
     df = spark.createDataFrame(
-        [(0, "a", "b", i, 2.0 + i, 1.0, 0.0, 1.0, 0.5, 0.25, None) for i in range(3)],
-        "fold_id int, sym_a string, sym_b string, bar_seq bigint, close_a double, close_b double, "
+        [(0, "a", "b", 0, i, 2.0 + i, 1.0, 0.0, 1.0, 0.5, 0.25, None) for i in range(3)],
+        "fold_id int, sym_a string, sym_b string, first_seq bigint, bar_seq bigint, close_a double, close_b double, "
         "alpha double, beta double, mu double, sigma double, half_life double")
     got = [r.z for r in sg.spread_zscores(df).orderBy("bar_seq").collect()]
     assert all(math.isclose(z, (math.log(2.0 + i) - 0.5) / 0.25) for i, z in enumerate(got))
 
 
-def test_windows_share_one_sort(spark):
-    """The chain over a pair runs on a single shuffle and a single time order."""
+def test_rolling_z_of_far_values_and_of_constant_ones(spark):
+    """No digit is lost to an offset a million times the spread, and equal values have no z."""
+    rule, rng = TradeRule(), random.Random(11)
+    far = [1e6 + rng.gauss(0, 1) for _ in range(900)]
+    flat = [0.1] * 300 + [0.3] * 600
+    rows = [(s, "a", "b", 7, 7 + i, hl, v) for s, (hl, values) in enumerate([(150.0, far), (40.0, flat), (3.0, flat)])
+            for i, v in enumerate(values)]
     df = spark.createDataFrame(
-        [(0, "a", "b", 0, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 3.0)],
-        "fold_id int, sym_a string, sym_b string, bar_seq bigint, close_a double, close_b double, "
+        rows, "fold_id int, sym_a string, sym_b string, first_seq bigint, bar_seq bigint, half_life double, spread double")
+    got = {(r.fold_id, r.bar_seq - 7): r.z for r in sg.rolling_zscores(sg.with_blocks(df, rule), rule).collect()}
+    for i in range(150, 900):
+        seen = [Fraction(x) for x in far[max(0, i - 299):i + 1]]
+        mean = sum(seen) / len(seen)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in seen) / (len(seen) - 1))
+        # The values themselves are known to 1e-10 of their spread; what is added on top stays within ten times that.
+        assert abs(got[0, i] - float(Fraction(far[i]) - mean) / deviation) < 1e-8
+    assert all(got[1, i] is None for i in (*range(300), *range(379, 900)))
+    assert all(got[2, i] is None for i in (*range(300), *range(305, 900)))
+    assert all(got[1, i] > 0 for i in range(300, 379))
+
+
+def test_rolling_z_reads_no_frame_of_its_width(spark):
+    df = spark.createDataFrame([(0, "a", "b", 0, 0, 3.0, 1.0)], "fold_id int, sym_a string, sym_b string, "
+                               "first_seq bigint, bar_seq bigint, half_life double, spread double").repartition(4, *KEYS)
+    plan = sg.rolling_zscores(sg.with_blocks(df, TradeRule()), TradeRule())._jdf.queryExecution().executedPlan().toString()
+    frames = set(re.findall(r"specifiedwindowframe\((.*?)\)\)", plan))
+    assert frames == {"RowFrame, unboundedpreceding$(), currentrow$("} | {f for f in frames if f.startswith("RowFrame, -1, -1")}
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_windows_share_their_sorts(spark):
+    """The chain over a pair runs on a single shuffle; its moments take two sorts, all else the time order."""
+    df = spark.createDataFrame(
+        [(0, "a", "b", 0, 0, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 3.0)],
+        "fold_id int, sym_a string, sym_b string, first_seq bigint, bar_seq bigint, close_a double, close_b double, "
         "ret_a double, ret_b double, alpha double, beta double, mu double, sigma double, half_life double")
     keyed = df.repartition(4, *KEYS)
     plan = sg.evaluate_pairs(keyed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("- Sort [") + plan.count("Sort [") <= 2
+    assert plan.count("Sort [") == 3
