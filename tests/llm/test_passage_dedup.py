@@ -1,24 +1,60 @@
 """Passage dedup against brute force, and planted passages."""
 
 import random
+import re
+
+import xxhash
 
 from spreadloom.llm.entries import op7_substring_dedup
-from spreadloom.llm.passage_dedup import digest, drop_repeated_passages, paragraphs, passages, without
+from spreadloom.llm.passage_dedup import drop_repeated_passages, without
+
+
+def plain_paragraphs(text, size=12, window=8):
+    """(first word, word behind the last, words) by loops over the definition, with the words themselves for a digest."""
+    spans = [m.span() for m in re.finditer(r"\S+", text or "")]
+    words = [text[a:z].lower() for a, z in spans]
+    hashes = [xxhash.xxh64_intdigest(w) >> 2 for w in words]
+    borders, closes = {len(words)}, {len(words)}
+    for i, (a, _) in enumerate(spans):
+        before = text[spans[i - 1][0]:spans[i - 1][1]] if i else ""
+        if i == 0 or "\n" in text[spans[i - 1][1]:a]:
+            borders.add(i)
+            closes.add(i)
+        elif text[a].isupper() or re.search("[.!?][\"')\\]}»”’]?$", before):
+            borders.add(i)
+    for i in range(len(words) - window + 1):
+        borders.add(max(range(i, i + window), key=lambda j: (-hashes[j], j)))
+    pairs = set()
+    for b in borders:
+        pairs.add((b, min((e for e in borders if e >= b + size), default=None)))
+    for e in closes:
+        pairs.add((max((b for b in borders if b <= e - size), default=None), e))
+    return [(a, z, tuple(words[a:z])) for a, z in sorted(p for p in pairs if None not in p)], spans
 
 
-def plain(docs):
+def plain(docs, least=25):
     """The same rule on one machine: the first of each paragraph stays."""
+    cut_of = {text: plain_paragraphs(text) for text in {t for _, t in docs}}
     first = {}
     for doc_id, text in docs:
         if doc_id is not None:
-            places, keys, _ = paragraphs(text)
-            for (a, _), key in zip(places, keys):
+            for a, _, key in cut_of[text][0]:
                 first[key] = min(first.get(key, (doc_id, a)), (doc_id, a))
     out = []
     for doc_id, text in docs:
-        places, keys, _ = paragraphs(text)
-        again = [(k, a) for (a, _), k in zip(places, keys) if doc_id is not None and first[k] != (doc_id, a)]
-        cut = passages(text, [digest(k) for k, _ in again], [a for _, a in again])
+        found, spans = cut_of[text]
+        covered = [False] * len(spans)
+        for a, z, key in found:
+            if doc_id is not None and first[key] != (doc_id, a):
+                covered[a:z] = [True] * (z - a)
+        cut, a = [], None
+        for i in range(len(spans) + 1):
+            if i < len(spans) and covered[i] and a is None:
+                a = i
+            elif a is not None and not (i < len(spans) and covered[i]):
+                if i - a >= least:
+                    cut.append((spans[a][0], spans[i - 1][1]))
+                a = None
         out.append((doc_id, without(text or "", cut), cut))
     return sorted(out, key=str)
 
