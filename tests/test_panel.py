@@ -295,3 +295,47 @@ def test_columns_of_some_years_are_kept(spark, tmp_path, years):
         spark.sql(f"SELECT {cols}, true AS is_regular_hours").write.parquet(f"{base}/bars_30m_{year}.parquet")
     rows = {r.close: r.late for r in load_bars(spark, base, years).collect()}
     assert rows == {1.0: None, 2.0: 5}
+
+
+def _median(values):
+    values = sorted(v for v in values if v is not None)
+    return (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2 if values else None
+
+
+def test_exact_median_equals_sorting(spark):
+    rng = random.Random(4)
+    keyed = {
+        "one": [3.5], "two": [1.0, 2.0], "even": [rng.uniform(0, 1e9) for _ in range(2000)], "equal": [7.25] * 501,
+        "signs": [rng.gauss(0, 5) for _ in range(999)], "tiny": [rng.uniform(0, 1e-9) for _ in range(100)],
+        "gap": [1.0] * 50 + [1e12] * 50, "ties": [float(rng.randrange(5)) for _ in range(1000)], "nothing": [None, None],
+        "close": [1e6 + rng.random() * 1e-6 for _ in range(777)], "some": [None if rng.random() < 0.4 else rng.lognormvariate(10, 3) for _ in range(801)]}
+    rows = [(k, v) for k, values in keyed.items() for v in values] + [(None, 5.0)]
+    rng.shuffle(rows)
+    got = un.exact_median(spark.createDataFrame(rows, "symbol string, v double").repartition(7), "symbol", "v")
+    assert {r.symbol: r["median"] for r in got.collect()} == {k: _median(v) for k, v in keyed.items() if _median(v) is not None}
+
+
+@pytest.mark.parametrize("plan", [FoldPlan(12, 4, 4), FoldPlan(10, 3, 7), FoldPlan(6, 2, 9)])
+def test_fold_medians_and_coverage_equal_a_loop(spark, plan):
+    rng = random.Random(plan.roll_days)
+    n_days, per_day = 47, 5
+    rows = []
+    for s in range(6):
+        for i in range(n_days * per_day):
+            if rng.random() < 0.9 and not (s == 5 and i < 100):
+                volume = None if rng.random() < 0.1 or s == 4 else rng.choice([0.0, -2.0, rng.lognormvariate(12, 2), 40.0])
+                rows.append((f"s{s}", i // per_day, n_days, i, None if rng.random() < 0.05 else 1.0, volume))
+    panel = spark.createDataFrame(rows, "symbol string, day_idx long, n_days long, bar_seq long, close double, dollar_vol double")
+    n_folds = (n_days - plan.train_days - plan.test_days) // plan.roll_days + 1
+    folds = spark.createDataFrame(
+        [(k, k * plan.roll_days * per_day, (k * plan.roll_days + plan.train_days) * per_day - 1) for k in range(n_folds)],
+        "fold_id int, train_lo long, train_hi long")
+    want = {}
+    for k in range(n_folds):
+        lo, hi = k * plan.roll_days * per_day, (k * plan.roll_days + plan.train_days) * per_day - 1
+        for s in range(6):
+            mine = [r for r in rows if r[0] == f"s{s}" and lo <= r[3] <= hi and r[4] is not None]
+            if mine:
+                want[k, f"s{s}"] = (len(mine) / (hi - lo + 1), _median([r[5] for r in mine]))
+    got = un.fold_coverage(panel.repartition(3), folds, plan)
+    assert {(r.fold_id, r.symbol): (r.coverage, r.median_dv) for r in got.collect()} == want

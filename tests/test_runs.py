@@ -12,7 +12,7 @@ from spreadloom.config import CorrelationSearch, FoldPlan, RunSettings, baseline
 from spreadloom.plans import job, selection as sl, walk_forward as wf
 from spreadloom.plans.report_job import ORDERS
 from spreadloom.plans.walk_forward import open_market, run_arm
-from spreadloom.operators import pairstats as ps, correlation as cr
+from spreadloom.operators import correlation as cr, pairstats as ps, universe as un
 from spreadloom.operators.panel import build_panel
 from spreadloom.operators.signal import evaluate_pairs
 from spreadloom.sources import results as rs
@@ -147,3 +147,13 @@ def test_pair_chain_shuffles_pairs_once(spark, sf_dir):
     for df in (evaluate_pairs(grid, I.WEEKLY.rule), ps.pair_statistics(grid)):
         plan = plan_of(df)
         assert plan.count("Exchange hashpartitioning(fold_id") == 1, plan
+
+
+@pytest.mark.parametrize("roll", [26, 13])
+def test_bars_are_counted_before_folds_share_them(spark, sf_dir, roll, monkeypatch):
+    """The summary is shuffled as counts, then by symbol; the overlap of folds multiplies it behind that."""
+    m, plans, brackets = I.weekly_market(spark, sf_dir), [], un.middle_brackets
+    monkeypatch.setattr(un, "middle_brackets", lambda counts, *a, **b: plans.append(plan_of(counts)) or brackets(counts, *a, **b))
+    un.fold_coverage(m.panel, m.folds, FoldPlan(104, 26, roll))
+    assert plans[0].index("Generate explode") < plans[0].index("Exchange hashpartitioning(symbol")
+    assert plans[0].count("Exchange hashpartitioning") == 2
