@@ -253,7 +253,7 @@ def labelled_vectors(spark, sf_dir) -> DataFrame:
         F.format_string("V%07d", "vec_id").alias("symbol"), "embedding")
 
 
-def short_fits(spark, sf_dir) -> DataFrame:
-    """AR fits of two lags for every fold and symbol."""
-    return once(spark, sf_dir, "short_fits", lambda: stage(
-        ar_fits(open_weekly_market(spark, sf_dir).train.series, SHORT_AR), "ar-fits"))
+def fitted_lags(spark, sf_dir) -> DataFrame:
+    """AR fits of the method's 15 lags for every fold and symbol."""
+    return once(spark, sf_dir, "fitted_lags", lambda: stage(
+        ar_fits(open_weekly_market(spark, sf_dir).train.series, WEEKLY.gru), "ar-fits"))

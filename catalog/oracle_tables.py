@@ -378,8 +378,31 @@ FROM (SELECT fold_id, least(symbol, neighbour) AS sym_a, greatest(symbol, neighb
 QUALIFY cand_rank <= {search.cap}""")
 
 
+def autoregression(p: str, lags: int, cutoff: float, margin: int) -> None:
+    """Tables <p>_lag_products and _ar_fits of <p>_train; the normal equations are solved by a recursive query."""
+    values = ["ret AS l0", *[f"lag(ret, {i}) OVER t AS l{i}" for i in range(1, lags + 1)]]
+    rows = ", ".join("[" + ", ".join(f"sum(l{i} * l{j})" for j in range(lags + 1)) + "]" for i in range(lags + 1))
+    define(f"{p}_lag_products", f"""
+SELECT fold_id, symbol, count(*) AS n, [{rows}] AS p
+FROM (SELECT fold_id, symbol, {", ".join(values)} FROM {p}_train WHERE ret IS NOT NULL
+      WINDOW t AS (PARTITION BY fold_id, symbol ORDER BY bar_seq))
+WHERE l{lags} IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {margin}""")
+    define(f"{p}_ar_fits", f"""
+SELECT fold_id, symbol, coefs,
+       greatest(list_max(list_transform(range(1, {lags + 1}), lambda i: CASE WHEN abs(coefs[i]) >= {cutoff} THEN i ELSE 0 END)), 1) AS lookback
+FROM (WITH RECURSIVE steps AS (
+        SELECT fold_id, symbol, 1 AS k, list_transform(p[2:], lambda row: row[2:] || row[1:1]) AS m FROM {p}_lag_products
+        UNION ALL
+        SELECT fold_id, symbol, k + 1,
+               list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda v: v / m[k][k])
+                   ELSE list_transform(row, lambda v, j: v - row[k] / m[k][k] * m[k][j]) END)
+        FROM steps WHERE k <= {lags})
+      SELECT fold_id, symbol, list_transform(m, lambda row: row[{lags + 1}]) AS coefs FROM steps WHERE k = {lags + 1})""")
+
+
 windows("w")
 windows("o")
+autoregression("o", WEEKLY.gru.max_lags, WEEKLY.gru.ar_cutoff, WEEKLY.gru.ar_margin)
 neighbours("v", "w_vec")
 neighbours("ov", "o_vec")
 fits("v", "v_cand", "w_train", WEEKLY)

@@ -152,61 +152,77 @@ def folds_with_enough_windows(spark, sf_dir):
     return wn.enough(_windows(spark, sf_dir), 450)
 
 
-# AR fits of two lags in closed form, from the sums of lag products.
-PRODUCTS = """(
-SELECT fold_id, symbol, count(*) AS n, sum(r * l1) AS p01, sum(r * l2) AS p02,
-       sum(l1 * l1) AS p11, sum(l1 * l2) AS p12, sum(l2 * l2) AS p22
-FROM (SELECT fold_id, symbol, ret AS r, lag(ret, 1) OVER t AS l1, lag(ret, 2) OVER t AS l2
-      FROM o_train WHERE ret IS NOT NULL WINDOW t AS (PARTITION BY fold_id, symbol ORDER BY bar_seq))
-WHERE l2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30)"""
-SHORT_FITS = f"""(
-SELECT *, CASE WHEN abs(c2) >= 0.1 THEN 2 ELSE 1 END AS lookback FROM (
-  SELECT fold_id, symbol, (p01 * p22 - p02 * p12) / (p11 * p22 - p12 * p12) AS c1,
-         (p02 * p11 - p01 * p12) / (p11 * p22 - p12 * p12) AS c2 FROM {PRODUCTS}))"""
-
-
-@query("fold_id:i symbol n:i p01:d p02:d p11:d p12:d p22:d", f"SELECT * FROM {PRODUCTS}")
+@query("fold_id:i symbol n:i i:i j:i p:d", """
+SELECT fold_id, symbol, n, i, unnest(range(i, 16)) AS j, unnest(row[i + 1:]) AS p
+FROM (SELECT fold_id, symbol, n, unnest(range(16)) AS i, unnest(p) AS row FROM o_lag_products)""")
 def lag_products(spark, sf_dir):
-    rows = ar.lag_products(I.open_weekly_market(spark, sf_dir).train.series, I.SHORT_AR)
-    return rows.select("fold_id", "symbol", "n", *[F.col("products")[i][j].alias(f"p{i}{j}")
-                                                   for i, j in ((0, 1), (0, 2), (1, 1), (1, 2), (2, 2))])
+    rows = ar.lag_products(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY.gru)
+    return (rows.select("fold_id", "symbol", "n", F.posexplode("products").alias("i", "row"))
+            .select("fold_id", "symbol", "n", "i", F.posexplode("row").alias("j", "p")).filter("j >= i"))
+
+
+@query("fold_id:i symbol lag:i coef:d lookback:i", """
+SELECT fold_id, symbol, unnest([0, 1]) AS lag, unnest([c1, c2]) AS coef, CASE WHEN abs(c2) >= 0.1 THEN 2 ELSE 1 END AS lookback
+FROM (SELECT fold_id, symbol, (p01 * p22 - p02 * p12) / (p11 * p22 - p12 * p12) AS c1,
+             (p02 * p11 - p01 * p12) / (p11 * p22 - p12 * p12) AS c2
+      FROM (SELECT fold_id, symbol, sum(r * l1) AS p01, sum(r * l2) AS p02, sum(l1 * l1) AS p11, sum(l1 * l2) AS p12, sum(l2 * l2) AS p22
+            FROM (SELECT fold_id, symbol, ret AS r, lag(ret, 1) OVER t AS l1, lag(ret, 2) OVER t AS l2
+                  FROM o_train WHERE ret IS NOT NULL WINDOW t AS (PARTITION BY fold_id, symbol ORDER BY bar_seq))
+            WHERE l2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30))""")
+def ar_fits_of_two_lags(spark, sf_dir):
+    """The same solver on a size that has a closed form."""
+    fits = ar.ar_fits(I.open_weekly_market(spark, sf_dir).train.series, I.SHORT_AR)
+    return fits.filter("coefs IS NOT NULL").select("fold_id", "symbol", "lookback", F.posexplode("coefs").alias("lag", "coef"))
 
 
-@query("fold_id:i symbol lag:i coef:d lookback:i", f"""
-SELECT fold_id, symbol, unnest([0, 1]) AS lag, unnest([c1, c2]) AS coef, lookback FROM {SHORT_FITS}""")
-def ar_fits_of_two_lags(spark, sf_dir):
-    return I.short_fits(spark, sf_dir).filter("coefs IS NOT NULL").select(
+@query("fold_id:i symbol lag:i coef:d lookback:i",
+       "SELECT fold_id, symbol, unnest(range(15)) AS lag, unnest(coefs) AS coef, lookback FROM o_ar_fits")
+def ar_fits(spark, sf_dir):
+    return I.fitted_lags(spark, sf_dir).filter("coefs IS NOT NULL").select(
         "fold_id", "symbol", "lookback", F.posexplode("coefs").alias("lag", "coef"))
 
 
-@query("fold_id:i symbol lookback:i", f"""
-SELECT fold_id, symbol, coalesce(lookback, 5) AS lookback FROM o_uni LEFT JOIN {SHORT_FITS} USING (fold_id, symbol)""")
+@query("fold_id:i symbol lag:i left_over:d", """
+SELECT fold_id, symbol, unnest(range(1, 16)) AS lag, 0.0 AS left_over FROM o_lag_products""")
+def ar_normal_equations(spark, sf_dir):
+    """What the normal equations leave over at the fitted coefficients, as a share of the lag's own sum: nothing."""
+    fits = I.fitted_lags(spark, sf_dir).filter("coefs IS NOT NULL")
+    sums = ar.lag_products(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY.gru)
+    rows = fits.join(sums, ["fold_id", "symbol"]).select("fold_id", "symbol", "coefs", F.posexplode("products").alias("lag", "row"))
+    told = F.aggregate(F.zip_with(F.slice("row", 2, 15), "coefs", lambda p, c: p * c), F.lit(0.0), lambda total, v: total + v)
+    return rows.filter("lag > 0").select(
+        "fold_id", "symbol", "lag", ((F.get("row", F.lit(0)) - told) / F.get("row", F.col("lag"))).alias("left_over"))
+
+
+@query("fold_id:i symbol lookback:i", """
+SELECT fold_id, symbol, coalesce(lookback, 5) AS lookback FROM o_uni LEFT JOIN o_ar_fits USING (fold_id, symbol)""")
 def effective_lookbacks(spark, sf_dir):
-    return ar.lookbacks(I.short_fits(spark, sf_dir))
+    return ar.lookbacks(I.fitted_lags(spark, sf_dir))
 
 
-@query("fold_id:i n_symbols:i avg_lookback:d median_lookback:d", f"""
+@query("fold_id:i n_symbols:i avg_lookback:d median_lookback:d", """
 SELECT fold_id, count(*) AS n_symbols, avg(lookback) AS avg_lookback, median(lookback) AS median_lookback
-FROM {SHORT_FITS} GROUP BY 1""")
+FROM o_ar_fits GROUP BY 1""")
 def lookback_summary(spark, sf_dir):
-    return ar.lookback_summary(I.short_fits(spark, sf_dir))
+    return ar.lookback_summary(I.fitted_lags(spark, sf_dir))
 
 
-@query("lookback:i n_symbols:i", f"SELECT lookback, count(*) AS n_symbols FROM {SHORT_FITS} GROUP BY 1")
+@query("lookback:i n_symbols:i", "SELECT lookback, count(*) AS n_symbols FROM o_ar_fits GROUP BY 1")
 def lookback_histogram(spark, sf_dir):
-    return ar.lookback_histogram(I.short_fits(spark, sf_dir))
+    return ar.lookback_histogram(I.fitted_lags(spark, sf_dir))
 
 
-@query("pooled_mean:d suggested_lookback:i", f"""
-SELECT avg(lookback) AS pooled_mean, round_even(avg(lookback), 0) AS suggested_lookback FROM {SHORT_FITS}""")
+@query("pooled_mean:d suggested_lookback:i", """
+SELECT avg(lookback) AS pooled_mean, round_even(avg(lookback), 0) AS suggested_lookback FROM o_ar_fits""")
 def suggested_lookback(spark, sf_dir):
-    return ar.suggested_lookback(I.short_fits(spark, sf_dir))
+    return ar.suggested_lookback(I.fitted_lags(spark, sf_dir))
 
 
-@query("fold_id:i lag:i avg_coef:d", f"""
-SELECT fold_id, unnest([1, 2]) AS lag, unnest([avg(c1), avg(c2)]) AS avg_coef FROM {SHORT_FITS} GROUP BY fold_id""")
+@query("fold_id:i lag:i avg_coef:d", """
+SELECT fold_id, lag, avg(coef) AS avg_coef
+FROM (SELECT fold_id, unnest(range(1, 16)) AS lag, unnest(coefs) AS coef FROM o_ar_fits) GROUP BY 1, 2""")
 def mean_ar_coefficients(spark, sf_dir):
-    return ar.mean_coefficients(I.short_fits(spark, sf_dir))
+    return ar.mean_coefficients(I.fitted_lags(spark, sf_dir))
 
 
 # Encoders with given weights: the forward pass in SQL. Weight k is ((37 k) mod 64 - 32) / 64.
@@ -277,13 +293,6 @@ def gru_codes(spark, sf_dir):
 
 # Fits whose numbers SQL cannot give; tests check them against loops and invariants.
 
-@query("fold_id:i symbol lag:i coef:d lookback:i")
-def ar_fits(spark, sf_dir):
-    fits = ar.ar_fits(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY.gru)
-    return fits.filter("coefs IS NOT NULL").select(
-        "fold_id", "symbol", "lookback", F.posexplode("coefs").alias("lag", "coef"))
-
-
 @query("fold_id:i n_samples:i epochs_run:i first_loss:d val_loss:d")
 def autoencoder_fits(spark, sf_dir):
     samples = sl.autoencoder_samples(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 
 def finite(value: Column) -> Column:
@@ -36,10 +34,24 @@ def pair_label(a: Column, b: Column) -> Column:
     return F.concat_ws(" / ", a, b)
 
 
-@F.pandas_udf(DoubleType())
-def bp_p_value(lm: pd.Series) -> pd.Series:
+def erfc(x: Column) -> Column:
+    """Complementary error function of numbers from zero on, to the last digits: the power
+    series where it converges fast, else the continued fraction from its 60th term back."""
+    falling = F.exp(-x * x)
+
+    def term(state: Column, n: Column) -> Column:
+        next_term = state["term"] * (x * x * 2 / (n * 2 + 1))
+        return F.struct(next_term.alias("term"), (state["total"] + next_term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("term"), x.alias("total")), term)["total"]
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1)), x, lambda below, k: x + k / 2 / below)
+    return F.when(x < 2.5, 1 - F.lit(2 / math.sqrt(math.pi)) * falling * series).otherwise(
+        falling / (F.lit(math.sqrt(math.pi)) * fraction))
+
+
+def bp_p_value(lm: Column) -> Column:
     """Upper tail of a chi-square with one degree of freedom."""
-    return lm.map(lambda v: math.erfc(math.sqrt(v / 2.0)), na_action="ignore").astype("float64")
+    return erfc(F.sqrt(lm / 2))
 
 
 # ---- arrays as vectors --------------------------------------------------

@@ -127,7 +127,7 @@ def eligible_pairs(stats: DataFrame, rule: Eligibility = Eligibility()) -> DataF
 
 
 def with_p_value(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("bp_pval", bp_p_value("bp_stat"))
+    return stats.withColumn("bp_pval", bp_p_value(F.col("bp_stat")))
 
 
 def cap_pairs(scored: DataFrame, rule: Eligibility = Eligibility()) -> DataFrame:

@@ -154,6 +154,26 @@ def test_ar_fit_equals_least_squares(spark):
     assert backs["short"] == 5
 
 
+def test_dependent_lags_have_no_coefficient(spark):
+    """Where lags determine each other the fit is as close as any, and the later lag gets zero."""
+    series = {"zero": [0.0] * 80, "flat": [0.25] * 80, "swing": [1.0, -1.0] * 40, "three": [1.0, 2.0, -3.0] * 30, "trend": [float(i) for i in range(70)]}
+    rows = [(0, name, r) for name, r in series.items()]
+    fits = {x.symbol: x for x in ar.ar_fits(spark.createDataFrame(rows, "fold_id int, symbol string, ret array<double>")).collect()}
+    for name, r in series.items():
+        x = np.column_stack([r[15 - k:len(r) - k] for k in range(1, 16)])
+        coefs, best = np.array(fits[name].coefs), np.linalg.lstsq(x, r[15:], rcond=None)[0]
+        assert np.allclose(x @ coefs, x @ best, atol=1e-6)
+        assert np.all(coefs[np.linalg.matrix_rank(x):] == 0)
+    assert fits["zero"].coefs == [0.0] * 15 and fits["zero"].lookback == 1
+    assert np.allclose(fits["flat"].coefs, [1.0] + [0.0] * 14)
+
+
+def test_plan_of_fits_has_no_python(spark):
+    df = spark.createDataFrame([(0, "a", [0.1] * 60)], "fold_id int, symbol string, ret array<double>")
+    plan = ar.ar_fits(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_lookback_strips_small_lags_from_the_end(spark):
     rows = [([0.5, 0.0, 0.2, 0.005, -0.009],), ([0.001, 0.002, 0.0],), ([0.0, -0.01, 0.0],)]
     df = spark.createDataFrame(rows, "coefs array<double>")

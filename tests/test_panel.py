@@ -1,6 +1,7 @@
 """Panel, calendar, universe and neighbours on hand-made inputs and brute force."""
 
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -226,6 +227,15 @@ def test_pair_statistics_equal_least_squares(spark):
     assert np.isclose(r.bp_stat, lm) and 0 <= r.bp_pval <= 1
 
 
+def test_p_values_equal_the_error_function(spark):
+    values = [0.0, 1e-12, 0.01, 0.5, 1.0, 3.84, 6.63, 12.4, 12.5, 12.6, 30.0, 200.0, 1400.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "bp_stat double")
+    got = ps.with_p_value(df).collect()
+    assert got[-1].bp_pval is None
+    for v, r in zip(values, got):
+        assert math.isclose(r.bp_pval, math.erfc(math.sqrt(v / 2)), rel_tol=1e-10, abs_tol=1e-300)
+
+
 def test_critical_value_matches_alpha():
     assert abs(Eligibility().bp_critical - 3.841458820694124) < 1e-9
 
