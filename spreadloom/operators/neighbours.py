@@ -1,8 +1,18 @@
-"""Exact nearest-neighbour pairs of symbol vectors, per fold.
+"""Exact nearest-neighbour pairs of symbol vectors, per fold, with tiles that can't matter left out.
 
-Vectors are dealt to tiles by hash and tiles are compared pairwise, one task per
-tile pair. A task returns each vector's k best in the other tile; the k best
-overall are among those, so nothing is lost and no full distance table exists.
+1. ``PIVOTS`` vectors of each fold, those of the least name hashes, are pivots; every
+   vector learns its distance to each. Vectors nearest to one pivot are cut in shells of
+   equal shares by that distance, so a tile holds vectors that are alike.
+2. A tile knows the least and greatest distance of its vectors to every pivot. Two vectors
+   are at least as far apart as their distances to a pivot differ, which bounds the
+   distance of two tiles from below.
+3. Each tile is searched by itself first. The k-th best distances found there bound what
+   another tile must beat: a pair of tiles whose bound is larger is never joined.
+4. The pairs left are compared exactly, one task per pair. A task returns each vector's
+   k best in the other tile; the k best overall are among those.
+
+A tile holds about ``TILE`` vectors, also where many are equal, so no task grows with the
+fold. Where no bound helps, every pair of tiles is compared, and the result is the same.
 """
 
 from __future__ import annotations
@@ -13,11 +23,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import NeighbourSearch
 from ..functions.numeric import pair_key
-from .correlation import pair_up_tiles
+from ..staging import stage
 
-TILE = 512
+TILE = 256
+PIVOTS = 8
+#: Finest shares of a pivot's vectors that become shells.
+SHARES = 64
 # |a|^2 + |b|^2 - 2ab cancels for near-equal vectors; what remains below this is noise.
 SQUARE_NOISE = 1e-12
+# A found distance may be off by the root of that noise; bounds are compared with more room.
+ROOM = 1e-5
 
 
 def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, ...]:
@@ -33,35 +48,80 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool) -> tuple[np.ndarra
     return i[found], j[found], np.sqrt(square[i, j][found])
 
 
+def pivot_tiles(vectors: DataFrame, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
+    """(fold_id, symbol, embedding, reach, tile): distances to the fold's pivots, and a tile of vectors at like distances."""
+    rows = vectors.select("fold_id", "symbol", F.col("embedding").cast("array<double>").alias("embedding"))
+    by_hash = W.partitionBy("fold_id").orderBy(F.xxhash64("symbol"), "symbol")
+    chosen = (rows.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= pivots)
+              .groupBy("fold_id").agg(F.sort_array(F.collect_list(F.struct("place", "embedding"))).alias("held"))
+              .select("fold_id", F.col("held.embedding").alias("pivots")))
+
+    def apart(pivot):
+        return F.sqrt(F.aggregate(F.zip_with("embedding", pivot, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v))
+
+    measured = stage(rows.join(stage(chosen, "pivots"), "fold_id").withColumn("reach", F.transform("pivots", apart)).drop("pivots")
+                     .withColumn("own", F.array_min("reach")).withColumn("cell", F.array_position("reach", F.col("own"))), "pivot-reach")
+    shares = F.percentile_approx("own", [i / SHARES for i in range(1, SHARES)], 10_000)
+    cells = measured.groupBy("fold_id", "cell").agg(
+        F.least(F.ceil(F.count(F.lit(1)) / tile), F.lit(SHARES)).alias("shells"), shares.alias("borders"))
+    below = F.size(F.filter("borders", lambda b: b < F.col("own")))
+    shelled = measured.join(stage(cells, "pivot-cells"), ["fold_id", "cell"]).withColumn(
+        "shell", F.floor(below * F.col("shells") / SHARES)).drop("borders", "shells", "own")
+    # Equal distances share a shell; one with too many vectors is split by name.
+    parts = shelled.groupBy("fold_id", "cell", "shell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
+    part = F.pmod(F.xxhash64("symbol"), F.col("parts"))
+    return stage(shelled.join(parts, ["fold_id", "cell", "shell"]).select(
+        "fold_id", "symbol", "embedding", "reach", F.format_string("%d.%d.%d", "cell", "shell", part).alias("tile")), "pivot-tiles")
+
+
+FOUND = "fold_id int, symbol string, neighbour string, distance double"
+
+
+def _rows_of(fold_id, a: pd.DataFrame, b: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
+    i, j, d = nearest(np.stack(a["embedding"].to_list()), np.stack(b["embedding"].to_list()), k, same)
+    return pd.DataFrame({"fold_id": fold_id, "symbol": a["symbol"].to_numpy()[i], "neighbour": b["symbol"].to_numpy()[j], "distance": d})
+
+
+def inside_tiles(tiles: DataFrame, k: int) -> DataFrame:
+    """Each vector's k best in its own tile."""
+    def search(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("symbol")
+        return _rows_of(key[0], block, block, k, True)
+
+    return tiles.groupBy("fold_id", "tile").applyInPandas(search, FOUND)
+
+
+def tile_pairs_in_reach(tiles: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(fold_id, tile_a, tile_b) of the pairs of tiles in which a vector may have one of its k best."""
+    kth = found.groupBy("fold_id", "symbol").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("kth"))
+    unbound = F.lit(float("inf"))
+    shells = tiles.join(kth, ["fold_id", "symbol"], "left").groupBy("fold_id", "tile").agg(
+        F.max(F.coalesce("kth", unbound)).alias("worst"),
+        F.array(*[F.min(F.get("reach", F.lit(p))) for p in range(PIVOTS)]).alias("low"),
+        F.array(*[F.max(F.get("reach", F.lit(p))) for p in range(PIVOTS)]).alias("high"))
+    shells = stage(shells, "pivot-shells")
+    a, b = (shells.select("fold_id", *[F.col(c).alias(f"{c}_{t}") for c in ("tile", "worst", "low", "high")]) for t in "ab")
+    gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    return (a.join(b, "fold_id").filter(F.col("tile_a") < F.col("tile_b"))
+            .filter(F.array_max(gaps) <= F.greatest("worst_a", "worst_b") + ROOM).select("fold_id", "tile_a", "tile_b"))
+
+
 def nearest_neighbours(vectors: DataFrame, k: int, tile: int = TILE) -> DataFrame:
     """(fold_id, symbol, neighbour, distance, nn_rank) with nn_rank <= k."""
-    sizes = vectors.groupBy("fold_id").agg(
-        F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n_tiles"))
-    tiles = pair_up_tiles(
-        vectors.select("fold_id", "symbol", "embedding").join(sizes, "fold_id")
-        .withColumn("tile", F.pmod(F.xxhash64("symbol"), F.col("n_tiles")).cast("int")))
+    tiles = pivot_tiles(vectors, tile)
+    inside = stage(inside_tiles(tiles, k), "tile-neighbours")
+    pairs = stage(tile_pairs_in_reach(tiles, inside, k), "tile-pairs")
+    members = tiles.select("fold_id", "symbol", "embedding", "tile")
+    sides = pairs.select("fold_id", "tile_a", "tile_b", F.explode(F.array("tile_a", "tile_b")).alias("tile"))
 
     def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        fold_id, ta, tb = key
         block = block.sort_values("symbol")
-        sides = [block[block["tile"] == t] for t in ((ta,) if ta == tb else (ta, tb))]
-        parts = []
-        for mine, other in ((0, -1), (-1, 0)) if len(sides) == 2 else ((0, 0),):
-            a, b = sides[mine], sides[other]
-            if a.empty or b.empty:
-                continue
-            i, j, d = nearest(np.stack(a["embedding"].to_list()).astype("float64"),
-                              np.stack(b["embedding"].to_list()).astype("float64"), k, len(sides) == 1)
-            parts.append(pd.DataFrame({
-                "fold_id": fold_id, "symbol": a["symbol"].to_numpy()[i],
-                "neighbour": b["symbol"].to_numpy()[j], "distance": d}))
-        return pd.concat(parts) if parts else pd.DataFrame(
-            {"fold_id": [], "symbol": [], "neighbour": [], "distance": []})
-
-    found = tiles.groupBy("fold_id", "tile_a", "tile_b").applyInPandas(
-        compare, "fold_id int, symbol string, neighbour string, distance double")
+        a, b = (block[block["tile"] == t] for t in key[1:])
+        return pd.concat([_rows_of(key[0], a, b, k, False), _rows_of(key[0], b, a, k, False)])
+
+    across = members.join(sides, ["fold_id", "tile"]).groupBy("fold_id", "tile_a", "tile_b").applyInPandas(compare, FOUND)
     best = W.partitionBy("fold_id", "symbol").orderBy("distance", "neighbour")
-    return found.withColumn("nn_rank", F.row_number().over(best)).filter(F.col("nn_rank") <= k)
+    return inside.unionByName(across).withColumn("nn_rank", F.row_number().over(best)).filter(F.col("nn_rank") <= k)
 
 
 def unordered_pairs(neighbours: DataFrame) -> DataFrame:

@@ -190,6 +190,29 @@ def test_neighbours_equal_brute_force(spark, tile):
     assert all(p.sym_a < p.sym_b for p in pairs) and len({(p.sym_a, p.sym_b) for p in pairs}) == len(pairs)
 
 
+def test_far_tiles_are_left_out_and_nothing_is_lost(spark):
+    """Groups of vectors far apart, one of equal vectors only, one large: few pairs of tiles are joined."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 50
+    v = np.concatenate([c + rng.normal(size=(25, 8)) for c in centres[:10]] + [np.repeat(centres[10:11], 60, 0), centres[11] + rng.normal(size=(90, 8))])
+    rows = [(0, f"S{i:03d}", [float(a) for a in x]) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "fold_id int, symbol string, embedding array<double>")
+    tiles = nb.pivot_tiles(df, 16)
+    assert tiles.count() == len(v) and tiles.select("symbol").distinct().count() == len(v)
+    assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] <= 48
+    n_tiles = tiles.select("tile").distinct().count()
+    kept = nb.tile_pairs_in_reach(tiles, nb.inside_tiles(tiles, 4), 4).count()
+    assert kept < 0.5 * n_tiles * (n_tiles - 1) / 2
+    got = {}
+    for r in nb.nearest_neighbours(df, 4, 16).collect():
+        got.setdefault(r.symbol, []).append((round(r.distance, 9), r.neighbour))
+    d = np.linalg.norm(v[:, None] - v[None, :], axis=2)
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(v)):
+        want = sorted((round(d[i, j], 9), f"S{j:03d}") for j in range(len(v)) if j != i)[:4]
+        assert [x for _, x in sorted(got[f"S{i:03d}"])] == [x for _, x in want]
+
+
 def pair_rows(spark, a, b):
     rows = [(0, "a", "b", i, x, y) for i, (x, y) in enumerate(zip(a, b))]
     return spark.createDataFrame(
