@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spreadloom.config import AutoencoderSpec, GruSpec, NeighbourSearch
+from spreadloom.config import AutoencoderSpec, GruSpec, NeighbourSearch, TrainerSpec
 from spreadloom.operators import autoregression as ar, neighbours as nb, windows as wn
-from spreadloom.operators.training import encode_windows
+from spreadloom.operators.training import encode_windows, gradient_sums, pack_blocks
 from spreadloom.plans import selection as sl
 
 from . import inputs as I
@@ -251,6 +252,45 @@ def autoencoder_codes(spark, sf_dir):
     return _code_sums(encode_windows(_windows(spark, sf_dir), _given_weights(spark, sf_dir, net), net))
 
 
+# The chain rule for the same network, with 3 hidden values and codes of 2; slope k belongs to weight k.
+
+def _plus(terms) -> str:
+    return " + ".join(terms)
+
+
+_HIDDEN, _CODE, _AT = range(3), range(2), range(12)
+_FORWARD_1 = ", ".join(f"tanh({_w(36 + j)} + {_plus(f'x[{i + 1}] * ({_w(3 * i + j)})' for i in _AT)}) AS h{j}" for j in _HIDDEN)
+_FORWARD_2 = ", ".join(f"{_w(45 + e)} + {_plus(f'h{j} * ({_w(39 + 2 * j + e)})' for j in _HIDDEN)} AS c{e}" for e in _CODE)
+_FORWARD_3 = ", ".join(f"tanh({_w(53 + j)} + {_plus(f'c{e} * ({_w(47 + 3 * e + j)})' for e in _CODE)}) AS k{j}" for j in _HIDDEN)
+_BACK_1 = ", ".join(f"2.0 * ({_w(92 + i)} + {_plus(f'k{j} * ({_w(56 + 12 * j + i)})' for j in _HIDDEN)} - x[{i + 1}]) / 12 AS o{i}" for i in _AT)
+_BACK_2 = ", ".join(f"({_plus(f'o{i} * ({_w(56 + 12 * j + i)})' for i in _AT)}) * (1 - k{j} * k{j}) AS dk{j}" for j in _HIDDEN)
+_BACK_3 = ", ".join(f"{_plus(f'dk{j} * ({_w(47 + 3 * e + j)})' for j in _HIDDEN)} AS dc{e}" for e in _CODE)
+_BACK_4 = ", ".join(f"({_plus(f'dc{e} * ({_w(39 + 2 * j + e)})' for e in _CODE)}) * (1 - h{j} * h{j}) AS dh{j}" for j in _HIDDEN)
+_SLOPES = ", ".join(f"avg({v})" for v in [
+    *[f"x[{i + 1}] * dh{j}" for i in _AT for j in _HIDDEN], *[f"dh{j}" for j in _HIDDEN],
+    *[f"h{j} * dc{e}" for j in _HIDDEN for e in _CODE], *[f"dc{e}" for e in _CODE],
+    *[f"c{e} * dk{j}" for e in _CODE for j in _HIDDEN], *[f"dk{j}" for j in _HIDDEN],
+    *[f"k{j} * o{i}" for j in _HIDDEN for i in _AT], *[f"o{i}" for i in _AT]])
+
+
+@query("fold_id:i weight:i slope:d", f"""
+SELECT fold_id, unnest(range(104)) AS weight, unnest([{_SLOPES}]) AS slope
+FROM (SELECT *, {_BACK_4} FROM (SELECT *, {_BACK_3} FROM (SELECT *, {_BACK_2} FROM (SELECT *, {_BACK_1} FROM (
+      SELECT *, {_FORWARD_3} FROM (SELECT *, {_FORWARD_2} FROM (SELECT fold_id, x, {_FORWARD_1} FROM o_windows))))))) GROUP BY fold_id""")
+def autoencoder_gradient(spark, sf_dir):
+    """The gradient that one training step sums over all blocks, at given weights."""
+    net = sl.Autoencoder(AutoencoderSpec(hidden=3, emb_dim=2))
+    samples = _windows(spark, sf_dir).select(
+        "fold_id", "symbol", F.col("window_id").alias("sample_id"), "x", F.lit(0.0).alias("target"))
+    spec = TrainerSpec(validation_share=0.0, most_batches=1, block_samples=256)
+    weights = {r.fold_id: np.array([(k * 37 % 64 - 32) / 64 for k in range(104)])
+               for r in I.open_weekly_market(spark, sf_dir).folds.select("fold_id").collect()}
+    sums = gradient_sums(pack_blocks(samples, spec, "float64").rdd, net, weights, "float64")
+    rows = [(f, (s.gradient / s.n_fit).tolist()) for f, s in sums.items()]
+    return spark.createDataFrame(rows, "fold_id int, slopes array<double>").select(
+        "fold_id", F.posexplode("slopes").alias("weight", "slope"))
+
+
 def _gate(k: int, x: str = "s.x") -> tuple[str, str]:
     return (f"({x} * ({_w(k)}) + {_w(18 + k)})",
             f"(g.h0 * ({_w(6 + k)}) + g.h1 * ({_w(12 + k)}) + {_w(24 + k)})")

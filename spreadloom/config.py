@@ -86,8 +86,10 @@ class TrainerSpec:
     patience: int = 6
     min_gain: float = 1e-6
     validation_share: float = 0.15
-    # Parts of a fold that train side by side and are averaged after each epoch.
-    shards: int = 4
+    # Steps of an epoch at most; a larger fold takes larger batches.
+    most_batches: int = 8
+    # Samples of a block, which is what one task holds of a fold.
+    block_samples: int = 256
 
 
 @dataclass(frozen=True)

@@ -49,9 +49,9 @@ def samples(spark, n=400, folds=2):
 SPEC = AutoencoderSpec(hidden=16, emb_dim=4)
 
 
-@pytest.mark.parametrize("shards", [1, 4])
-def test_fit_lowers_loss(spark, shards):
-    trainer = TrainerSpec(epochs=12, batch_size=32, shards=shards, lr=5e-3)
+@pytest.mark.parametrize("most", [4, 16])
+def test_fit_lowers_loss(spark, most):
+    trainer = TrainerSpec(epochs=12, batch_size=32, most_batches=most, lr=5e-3)
     fits = tr.fit_folds(samples(spark), nets.Autoencoder(SPEC), trainer).collect()
     assert sorted(r.fold_id for r in fits) == [0, 1]
     for r in fits:
@@ -66,6 +66,44 @@ def test_fit_does_not_depend_on_partitioning(spark):
     assert fit(rows.repartition(1)) == fit(rows.repartition(7, "sample_id"))
 
 
+def test_fit_does_not_depend_on_the_number_of_blocks(spark):
+    rows = samples(spark, 200)
+    trainer = TrainerSpec(epochs=3, batch_size=64)
+    fits, blocks = [], []
+    for size in (10_000, 20, 1):
+        spec = replace(trainer, block_samples=size)
+        blocks.append(tr.pack_blocks(rows, spec).count())
+        fits.append({r.fold_id: np.array(r.weights) for r in tr.fit_folds(rows, nets.Autoencoder(SPEC), spec).collect()})
+    assert blocks[0] == 2 * 4 and blocks[1] > 2 * 8 and blocks[2] > 200
+    for other in fits[1:]:
+        for fold, weights in fits[0].items():
+            assert np.allclose(other[fold], weights, atol=1e-5)
+
+
+@pytest.mark.parametrize("net", [nets.Autoencoder(AutoencoderSpec(hidden=6, emb_dim=3)), nets.GruRegressor(GruSpec(max_lags=12, hidden=4, emb_dim=3))])
+def test_gradient_sums_equal_the_whole_gradient(spark, net):
+    """Blocks add up to the gradient of all samples at once; those that judge add a loss only."""
+    rows = samples(spark, 150)
+    spec = TrainerSpec(batch_size=1000, block_samples=16)
+    flat = {f: nets.initial_weights(net, f) for f in (0, 1)}
+    got = tr.gradient_sums(tr.pack_blocks(rows, spec, "float64").rdd, net, flat, "float64")
+    apart = tr.gradient_sums(tr.pack_blocks(rows, spec, "float64").rdd.repartition(70), net, flat, "float64")
+    one = {(r.fold_id, r.part): r for r in tr.pack_blocks(rows, replace(spec, block_samples=10 ** 6), "float64").collect()}
+    for f in (0, 1):
+        w = nets.unflatten(net, flat[f], "float64")
+
+        def block(part):
+            r = one[f, part]
+            return np.frombuffer(r.x).reshape(r.n, -1), np.frombuffer(r.y)
+
+        want = np.concatenate([g.ravel() for g in net.gradient(w, *block(0))])
+        for sums in (got, apart):
+            assert np.allclose(sums[f].gradient / sums[f].n_fit, want, rtol=1e-9, atol=1e-12)
+        n = one[f, tr.JUDGE].n
+        assert got[f].n_judge == n and got[f].n_fit == 150 - n
+        assert abs(got[f].error / n - net.loss(w, *block(tr.JUDGE))) < 1e-12
+
+
 def test_one_more_row_changes_little(spark):
     """No number of rows is a border at which training takes another way."""
     trainer = TrainerSpec(epochs=3, batch_size=32)
