@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spreadloom.operators import correlation as cr, reports as rp
+from spreadloom.operators import correlation as cr, reports as rp, windows as wn
+from spreadloom.plans import job, restart as rt
 from spreadloom.sources import results as rs
 from spreadloom.staging import new_stage_path
 
@@ -210,7 +211,7 @@ def tsv_round_trip(spark, sf_dir):
 def arm_bundle_round_trip(spark, sf_dir):
     out = new_stage_path(spark, "arm-bundle")
     for name, arm in zip(I.ARMS, I.three_arms(spark, sf_dir)):
-        rs.save_arm(arm.tables(), out, name)
+        rs.commit_arm(arm.tables(), out, name)
     return rs.load_arms(spark, out, ("trades",))["trades"]
 
 
@@ -220,5 +221,53 @@ UNION ALL SELECT 'window_mean', fold_id, sym_a, sym_b, rank, half_life FROM v_pa
 def fold_tables_round_trip(spark, sf_dir):
     out = new_stage_path(spark, "fold-tables")
     for name, arm in (("classic", I.classic_arm(spark, sf_dir)), ("window_mean", I.vector_arm(spark, sf_dir))):
-        rs.save_arm({"pairs": arm.pairs}, out, name)
+        rs.save_folds({"pairs": arm.pairs}, out, name)
     return spark.read.parquet(f"{out}/pairs")
+
+
+@query("fold_id:i", """
+SELECT fold_id FROM w_folds WHERE (
+    SELECT max(bar_seq) FROM w_panel WHERE symbol = (SELECT min(symbol) FROM w_panel)
+       AND bar_seq <= (SELECT test_lo FROM w_folds WHERE fold_id = 3)) BETWEEN train_lo AND test_hi""")
+def folds_to_run(spark, sf_dir):
+    """One bar is corrected; the folds that see it are to be run again."""
+    m = I.weekly_market(spark, sf_dir)
+    name = m.panel.agg(F.min("symbol")).first()[0]
+    edge = m.folds.filter("fold_id = 3").first().test_lo
+    at = m.panel.filter((F.col("symbol") == name) & (F.col("bar_seq") <= edge)).agg(F.max("bar_seq")).first()[0]
+    hit = (F.col("symbol") == name) & (F.col("bar_seq") == at)
+    corrected = m.panel.withColumn("close", F.when(hit, F.col("close") * 1.01).otherwise(F.col("close")))
+    before, after = (rt.fold_keys(p, m.folds, I.WEEK_FOLDS, I.WEEKLY.snapshot()) for p in (m.panel, corrected))
+    return rt.folds_to_run(after, before)
+
+
+@query(f"arm {METRICS}", "SELECT * FROM c_agg")
+def job_continued(spark, sf_dir):
+    """The batch job over all years but the last, then over all: only new folds run, the result is that of one run."""
+    files, out = new_stage_path(spark, "bar-files"), new_stage_path(spark, "job")
+    bars = I.weekly_bars(spark, sf_dir).select(
+        "symbol", F.col("bar_ts").alias("timestamp_utc"), "close", "volume", F.lit(True).alias("is_regular_hours"),
+        F.year("bar_ts").alias("year"))
+    bars.write.partitionBy("year").parquet(files)
+    years = sorted(r.year for r in bars.select("year").distinct().collect())
+    job.run_job(spark, files, out, ["classic"], years[:-1], I.WEEKLY, pattern="year={year}")
+    return job.run_job(spark, files, out, ["classic"], years, I.WEEKLY, pattern="year={year}")
+
+
+@query("fold_id:i n_fits:i mean_first:d", """
+SELECT fold_id, CASE WHEN fold_id = 1 THEN 2 ELSE 1 END AS n_fits, avg(x[1]) + CASE WHEN fold_id = 1 THEN 1 ELSE 0 END AS mean_first
+FROM o_windows GROUP BY fold_id""")
+def weights_cache(spark, sf_dir):
+    """A fit per fold is kept with its samples; after fold 1's samples change, only fold 1 is fitted again."""
+    path = new_stage_path(spark, "weights")
+    windows = wn.tumbling_windows(I.open_weekly_market(spark, sf_dir).train.series, I.WEEKLY.autoencoder)
+    samples = windows.select("fold_id", "symbol", F.col("window_id").alias("sample_id"), "x", F.lit(0.0).alias("target"))
+
+    def fit(rows):
+        return rows.groupBy("fold_id").agg(F.avg(F.col("x")[0]).alias("mean_first"))
+
+    rs.fit_with_cache(samples, fit, path, "demo", "key")
+    changed = samples.withColumn("x", F.transform("x", lambda v: F.when(F.col("fold_id") == 1, v + 1).otherwise(v)))
+    now = rs.fit_with_cache(changed, fit, path, "demo", "key")
+    fits = rs.cached_weights(spark, path, "demo", "key").groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_fits"))
+    return now.join(fits, "fold_id")

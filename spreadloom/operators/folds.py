@@ -71,6 +71,11 @@ def test_folds(first_day: Column, last_day: Column, n_days: Column, plan: FoldPl
     return _fold_range(first_day, last_day, plan.train_days, plan.test_days, n_days, plan)
 
 
+def window_folds(day: Column, n_days: Column, plan: FoldPlan) -> Column:
+    """Ids of the folds that train or test on ``day``."""
+    return _fold_range(day, day, 0, plan.train_days + plan.test_days, n_days, plan)
+
+
 def assign_folds(panel: DataFrame, plan: FoldPlan, side: str) -> DataFrame:
     """Each bar once per fold whose ``side`` ('train' or 'test') window holds its day."""
     ids = train_folds if side == "train" else test_folds

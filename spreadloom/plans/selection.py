@@ -23,7 +23,7 @@ from ..operators.signal import evaluate_pairs
 from ..operators.training import encode_windows, fit_folds
 from ..operators.windows import (
     enough, pool_codes, sliding_windows, standardize, tumbling_windows, window_scale)
-from ..sources.results import config_key, fit_with_cache, sample_key, save_arm
+from ..sources.results import config_key, fit_with_cache, save_folds
 from ..staging import stage
 
 SCORES = ("cand_rank", "train_corr", "emb_distance")
@@ -92,7 +92,7 @@ def _choose(candidates: DataFrame, train: TrainData, settings: RunSettings, arm:
     pairs = choose_pairs(candidates, train.series, settings)
     if out is not None:
         pairs = stage(pairs, f"{arm}-chosen")
-        save_arm({"selection": selection_counts(train.folds, candidates, pairs)}, out, arm)
+        save_folds({"selection": selection_counts(train.folds, candidates, pairs)}, out, arm)
     return pairs
 
 
@@ -118,7 +118,7 @@ def _weights(samples: DataFrame, net, settings: RunSettings, arm: str,
     if cache is None:
         return stage(fit(samples), f"{arm}-weights")
     samples = stage(samples, f"{arm}-samples")
-    return fit_with_cache(samples, fit, cache, arm, config_key(arm, settings.snapshot(), sample_key(samples)))
+    return fit_with_cache(samples, fit, cache, arm, config_key(arm, settings.snapshot()))
 
 
 def autoencoder_samples(series: DataFrame, settings: RunSettings) -> DataFrame:
@@ -166,7 +166,7 @@ def autoencoder_selector(settings: RunSettings, cache: str | None = None,
     def select(train: TrainData) -> DataFrame:
         vectors = stage(autoencoder_embeddings(train.series, settings, cache), "ae-embeddings")
         if out is not None:
-            save_arm({"embeddings": vectors}, out, "autoencoder")
+            save_folds({"embeddings": vectors}, out, "autoencoder")
         return select_by_vectors(vectors, train, settings, settings.autoencoder.neighbours, "autoencoder", out)
 
     return select
@@ -179,7 +179,7 @@ def gru_selector(settings: RunSettings, cache: str | None = None,
         backs = stage(gru_lookbacks(train.series, settings), "lookbacks")
         vectors = stage(gru_embeddings(train.series, settings, cache, backs), "gru-embeddings")
         if out is not None:
-            save_arm({"lookbacks": backs, "embeddings": vectors}, out, "gru")
+            save_folds({"lookbacks": backs, "embeddings": vectors}, out, "gru")
         return select_by_vectors(vectors, train, settings, settings.gru.neighbours, "gru", out)
 
     return select

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,7 +35,7 @@ class Market:
 @dataclass(frozen=True)
 class ArmResult:
     pairs: DataFrame
-    pair_bars: DataFrame
+    pair_bars: DataFrame | None  # not kept for folds taken from a saved run
     portfolio: DataFrame
     trades: DataFrame
     fold_metrics: DataFrame
@@ -49,17 +49,20 @@ class ArmResult:
 
 
 def open_market(panel: DataFrame, settings: RunSettings = RunSettings(),
-                liquid_first: bool = False, calendar: DataFrame | None = None) -> Market:
+                liquid_first: bool = False, calendar: DataFrame | None = None,
+                only: DataFrame | None = None) -> Market:
     """Folds, universes and packed train series of a staged panel.
 
     ``calendar`` is the staged ``grid_calendar`` of the panel's bars; without it the bars of
     the panel are the grid, which is the same unless some bar has no price at all.
-    ``liquid_first`` takes the most liquid symbols before it asks for coverage.
+    ``liquid_first`` takes the most liquid symbols before it asks for coverage. ``only`` names
+    the folds (fold_id) that are wanted; nothing is derived for the others.
     """
     if calendar is None:
         calendar = stage(
             panel.select("bar_ts", "day", "day_idx", "bar_seq", "n_days").distinct(), "calendar")
-    folds = stage(check_no_lookahead(fold_table(calendar, settings.folds)), "folds")
+    folds = check_no_lookahead(fold_table(calendar, settings.folds))
+    folds = stage(folds if only is None else folds.join(only.select("fold_id"), "fold_id", "left_semi"), "folds")
     pick = liquid_then_covered if liquid_first else fold_universe
     universe = stage(pick(panel, folds, settings.folds, settings.eligibility), "universe")
     series = stage(train_series(panel, folds, universe, settings.folds), "train-series")
@@ -84,26 +87,59 @@ def trade_log(pair_bars: DataFrame, calendar: DataFrame) -> DataFrame:
         *PAIR, "side", "entry_ts", "exit_ts", "holding_bars", "pnl", "weight")
 
 
-def run_arm(market: Market, selector: Selector, arm: str) -> ArmResult:
-    """Select on the train windows, trade the test windows, stitch and measure."""
-    bars_per_year = market.settings.clock.bars_per_year
-    tag = F.lit(arm).alias("arm")
+def restricted(market: Market, only: DataFrame) -> Market:
+    """The market with the folds of ``only`` (fold_id) alone."""
+    def kept(df: DataFrame) -> DataFrame:
+        return df.join(only.select("fold_id"), "fold_id", "left_semi")
+
+    folds = stage(kept(market.folds), "folds")
+    return replace(market, folds=folds, universe=kept(market.universe),
+                   train=replace(market.train, series=kept(market.train.series), folds=folds))
+
+
+@dataclass(frozen=True)
+class FoldResults:
+    """What each fold gives by itself; an arm is made of these."""
+
+    pairs: DataFrame
+    trades: DataFrame
+    portfolio: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"pairs": self.pairs, "trades": self.trades, "portfolio": self.portfolio}
+
+
+def run_folds(market: Market, selector: Selector, arm: str) -> tuple[FoldResults, DataFrame]:
+    """Select on the train windows and trade the test windows; also every bar of every pair."""
     pairs = stage(selector(market.train), f"{arm}-pairs")
     pair_bars = stage(trade_test(market, pairs), f"{arm}-bars")
     trades, portfolio = side_by_side([
         lambda: stage(trade_log(pair_bars, market.calendar), f"{arm}-trades"),
         lambda: stage(fold_portfolio(pair_bars, market.folds), f"{arm}-portfolio")])
-    counts = active_pairs(pairs, market.folds)
-    per_fold = summarize(portfolio, ["fold_id"], "fold_id", trades, counts, bars_per_year)
-    fold_metrics = market.folds.select(
+    return FoldResults(pairs, trades, portfolio), pair_bars
+
+
+def assemble(results: FoldResults, calendar: DataFrame, folds: DataFrame, arm: str, bars_per_year: int,
+             pair_bars: DataFrame | None = None) -> ArmResult:
+    """Stitch the folds of an arm and measure them."""
+    tag = F.lit(arm).alias("arm")
+    counts = active_pairs(results.pairs, folds)
+    per_fold = summarize(results.portfolio, ["fold_id"], "fold_id", results.trades, counts, bars_per_year)
+    fold_metrics = folds.select(
         "fold_id", "train_start", "train_end", "test_start", "test_end").join(per_fold, "fold_id")
-    returns = stitch(portfolio).join(market.calendar.select("bar_seq", "bar_ts"), "bar_seq")
+    returns = stitch(results.portfolio).join(calendar.select("bar_seq", "bar_ts"), "bar_seq")
     keyed = returns.select(tag, "*")
     curve = equity_curve(keyed, ["arm"], "fold_id")
     aggregate = summarize(
-        keyed, ["arm"], "fold_id", trades.select(tag, "*"),
+        keyed, ["arm"], "fold_id", results.trades.select(tag, "*"),
         counts.agg(F.avg("n_active_pairs").alias("n_active_pairs")).select(tag, "*"), bars_per_year)
     return ArmResult(
-        pairs=pairs.select(tag, "*"), pair_bars=pair_bars.select(tag, "*"),
-        portfolio=portfolio.select(tag, "*"), trades=trades.select(tag, "*"),
+        pairs=results.pairs.select(tag, "*"), pair_bars=None if pair_bars is None else pair_bars.select(tag, "*"),
+        portfolio=results.portfolio.select(tag, "*"), trades=results.trades.select(tag, "*"),
         fold_metrics=fold_metrics.select(tag, "*"), returns=keyed, equity=curve, aggregate=aggregate)
+
+
+def run_arm(market: Market, selector: Selector, arm: str) -> ArmResult:
+    """Select on the train windows, trade the test windows, stitch and measure."""
+    results, pair_bars = run_folds(market, selector, arm)
+    return assemble(results, market.calendar, market.folds, arm, market.settings.clock.bars_per_year, pair_bars)

@@ -165,10 +165,29 @@ def test_arms_write_their_weights_side_by_side(spark, tmp_path):
     assert spark.read.parquet(path).groupBy("arm").count().filter("count = 10").count() == 2
 
 
-def test_sample_key_follows_the_data_not_its_order(spark):
-    rows = samples(spark, 30)
-    assert rs.sample_key(rows) == rs.sample_key(rows.orderBy(F.rand(1)))
-    assert rs.sample_key(rows) != rs.sample_key(rows.withColumn("target", F.col("target") + 1e-9))
+def test_sample_keys_follow_the_data_not_its_order(spark):
+    rows = samples(spark, 30, 2)
+    def keys(df): return {r.fold_id: r.sample_key for r in rs.keyed_by_samples(df).collect()}
+    base = keys(rows)
+    assert base == keys(rows.orderBy(F.rand(1)))
+    moved = keys(rows.withColumn("target", F.when(F.col("fold_id") == 1, F.col("target") + 1e-9).otherwise(F.col("target"))))
+    assert moved[0] == base[0] and moved[1] != base[1]
+
+
+def test_one_changed_fold_refits_one_fold(spark, tmp_path):
+    path, seen = str(tmp_path / "weights"), []
+
+    def fit(df):
+        seen.append(sorted(r.fold_id for r in df.select("fold_id").distinct().collect()))
+        return df.groupBy("fold_id").agg(F.sum("target").alias("weight"))
+
+    rows = samples(spark, 20, 3)
+    changed = rows.withColumn("target", F.when(F.col("fold_id") == 2, F.lit(1.0)).otherwise(F.col("target")))
+    first = {r.fold_id: r.weight for r in rs.fit_with_cache(rows, fit, path, "autoencoder", "k").collect()}
+    second = {r.fold_id: r.weight for r in rs.fit_with_cache(changed, fit, path, "autoencoder", "k").collect()}
+    third = {r.fold_id: r.weight for r in rs.fit_with_cache(rows, fit, path, "autoencoder", "k").collect()}
+    assert seen == [[0, 1, 2], [2]]
+    assert first == third and second == {**first, 2: 20.0}
 
 
 def test_ar_fit_equals_least_squares(spark):

@@ -108,7 +108,7 @@ def test_job_saves_and_reloads_every_arm(spark, sf_dir, weekly_files, tmp_path):
     counts = spark.read.parquet(f"{out}/selection").groupBy("arm").agg(
         F.count("*").alias("folds"), F.sum("n_selected").alias("n"), F.min(F.col("n_candidates") - F.col("n_selected")).alias("left")).collect()
     assert {r.arm: r.folds for r in counts} == dict.fromkeys(arms, 9) and all(r.left >= 0 for r in counts)
-    pairs = spark.read.parquet(f"{out}/pairs").groupBy("arm").count().collect()
+    pairs = rs.load_arms(spark, out, ("pairs",))["pairs"].groupBy("arm").count().collect()
     assert {r.arm: r["count"] for r in pairs} == {r.arm: r.n for r in counts if r.n}
     # Every report is there, and says what the saved tables say.
     text = {name: spark.read.option("sep", "\t").option("header", True).csv(f"{out}/reports/{name}") for name in ORDERS}
@@ -157,3 +157,62 @@ def test_bars_are_counted_before_folds_share_them(spark, sf_dir, roll, monkeypat
     un.fold_coverage(m.panel, m.folds, FoldPlan(104, 26, roll))
     assert plans[0].index("Generate explode") < plans[0].index("Exchange hashpartitioning(symbol")
     assert plans[0].count("Exchange hashpartitioning") == 2
+
+
+def rows_of(df) -> list:
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(sorted(df.columns)).collect()), key=str)
+
+
+def test_a_killed_job_goes_on_and_added_years_run_only_new_folds(spark, weekly_files, tmp_path, monkeypatch):
+    years, arms, ran = list(range(1995, 2002)), ["classic", "baseline"], []
+    run_folds = job.run_folds
+
+    def counted(market, selector, arm):
+        if arm == "baseline" and len(ran) == 1:
+            raise RuntimeError("killed")
+        ran.append((arm, sorted(r.fold_id for r in market.folds.select("fold_id").collect())))
+        return run_folds(market, selector, arm)
+
+    monkeypatch.setattr(job, "run_folds", counted)
+
+    def run(out, arms, years):
+        return job.run_job(spark, weekly_files, str(tmp_path / out), arms, years, I.WEEKLY, pattern="year={year}", baseline=I.WEEKLY_BASELINE)
+
+    with pytest.raises(RuntimeError):
+        run("out", arms, years[:-1])
+    ran.append("killed")
+    run("out", arms, years[:-1])
+    assert [r if r == "killed" else r[0] for r in ran] == ["classic", "killed", "baseline"]  # the saved arm is not run again
+    first = set(ran[0][1])
+    run("out", arms, years)
+    whole = set(range(9))
+    assert first < whole and [(a, set(f)) for a, f in ran[3:]] == [("classic", whole - first), ("baseline", whole - first)]
+    run("out", arms, years)
+    assert len(ran) == 5  # nothing has changed
+    run("zero", arms, years)
+    tables = ("aggregate", "fold_metrics", "trades", "equity", "pairs", "portfolio", "fold_keys")
+    got, want = (rs.load_arms(spark, str(tmp_path / out), tables) for out in ("out", "zero"))
+    for name in tables:
+        assert rows_of(got[name]) == rows_of(want[name]), name
+
+
+def test_readers_see_the_bundle_before_until_the_new_one_is_whole(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def tables(n):
+        return {"aggregate": spark.createDataFrame([(n,)], "v int"), "trades": spark.createDataFrame([(n,), (n,)], "v int")}
+
+    def seen():
+        return [sorted(r.v for r in df.collect()) for df in rs.load_arms(spark, out, ("aggregate", "trades")).values()]
+
+    rs.commit_arm(tables(1), out, "classic")
+    broken = tables(2) | {"trades": spark.range(1).select(F.raise_error(F.lit("lost")).alias("v"))}
+    with pytest.raises(Exception, match="lost"):
+        rs.commit_arm(broken, out, "classic")
+    assert seen() == [[1], [1, 1]]
+    open_before = rs.read_bundle(spark, out, "classic", "trades")
+    rs.commit_arm(tables(3), out, "classic")
+    assert seen() == [[3], [3, 3]] and open_before.count() == 2
+    rs.commit_arm(tables(4), out, "other")
+    assert seen() == [[3, 4], [3, 3, 4, 4]]
+    assert len(rs.names_in(spark, f"{out}/bundles/arm=classic")) == 3  # two bundles and the markers
