@@ -39,14 +39,15 @@ class Forest:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node's neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    # A table of its own, so that adaptive execution can split the join where a node is a hub.
+    least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
     return (both.filter("b > a").join(least, "a")
             .select(F.col("b").alias("a"), F.col("least").alias("b")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    least = stage(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = (edges.join(least, "a").filter("b != least")
              .select(F.col("b").alias("a"), F.col("least").alias("b")))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
@@ -69,7 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
                   .filter("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = stage(_small_star(_large_star(edges)), "edges")
+        edges = stage(_small_star(stage(_large_star(edges), "edges")), "edges")
         now = _state(edges)
         if now == before:
             break

@@ -4,16 +4,19 @@ Eight overlapping heuristics vote good, bad or nothing on each whole text. A pas
 all documents counts how often each pattern of votes occurs; patterns are at most
 3**8, whatever the corpus. Expectation-maximisation on these counts estimates how often each
 heuristic says what of good and of bad documents, and with it the probability that a document of a
-pattern is good. These posteriors label a sample of ``train_rows`` documents, on which a
+pattern is good. These posteriors label a sample of documents, on which a
 linear scorer over hashed word shapes is fitted; the scorer then decides on every
 document.
 
-The sample is the one bound in here: documents whose id hash lies below the share that
-gives ``train_rows`` rows on average. The counts and the scores cover all rows.
+The sample is the one bound in here: 2 x ``train_rows`` documents on average. Half of it is
+dealt evenly over the patterns, so a kind of document that EM has seen is in it however rare;
+each row counts for as many documents as it stands for. It is drawn by hashes of id and
+text, equal rows once. The counts and the scores cover all rows, and whether there is any
+bad document to learn from is told by the counts of all, not by the sample.
 
 Defined cases: a null or empty text, or one too short for a heuristic, gets no vote there
-and is scored the less by its words the fewer it has (an empty one
-gets the share of good documents); rows that repeat an id are
+and is scored the less by its words the fewer it has; without evidence a document is kept,
+whatever the share of good ones; rows that repeat an id are
 scored each; a null id is scored, but never in the sample; extra columns pass through, and a name
 already taken gets a number; an empty table gives no rows.
 """
@@ -30,6 +33,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..staging import stage
 from .common import batch, columns, extend_rows, own_name
 
 #: Bound of the training sample, log2 of the scorer's weights, votes a word count must allow.
@@ -144,9 +148,12 @@ def features(text: str | None, log2: int = WEIGHTS_LOG2) -> tuple[list[int], lis
     return list(out), np.sqrt(np.fromiter(out.values(), float, len(out))).tolist(), min(1.0, n / ENOUGH_WORDS)
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], log2: int = WEIGHTS_LOG2, rounds: int = 300,
-               rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, both classes weighted alike, by full gradient steps."""
+def fit_scorer(rows: list[tuple[list[int], list[float], float]], stands_for: list[float] | None = None, log2: int = WEIGHTS_LOG2,
+               rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, both classes weighted alike, by full gradient steps.
+
+    ``stands_for``: of how many documents each row is the sample, one by default.
+    """
     weights, base = np.zeros(1 << log2), 0.0
     if not rows:
         return weights, 5.0  # nothing was seen that speaks against a document
@@ -154,9 +161,10 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], log2: int = WEI
     index = np.fromiter((i for r in rows for i in r[0]), np.int64, len(at))
     value = np.fromiter((v for r in rows for v in r[1]), float, len(at))
     label = np.array([r[2] for r in rows])
-    good, bad = max(label.sum(), 1e-9), max((1 - label).sum(), 1e-9)
-    cost = 0.5 * label / good + 0.5 * (1 - label) / bad
-    if bad < 0.5:
+    many = np.ones(len(rows)) if stands_for is None else np.asarray(stands_for, float)
+    good, bad = max((many * label).sum(), 1e-9), max((many * (1 - label)).sum(), 1e-9)
+    cost = 0.5 * many * (label / good + (1 - label) / bad)
+    if bad < 1e-6:
         return weights, 5.0
     speed, speed_base = np.full(1 << log2, 1e-8), 1e-8
     for _ in range(rounds):
@@ -178,40 +186,53 @@ class QualityModel:
     base: float
 
     def score(self, text: str | None) -> float:
-        """Probability that a text is good; a text of few words stays near the share of good ones."""
+        """Probability that a text is good; a text of few words stays near the share of good ones, or a half where that is less."""
         at, value, trust = features(text)
         odds = trust * (float(np.dot(self.weights[at], value)) + self.base) if at else 0.0
-        odds += (1 - trust) * float(np.log(self.labels.good) - np.log1p(-self.labels.good))
+        odds += (1 - trust) * max(0.0, float(np.log(self.labels.good) - np.log1p(-self.labels.good)))
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
 
-PATTERNS = columns("pattern bigint, n bigint")
-SAMPLE = columns("pattern bigint, at int[], value double[]")
+CAST = columns("draw bigint, pattern bigint")
+SAMPLE = columns("draw bigint, pattern bigint, at int[], value double[]")
+#: Parts into which the hashes of a sample are cut.
+DRAWS = 1 << 40
+
+
+def sample_shares(counts: np.ndarray, train_rows: int) -> np.ndarray:
+    """The share of each pattern's documents that is drawn: ``train_rows`` over all, and as many dealt evenly over the patterns."""
+    if not len(counts):
+        return np.empty(0)
+    return np.minimum(1.0, np.maximum(train_rows / counts.sum(), train_rows / (len(counts) * counts)))
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
-    def count(batches):
-        seen: Counter = Counter()
+    def cast(batches):
         for b in batches:
-            seen.update(pattern(votes(t)) for t in b.column(0).to_pylist())
-        if seen:
-            yield batch(PATTERNS, [list(seen), list(seen.values())])
-
-    counted = docs.select(text_column).mapInArrow(count, PATTERNS).groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    counts = np.array([(r.pattern, r.n) for r in sorted(counted)], np.int64).reshape(-1, 2)
-    labels = fit_label_model(counts[:, 0], counts[:, 1].astype(float))
+            yield batch(CAST, [b.column(0), [pattern(votes(t)) for t in b.column(1).to_pylist()]])
 
     def describe(batches):
         for b in batches:
-            texts = b.column(0).to_pylist()
-            each = [features(t) for t in texts]
-            yield batch(SAMPLE, [[pattern(votes(t)) for t in texts], [e[0] for e in each], [e[1] for e in each]])
-
-    share = min(1.0, train_rows / max(1, int(counts[:, 1].sum())))
-    picked = docs.filter(F.col(id_column).isNotNull() & (F.pmod(F.xxhash64(id_column), F.lit(1 << 40)) < int(share * (1 << 40))))
-    rows = picked.select(text_column).mapInArrow(describe, SAMPLE).collect()
-    belief = labels.posterior(np.array([r.pattern for r in rows], np.int64)) if rows else []
-    return QualityModel(labels, *fit_scorer([(r.at, r.value, p) for r, p in zip(rows, belief)]))
+            each = [features(t) for t in b.column(2).to_pylist()]
+            yield batch(SAMPLE, [b.column(0), b.column(1), [e[0] for e in each], [e[1] for e in each]])
+
+    draw = F.when(F.col(id_column).isNotNull(), F.xxhash64(id_column, text_column))
+    drawn = docs.select(draw.alias("draw"), F.col(text_column).alias("text"))
+    told = stage(drawn.mapInArrow(cast, CAST), "quality-votes")
+    counted = told.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = np.array([(r.pattern, r.n) for r in sorted(counted)], np.int64).reshape(-1, 2)
+    labels = fit_label_model(counts[:, 0], counts[:, 1].astype(float))
+    belief = dict(zip(counts[:, 0].tolist(), labels.posterior(counts[:, 0]))) if len(counts) else {}
+    shares = dict(zip(counts[:, 0].tolist(), sample_shares(counts[:, 1], train_rows).tolist()))
+    if sum(n * (1 - belief[p]) for p, n in counts.tolist()) < 0.5:
+        return QualityModel(labels, *fit_scorer([]))
+    limits = docs.sparkSession.createDataFrame([(p, int(s * DRAWS)) for p, s in shares.items()], "pattern bigint, below bigint")
+    picked = (told.join(F.broadcast(limits), "pattern").filter(F.col("draw").isNotNull() & (F.pmod(F.xxhash64("draw"), F.lit(DRAWS)) < F.col("below")))
+              .select("draw", "pattern").distinct())
+    # Bounded by the sample's size, so it may be broadcast; equal rows come once.
+    rows = (drawn.join(F.broadcast(stage(picked, "quality-sample")), "draw").select("draw", "pattern", "text")
+            .mapInArrow(describe, SAMPLE).dropDuplicates(["draw"]).orderBy("draw").collect())
+    return QualityModel(labels, *fit_scorer([(r.at, r.value, belief[r.pattern]) for r in rows], [1 / shares[r.pattern] for r in rows]))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", only_kept: bool = False,
