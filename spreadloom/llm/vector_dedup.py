@@ -17,6 +17,8 @@ Vectors are compared only inside a label, by cosine in double precision.
    each returns a count per vector, never the pairs.
 6. Audit: a bounded sample of vectors is compared with all vectors of their labels by brute force. If
    less than ``recall`` of their links are found, new trees and another descent follow, the graph so far being kept.
+   If that does not help ``MOST_AUDITS`` times, the labels of which links are missing are finished exactly: all
+   pairs of blocks of such a label are compared, and each returns counts and a forest.
 
 Defined cases: a vector that is null, empty or zero, or holds a null or a number that is not finite, or whose
 label or id is null, links with nothing: n_links 0, its own component (null, and not kept,
@@ -195,15 +197,15 @@ def _degrees(kinds: DataFrame, lists: DataFrame, ties: DataFrame, k: int, least:
     return stage(listed.unionByName(whole), "degrees"), parts
 
 
-def audit(kinds: DataFrame, degrees: DataFrame, least: float, rows: int = AUDIT_ROWS, round_: int = 0) -> float:
-    """Share of the sampled vectors' links that were found. The sample is of about ``rows`` classes, whatever the table."""
+def audit(kinds: DataFrame, degrees: DataFrame, least: float, rows: int = AUDIT_ROWS, round_: int = 0) -> tuple[float, list[int]]:
+    """Share of the sampled vectors' links that were found, and the labels of which some were not. The sample is of about ``rows`` classes, whatever the table."""
     total = kinds.count()
     share = min(1.0, rows / max(1, total))
     picked = kinds.filter(F.pmod(F.xxhash64("rep", F.lit(round_)), F.lit(1 << 40)) < int(share * (1 << 40)))
     sample = picked.select("rep", "label", "dim", "embedding").toArrow().to_batches()
     sample = [b for b in sample if b.num_rows]
     if not sample:
-        return 1.0
+        return 1.0, []
     ids, labels, dims = (numbers(sample, i) for i in range(3))
     asked = [(int(d), np.flatnonzero(dims == d)) for d in np.unique(dims)]
     units = {d: vectors([b.filter(b.column(2).to_numpy() == d) for b in sample], 3) for d, _ in asked}
@@ -224,9 +226,42 @@ def audit(kinds: DataFrame, degrees: DataFrame, least: float, rows: int = AUDIT_
         yield batch(counts, [ids, found])
 
     true = kinds.select("rep", "label", "dim", "copies", "embedding").mapInArrow(count, counts).groupBy("rep").agg(F.sum("links").alias("links"))
-    got = true.join(degrees, "rep", "left").agg(
-        F.sum("links"), F.sum(F.least("links", F.coalesce("degree", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    label_of = dict(zip(ids.tolist(), labels.tolist()))
+    # A row per sampled class.
+    got = [(r.rep, r.links, min(r.links, r.degree)) for r in true.join(degrees, "rep", "left").na.fill(0, ["degree"]).collect()]
+    links = sum(n for _, n, _ in got)
+    return sum(m for *_, m in got) / links if links else 1.0, sorted({label_of[rep] for rep, n, m in got if m < n})
+
+
+def _exact(kinds: DataFrame, labels: list[int], least: float) -> tuple[DataFrame, DataFrame]:
+    """(rep, degree) of all classes of the labels and links that hold their components together, by all pairs of blocks."""
+    sizes = kinds.filter(F.col("label").isin(labels)).groupBy("label", "dim").agg(
+        F.ceil(F.count(F.lit(1)) / COMPONENT_BLOCK).cast("int").alias("blocks"))
+    own = (kinds.filter(F.col("label").isin(labels)).join(stage(sizes, "exact-sizes"), ["label", "dim"])
+           .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = own.withColumn("other", other).select(
+        "label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "embedding")
+    out = columns("rep bigint, degree bigint, a bigint, b bigint")
+
+    def compare(batches):
+        for (_, _, i, j), slices in sorted_groups(batches, 4, 1 << 30):  # two blocks of a label
+            block, ids, copies, unit = numbers(slices, 4), numbers(slices, 5), numbers(slices, 6), vectors(slices, 7)
+            near = unit @ unit.T >= least
+            near &= ids[:, None] != ids[None, :]
+            if i != j:
+                near &= block[:, None] != block[None, :]
+            forest = Forest(len(ids))
+            forest.add(*np.nonzero(near))
+            tied = np.array(forest.links, np.int64).reshape(-1, 2)
+            none = [None] * len(ids)
+            yield batch(out, [ids, near @ copies.astype(np.int64), none, none])
+            yield batch(out, [[None] * len(tied), [None] * len(tied), ids[tied[:, 0]], ids[tied[:, 1]]])
+
+    found = stage(paired.repartition(partitions(kinds), "label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
+                  .mapInArrow(compare, out), "exact-pairs")
+    return (found.filter("rep IS NOT NULL").groupBy("rep").agg(F.sum("degree").alias("degree")),
+            found.filter("a IS NOT NULL").select("a", "b"))
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -236,17 +271,26 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     given = table.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"),
                          F.col(label).cast("bigint").alias("label"))
     good = given.filter(usable())
-    kinds = stage(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-                  .withColumn("dim", F.size("embedding").cast("bigint")), "vector-kinds")
+    # A class has a number of its own, since one id may stand at different vectors; once written it stays.
+    kinds = stage(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+                  .withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding").cast("bigint")), "vector-kinds")
     lists = ties = None
     for round_ in range(MOST_AUDITS):
         lists, ties = _descend(kinds, lists, ties, round_ * TREES, k, least)
         degrees, parts = _degrees(kinds, lists, ties, k, least)
-        if audit(kinds, degrees, least, round_=round_) >= recall:
+        share, missing = audit(kinds, degrees, least, round_=round_)
+        if share >= recall:
             break
-    facts = stage(kinds.join(degrees, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
+    else:
+        whole, links = _exact(kinds, missing, least)
+        others = kinds.filter(~F.col("label").isin(missing)).select("rep")
+        degrees = stage(degrees.join(others, "rep", "left_semi").unionByName(whole), "degrees")
+        parts = stage(connected_components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+    parts = parts.withColumnRenamed("node", "rep")
+    names = stage(parts.join(kinds.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("least_id")), "component-ids")
+    facts = stage(kinds.join(degrees, "rep", "left").join(parts.join(names, "component"), "rep", "left").select(
         "label", "embedding", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id")), "vector-facts")
+        F.coalesce("least_id", "first").alias("component_id")), "vector-facts")
     linked = good.join(facts, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = given.filter(~usable()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -53,6 +53,25 @@ def test_saturated_lists_are_enlarged_in_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_vectors(df, k=4).collect()), key=str) == plain(rows)
 
 
+def test_an_id_at_different_vectors_is_as_many_nodes(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (1, [0.0, 0.0, 1.0], 2), (2, [1.0, 0.05, 0.0], 1), (3, [0.0, 0.0, 2.0], 1),
+            (4, [1.0, 0.0, 0.02], 1), (4, [0.0, 0.0, 1.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((tuple(r) for r in near_vectors(df).collect()), key=str) == plain(rows)
+
+
+def test_labels_that_fail_every_audit_are_finished_exactly(spark, monkeypatch):
+    """Trees, lists and rounds far too few to find all links; two labels, one of which needs nothing more."""
+    for name, value in (("MOST_AUDITS", 1), ("TREES", 1), ("MOST_DESCENTS", 0), ("LEAF", 2), ("COMPONENT_BLOCK", 16)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    rows = clouds(3, [12] * 12, 1, 0.06) + [(1000 + i, [float(i == j) for j in range(16)], 5) for i in range(16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    real, told = vector_dedup.audit, []
+    monkeypatch.setattr(vector_dedup, "audit", lambda *a, **b: told.append(real(*a, **b)) or told[-1])
+    assert sorted((tuple(r) for r in near_vectors(df, k=2, recall=0.995).collect()), key=str) == plain(rows)
+    assert told[0][0] < 0.995 and told[0][1] == [0]
+
+
 def test_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1),
