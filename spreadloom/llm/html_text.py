@@ -4,18 +4,19 @@ The builder reads a page once from left to right. It knows void elements, raw te
 elements (script, style, …), which tags end others by their mere start (a block ends a
 paragraph, a list item the item before, a cell the cell before, …) and how far an end tag
 may reach, so broken markup still gives a tree. Beyond ``DEEPEST`` levels elements are no longer
-nested; their text stays.
+nested, but counted: their text stays, what they hide is hidden, and their end tags end only them.
 
 Hidden are: head and its content, scripts, styles, templates and the like, comments,
-elements with ``hidden``, with ``display:none`` or ``visibility:hidden`` in their style,
-hidden inputs and closed dialogs. All other text is emitted, once and in order:
+elements with ``hidden`` or with ``display:none`` in their style,
+hidden inputs and closed dialogs, and text whose nearest ``visibility`` is hidden or collapse (``visible``
+inside it shows again). All other text is emitted, once and in order:
 
 - white space runs become one space, except in pre and textarea; br is a line end;
 - paragraphs, headings, lists, tables, quotes and pre stand off by an empty line, other
   blocks by a line end; margins collapse;
 - list items get "- ", or their number in ordered lists (``start`` and ``value`` count), with
   inner lines set in;
-- the cells of a table are padded to columns (``colspan`` counts) with two spaces between; a cell
+- the cells of a table are padded to columns (``colspan`` and ``rowspan`` count) with two spaces between; a cell
   of several lines stays in its column.
 
 Defined cases: a null or empty page, or one without visible text, gives the empty string;
@@ -62,17 +63,21 @@ FENCES = frozenset("table td th caption button object template".split())
 
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|(?<=[=\s])\"[^\"]*+\"|(?<=[=\s])'[^']*+'|[\"'])*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_INTERESTING = re.compile(r"hidden|display|visibility|start|value|colspan|type|open", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_INTERESTING = re.compile(r"hidden|display|visibility|start|value|colspan|rowspan|type|open", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hidden")
+    __slots__ = ("tag", "attributes", "children", "hidden", "seen")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
+    def __init__(self, tag: str, attributes: dict[str, str], seen: bool = True):
         self.tag, self.attributes, self.children = tag, attributes, []
         style = attributes.get("style", "")
+        said = _VISIBILITY.findall(style) if style else None
+        #: Whether text right inside is visible; inherited, and the last word of the style counts.
+        self.seen = said[-1].lower() == "visible" if said else seen
         self.hidden = (tag in UNSEEN or "hidden" in attributes or bool(style and _HIDING.search(style))
                        or tag == "dialog" and "open" not in attributes)
 
@@ -92,15 +97,21 @@ class Builder:
     def __init__(self):
         self.root = Node("html", {})
         self.stack = [self.root]
+        #: Elements too deep to be nested: their tags, and whether they hide what is inside.
+        self.deeper: list[tuple[str, bool]] = []
 
     def text(self, text: str) -> None:
+        if self.deeper and self.deeper[-1][1]:
+            return
         top = self.stack[-1]
         if top.tag == "head" and not text.isspace():
             self.close_to(len(self.stack) - 1)  # text can't be in the head: the body has begun
-        self.stack[-1].children.append(html.unescape(text) if "&" in text else text)
+        if self.stack[-1].seen:
+            self.stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
     def close_to(self, depth: int) -> None:
         del self.stack[max(1, depth):]
+        self.deeper.clear()
 
     def _find(self, names, fences) -> int | None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -123,10 +134,16 @@ class Builder:
                 self.close_to(at)
         if tag[0] == "h" and tag[1:].isdigit() and self.stack[-1].tag[0] == "h" and self.stack[-1].tag[1:].isdigit():
             self.close_to(len(self.stack) - 1)
-        node = Node(tag, attributes)
-        self.stack[-1].children.append(node)
-        if tag not in VOID and len(self.stack) < DEEPEST:
+        inside = bool(self.deeper and self.deeper[-1][1])
+        node = Node(tag, attributes, self.stack[-1].seen)
+        if not inside:
+            self.stack[-1].children.append(node)
+        if tag in VOID:
+            return
+        if len(self.stack) < DEEPEST:
             self.stack.append(node)
+        else:
+            self.deeper.append((tag, inside or node.hidden or not node.seen))
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -134,6 +151,10 @@ class Builder:
         if tag == "br":
             self.start("br", {})
             return
+        for i in range(len(self.deeper) - 1, -1, -1):
+            if self.deeper[i][0] == tag:
+                del self.deeper[i:]
+                return
         if tag not in BLOCKS:
             fences = BLOCKS | FENCES  # the end of an inline element never ends a block
         else:
@@ -175,9 +196,12 @@ def build(page: str) -> Node:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 inner = page[at:close.start() if close else n]
                 node = built.stack[-1]
-                if node.tag == tag and not node.hidden:
-                    node.children.append(html.unescape(inner) if tag == "textarea" else inner)
-                if node.tag == tag:
+                if built.deeper and built.deeper[-1][0] == tag:
+                    if not built.deeper.pop()[1]:
+                        node.children.append(html.unescape(inner) if tag == "textarea" else inner)
+                elif node.tag == tag:
+                    if not node.hidden and node.seen:
+                        node.children.append(html.unescape(inner) if tag == "textarea" else inner)
                     built.close_to(len(built.stack) - 1)
                 at = close.end() if close else n
         else:
@@ -278,6 +302,33 @@ def _joined(blocks: list[tuple[int, list[str]]]) -> list[str]:
     return lines
 
 
+def _with_carried(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, list[str]]]]:
+    """Rows of (columns, lines), with an empty cell wherever one of a row above reaches down."""
+    left: list[int] = []  # of each column, how many more rows a cell from above takes
+    out = []
+    for cells in rows:
+        own: list[tuple[int, list[str]]] = []
+        at, given = 0, iter(cells)
+        cell = next(given, None)
+        while cell is not None or at < len(left):
+            if at < len(left) and left[at] > 0:
+                left[at] -= 1
+                own.append((1, []))
+                at += 1
+            elif cell is not None:
+                across, down, lines = cell
+                left += [0] * (at + across - len(left))
+                left[at:at + across] = [down - 1] * across
+                own.append((across, lines))
+                at += across
+                cell = next(given, None)
+            else:
+                own.append((1, []))
+                at += 1
+        out.append(own)
+    return out
+
+
 def _table(table: Node) -> list[str]:
     above, rows, loose = [], [], []
 
@@ -298,7 +349,8 @@ def _table(table: Node) -> list[str]:
                             loose.append(cell)
                     elif not cell.hidden:
                         if cell.tag in ("td", "th"):
-                            cells.append((max(1, min(1000, _number(cell.attributes.get("colspan"), 1))), _joined(_blocks(cell, False))))
+                            across, down = (_number(cell.attributes.get(x), 1) for x in ("colspan", "rowspan"))
+                            cells.append((max(1, min(1000, across)), down, _joined(_blocks(cell, False))))
                         else:
                             loose.append(cell)
                 rows.append(cells)
@@ -310,6 +362,7 @@ def _table(table: Node) -> list[str]:
     walk(table)
     outside = Node("div", {})
     outside.children = loose
+    rows = _with_carried(rows)
     widths: list[int] = []
     for cells in rows:
         at = 0

@@ -58,3 +58,24 @@ def test_query_emits_every_visible_word_in_order(spark, sf_dir):
         page = html.unescape(re.sub(r"</?(?:b|a)\b[^>]*>", "", page).replace("<br>", " ")) if "&lt;" not in page else None
         if page is not None:
             assert r.text.split() == re.sub(r"<[a-zA-Z/!][^>]*>", " ", page).split()
+
+
+def test_hidden_stays_hidden_at_any_depth():
+    deep = "<div>" * 205
+    assert visible_text(deep + "a<p style='display:none'>secret</p>b") == "ab"
+    page = deep + "<b>one</b> <i hidden>no <b>inner</b> no</i> two <span style='visibility:hidden'>no</span> three<script>no()</script> four"
+    assert visible_text(page).split() == ["one", "two", "three", "four"]
+    assert visible_text(deep + "x</div>" + "</div>" * 204 + "<p>behind").split() == ["x", "behind"]
+
+
+def test_visibility_is_inherited_and_can_be_overridden():
+    assert visible_text("<p style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</p>after") == "yes\n\nafter"
+    assert visible_text("<div style='visibility:hidden; visibility:visible'>yes</div>") == "yes"
+    assert visible_text("<ul style='visibility:collapse'><li>no<li style='visibility: visible'>yes</ul>") == "- yes"
+
+
+def test_cells_that_span_rows_shift_the_rows_below():
+    page = "<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>"
+    assert visible_text(page) == "A  B\n   C\nD  E"
+    page = "<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f</table>"
+    assert visible_text(page) == "a  b   c\nd      e\nf"
