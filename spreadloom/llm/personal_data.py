@@ -14,8 +14,12 @@ Kinds, in the order of the result. The first four are the base:
 - ``address``: scheme, ``://`` and the characters up to white space, a quote, a bracket or
   final punctuation, with at least one character of a host name;
 - ``account``: an identifier of 6 to 34 letters and digits (hyphens inside allowed) with
-  at least four digits, after a cue such as "iban", "account" or "ssn"; an IBAN must also
-  pass its check digits.
+  at least four digits, after a cue such as "iban", "account" or "ssn", in any case. An IBAN
+  must pass its check digits, and may stand in groups with single spaces between: the
+  longest run of groups that passes is taken. A social security number may have a space or a hyphen
+  between its three groups.
+
+Schemes and cues are searched in a copy of the text with A-Z lower-cased.
 
 Defined cases: a null or empty text has no spans; a null id stays null; equal rows are
 treated alike, each on its own; other columns are not read and not returned by
@@ -31,7 +35,7 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .common import batch, columns
+from .common import ASCII_LOWER, batch, columns
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = BASE_KINDS + ("address", "account")
@@ -52,7 +56,10 @@ _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOST = re.compile(r"[^\s\"'<>()\[\]{}|\\^`]+")
-_ACCOUNT = re.compile(r"(?:\s+(?:no|nr|number|id))?\.?[\s:=#]{0,4}([A-Za-z0-9](?:-?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+_AFTER_CUE = re.compile(r"(?:\s+(?:no|nr|number|id)(?![A-Za-z0-9]))?\.?[\s:=#]{0,4}", re.I)
+_ACCOUNT = re.compile(r"[A-Za-z0-9](?:-?[A-Za-z0-9]){5,33}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
+_SSN = re.compile(r"[0-9]{3}[\x20-]?[0-9]{2}[\x20-]?[0-9]{4}(?![A-Za-z0-9])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -61,12 +68,9 @@ def _automaton():
     found = ahocorasick.Automaton()
     for sign, what in (("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789")):
         found.add_word(sign, (what, 1))
-    for word in SCHEMES:
-        for form in (word, word.upper(), word.capitalize()):
-            found.add_word(form, ("scheme", len(word)))
-    for word in CUES:
-        for form in (word, word.upper(), word.capitalize()):
-            found.add_word(form, ("cue", len(word)))
+    for words, what in ((SCHEMES, "scheme"), (CUES, "cue")):
+        for word in words:
+            found.add_word(word, (what, len(word)))
     found.make_automaton()
     return found
 
@@ -84,6 +88,21 @@ def passes_iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _identifier(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The identifier that begins at ``at``, as the cue asks for it."""
+    if cue == "iban":
+        m = _IBAN.match(text, at)
+        end = m.end() if m else at
+        while end > at:
+            # A group ends where no letter or digit follows.
+            if not text[end:end + 1].isalnum() and 15 <= len(value := text[at:end].replace(" ", "")) <= 34 and passes_iban(value):
+                return at, end
+            end = text.rfind(" ", at, end)
+        return None
+    m = cue == "ssn" and _SSN.match(text, at) or _ACCOUNT.match(text, at)
+    return m.span() if m and sum(c.isdigit() for c in m.group()) >= 4 else None
+
+
 def _part_fits(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or len(part) == 3 and part <= "255"
@@ -95,7 +114,8 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return found
     email_from = ip_from = card_from = phone_from = address_from = account_from = 0
-    for last, (what, width) in _automaton().iter(text):
+    low = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+    for last, (what, width) in _automaton().iter(low):
         at = last - width + 1
         if what == "digit":
             if at >= ip_from:
@@ -137,13 +157,11 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                     address_from = last + 1 + len(body)
                     found["address"].append((at, address_from))
         elif at >= account_from and (at == 0 or not text[at - 1].isalnum()):
-            m = _ACCOUNT.match(text, last + 1)
-            if m is not None and m.start(1) > last + 1:
-                value = m.group(1).replace("-", "")
-                cue_iban = width == 4 and text[at:last + 1].lower() == "iban"
-                if sum(c.isdigit() for c in value) >= 4 and (not cue_iban or passes_iban(value)):
-                    found["account"].append(m.span(1))
-                    account_from = m.end(1)
+            begin = _AFTER_CUE.match(text, last + 1).end()
+            span = _identifier(text, begin, low[at:last + 1]) if begin > last + 1 else None
+            if span is not None:
+                found["account"].append(span)
+                account_from = span[1]
     return found
 
 

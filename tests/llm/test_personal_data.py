@@ -43,6 +43,15 @@ def test_base_kinds_equal_plain_patterns(text):
     ("IBAN: DE89370400440532013000.", "account", "DE89370400440532013000"),
     ("Account no 12-3456-78 is", "account", "12-3456-78"),
     ("card 4111 1111 1111 1111!", "card", "4111 1111 1111 1111"),
+    ("IBAN: DE89 3704 0044 0532 0130 00 is it", "account", "DE89 3704 0044 0532 0130 00"),
+    ("iBan DE89 3704 0044 0532 0130 00 00 more", "account", "DE89 3704 0044 0532 0130 00"),
+    ("SSN 123 45 6789", "account", "123 45 6789"),
+    ("ssn: 123-45-6789.", "account", "123-45-6789"),
+    ("Tax ID: 12-3456789", "account", "12-3456789"),
+    ("Customer ID 123456", "account", "123456"),
+    ("License No D1234567", "account", "D1234567"),
+    ("é CUSTOMER id number: AB-123456, ü", "account", "AB-123456"),
+    ("HTTPS://A.example.org/é", "address", "HTTPS://A.example.org/é"),
 ])
 def test_expanded_values(text, kind, value):
     assert [text[a:z] for a, z in spans(text)[kind]] == [value]
