@@ -3,6 +3,12 @@
 The universe is cut in tiles of symbols; one task multiplies two tiles of packed
 returns, so a group holds at most two tiles whatever the size of the universe,
 and only the pairs that can still make the list leave the task.
+
+Where a list of the best pairs is wanted and a fold has ``BOUND_FROM`` tiles or more, series
+that are alike share a tile. Each tile is searched by itself first; what it finds is a floor under
+the fold's last place. Two tiles are multiplied only if their sketches (``energy``), which
+are a hundredth of the series, allow a correlation on or over that floor. Where no bound
+helps, every pair of tiles is multiplied, and the result is the same.
 """
 
 from __future__ import annotations
@@ -12,10 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import CorrelationSearch
+from ..staging import stage
+from .energy import ROOM, sketched_tiles
 
 # Symbols of a tile. A series is copied once per tile of its fold, so a wide tile means few
 # copies; two tiles of 256 symbols with 3,276 bars are 14 MB, and their products 1 MB.
 TILE = 256
+# Tiles of a fold from which bounds are asked for: sketching moves every series three times, multiplying all
+# pairs of tiles moves it once per tile.
+BOUND_FROM = 8
 
 PAIR_SCHEMA = ("fold_id int, sym_a string, sym_b string, rank_a int, rank_b int, "
                "train_corr double, n_obs bigint")
@@ -94,6 +105,83 @@ def correlation_histogram(series: DataFrame, bins: int, overlap: int = Correlati
     return counted.select("bin", low.cast("double").alias("bin_low"), "n")
 
 
+def _best_rows(fold_id, left: pd.DataFrame, right: pd.DataFrame, search: CorrelationSearch, floor: float) -> pd.DataFrame:
+    """Pairs of a row of each side (of two rows, where the sides are one) that may be in the fold's list."""
+    corr, n = masked_correlation(np.stack(left["ret"].to_list()), np.stack(right["ret"].to_list()))
+    ra, rb = left["uni_rank"].to_numpy(), right["uni_rank"].to_numpy()
+    wanted = (n >= search.min_overlap) & np.isfinite(corr) & (corr >= floor)
+    i, j = np.nonzero(wanted & (ra[:, None] < rb[None, :]) if left is right else wanted)
+    first = ra[i] < rb[j]
+    sa, sb = left["symbol"].to_numpy()[i], right["symbol"].to_numpy()[j]
+    out = pd.DataFrame({
+        "fold_id": fold_id, "sym_a": np.where(first, sa, sb), "sym_b": np.where(first, sb, sa),
+        "rank_a": np.minimum(ra[i], rb[j]), "rank_b": np.maximum(ra[i], rb[j]),
+        "train_corr": corr[i, j], "n_obs": n[i, j].astype("int64")})
+    if search.top_k is not None:
+        # No pair outside a tile pair's own best top_k can be in the fold's.
+        out = out.sort_values(["train_corr", "rank_a", "rank_b"], ascending=[False, True, True]).head(search.top_k)
+    return out
+
+
+def all_tile_pairs(series: DataFrame, search: CorrelationSearch, tile: int) -> DataFrame:
+    """Every pair of tiles multiplied."""
+    floor = -np.inf if search.min_corr is None else search.min_corr
+
+    def correlate(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        left = block[block["tile"] == key[1]]
+        right = left if key[1] == key[2] else block[block["tile"] == key[2]]
+        return _best_rows(key[0], left, right, search, floor)
+
+    return tiled(series, tile).applyInPandas(correlate, PAIR_SCHEMA)
+
+
+def tile_pairs_in_reach(tiles: DataFrame, floors: DataFrame) -> DataFrame:
+    """(fold_id, tile_a, tile_b, floor) of two tiles whose sketches allow a correlation of the fold's floor."""
+    def bound(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        a, b = (block[block["tile"] == t] for t in key[1:])
+        floor = block["floor"].iloc[0]
+        reached = key[1] != key[2] and len(a) > 0 and len(b) > 0
+        if reached and block["regular"].all():
+            most = np.stack(a["coords"].to_list()) @ np.stack(b["coords"].to_list()).T + np.outer(a["rest"], b["rest"])
+            reached = most.max() + ROOM >= floor
+        return pd.DataFrame({"fold_id": [key[0]], "tile_a": [key[1]], "tile_b": [key[2]], "floor": [floor]} if reached else
+                            {"fold_id": [], "tile_a": [], "tile_b": [], "floor": []})
+
+    return (pair_up_tiles(tiles.join(floors, "fold_id").drop("symbol")).groupBy("fold_id", "tile_a", "tile_b")
+            .applyInPandas(bound, "fold_id int, tile_a int, tile_b int, floor double"))
+
+
+def fold_floors(inside: DataFrame, tiles: DataFrame, search: CorrelationSearch) -> DataFrame:
+    """(fold_id, floor): no pair below it can be in the fold's list, by what the tiles hold themselves."""
+    least = F.lit(-float("inf") if search.min_corr is None else float(search.min_corr))
+    folds = tiles.select("fold_id").distinct()
+    if search.top_k is None:
+        return folds.withColumn("floor", least)
+    best = W.partitionBy("fold_id").orderBy(F.desc("train_corr"))
+    last = inside.select("fold_id", "train_corr", F.row_number().over(best).alias("place")).filter(F.col("place") == search.top_k)
+    return folds.join(last, "fold_id", "left").select("fold_id", F.coalesce("train_corr", least).alias("floor"))
+
+
+def tile_pairs_by_bound(series: DataFrame, search: CorrelationSearch, tile: int) -> DataFrame:
+    """Each tile multiplied by itself, then the pairs of tiles that can still hold a pair of the list."""
+    tiles = sketched_tiles(series, tile)
+    rows, places = series.select("fold_id", "symbol", "ret", "uni_rank"), tiles.select("fold_id", "symbol", "tile")
+    floor = -np.inf if search.min_corr is None else search.min_corr
+
+    def within(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        return _best_rows(key[0], block, block, search, floor)
+
+    def across(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        a, b = (block[block["tile"] == t] for t in key[1:])
+        return _best_rows(key[0], a, b, search, block["floor"].iloc[0])
+
+    inside = stage(rows.join(places, ["fold_id", "symbol"]).groupBy("fold_id", "tile").applyInPandas(within, PAIR_SCHEMA), "tile-correlations")
+    reached = stage(tile_pairs_in_reach(tiles, stage(fold_floors(inside, tiles, search), "floors")), "tile-pairs")
+    sides = reached.withColumn("tile", F.explode(F.array("tile_a", "tile_b")))
+    copies = rows.join(places.join(sides, ["fold_id", "tile"]), ["fold_id", "symbol"])
+    return inside.unionByName(copies.groupBy("fold_id", "tile_a", "tile_b").applyInPandas(across, PAIR_SCHEMA))
+
+
 def correlated_pairs(series: DataFrame, search: CorrelationSearch = CorrelationSearch(),
                      tile: int = TILE) -> DataFrame:
     """Pairs of a fold with their correlation over common returns, best first.
@@ -101,27 +189,11 @@ def correlated_pairs(series: DataFrame, search: CorrelationSearch = CorrelationS
     Adds ``cand_rank``, the place in (correlation down, rank_a, rank_b) order.
     Without ``top_k`` and ``min_corr`` every pair with enough overlap is kept.
     """
-    floor = -np.inf if search.min_corr is None else search.min_corr
-    top_k, overlap = search.top_k, search.min_overlap
-
-    def correlate(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        left, right, i, j, corr, n = tile_correlations(key, block, overlap, floor)
-        ra, rb = left["uni_rank"].to_numpy(), right["uni_rank"].to_numpy()
-        out = pd.DataFrame({
-            "fold_id": key[0],
-            "sym_a": left["symbol"].to_numpy()[i], "sym_b": right["symbol"].to_numpy()[j],
-            "rank_a": ra[i], "rank_b": rb[j],
-            "train_corr": corr, "n_obs": n,
-        })
-        if top_k is not None:
-            # No pair outside a tile pair's own best top_k can be in the fold's.
-            out = out.sort_values(["train_corr", "rank_a", "rank_b"],
-                                  ascending=[False, True, True]).head(top_k)
-        return out
-
-    found = tiled(series, tile).applyInPandas(correlate, PAIR_SCHEMA)
-    if top_k is None:
+    bounded = search.top_k is not None or search.min_corr is not None
+    worth = bounded and (series.agg(F.max("n_universe")).first()[0] or 0) > tile * (BOUND_FROM - 1)
+    found = (tile_pairs_by_bound if worth else all_tile_pairs)(series, search, tile)
+    if search.top_k is None:
         return found
     best = W.partitionBy("fold_id").orderBy(F.desc("train_corr"), F.asc("rank_a"), F.asc("rank_b"))
     return found.withColumn("cand_rank", F.row_number().over(best)).filter(
-        F.col("cand_rank") <= top_k)
+        F.col("cand_rank") <= search.top_k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.config import CorrelationSearch, Eligibility, FoldPlan, MarketClock
 from spreadloom.functions.timecols import local_hhmm, utc_clock
-from spreadloom.operators import correlation as cr, folds as fd, neighbours as nb, panel as pn
+from spreadloom.operators import correlation as cr, energy as en, folds as fd, neighbours as nb, panel as pn
 from spreadloom.operators import pairstats as ps, series as sr, universe as un
 from spreadloom.sources.bars import load_bars, load_panel_bars
 
@@ -174,6 +174,66 @@ def test_correlation_tiles_equal_brute_force(spark, tile):
     assert np.allclose([p[2] for p in got], [p[2] for p in want])
 
 
+def sector_returns(rng, sectors, each, bars=240):
+    """Returns that share the bars of missing opens; three gapped series, two constant ones and two equal ones."""
+    x = np.concatenate([rng.normal(size=bars) + 0.4 * rng.normal(size=(each, bars)) for _ in range(sectors)])
+    x = x[rng.permutation(len(x))]
+    x[:, ::13] = np.nan
+    x[5:8][rng.random((3, bars)) < 0.3] = np.nan
+    x[20] = np.where(np.isnan(x[20]), np.nan, 0.25)
+    x[21] = np.where(np.isnan(x[21]), np.nan, 0.0)
+    x[40] = x[33]
+    return x
+
+
+@pytest.mark.parametrize("search", [CorrelationSearch(top_k=60), CorrelationSearch(top_k=None, min_corr=0.7),
+                                    CorrelationSearch(top_k=100_000, min_corr=None)])
+def test_correlation_bounds_leave_out_tiles_and_no_pair(spark, search):
+    rng = np.random.default_rng(12)
+    folds = [sector_returns(rng, 12, 16), sector_returns(rng, 3, 20)]
+    df = packed(spark, folds[0]).unionByName(packed(spark, folds[1]).withColumn("fold_id", F.lit(1)))
+    rows = cr.correlated_pairs(df, search, 16).collect()
+    for fold, x in enumerate(folds):
+        want = {}
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                both = np.isfinite(x[i]) & np.isfinite(x[j])
+                a, b = x[i][both], x[j][both]
+                if a.std() > 1e-9 and b.std() > 1e-9 and both.sum() >= search.min_overlap:
+                    c = np.corrcoef(a, b)[0, 1]
+                    if search.min_corr is None or c >= search.min_corr:
+                        want[i + 1, j + 1] = c
+        best = sorted(want, key=lambda p: (-round(want[p], 12), p))[:search.top_k]
+        got = {(r.rank_a, r.rank_b): r for r in rows if r.fold_id == fold}
+        assert set(got) == set(best)
+        assert all(abs(got[p].train_corr - want[p]) < 1e-9 for p in best)
+        assert all(got[p].sym_a == f"S{p[0] - 1:03d}" and got[p].sym_b == f"S{p[1] - 1:03d}" for p in best)
+
+
+def test_correlation_bounds_hold_and_skip(spark):
+    x = sector_returns(np.random.default_rng(3), 12, 16)
+    df = packed(spark, x)
+    tiles = en.sketched_tiles(df, 16)
+    rows = {r.symbol: r for r in tiles.collect()}
+    assert len(rows) == len(x) and sum(not r.regular for r in rows.values()) == 5
+    assert all(r.tile % 2 == (0 if r.regular else 1) for r in rows.values())
+    on, smooth = np.isfinite(x[0]), [i for i in range(len(x)) if rows[f"S{i:03d}"].regular]
+    exact = np.corrcoef(x[smooth][:, on])
+    c = np.array([rows[f"S{i:03d}"].coords for i in smooth])
+    rest = np.array([rows[f"S{i:03d}"].rest for i in smooth])
+    assert (c @ c.T + np.outer(rest, rest) + 1e-12 >= exact).all()
+    floors = spark.createDataFrame([(0, 0.9)], "fold_id int, floor double")
+    among = cr.tile_pairs_in_reach(tiles, floors).filter("tile_a % 2 = 0 AND tile_b % 2 = 0").count()
+    n = len({r.tile for r in rows.values() if r.regular})
+    assert among < 0.5 * n * (n - 1) / 2
+
+
+def test_correlation_of_no_series(spark):
+    assert cr.correlated_pairs(packed(spark, np.ones((1, 60))).limit(0), CorrelationSearch(), 4).count() == 0
+    empty = packed(spark, np.full((9, 60), np.nan))
+    assert cr.correlated_pairs(empty, CorrelationSearch(), 1).count() == 0
+
+
 @pytest.mark.parametrize("tile", [4, 512])
 def test_neighbours_equal_brute_force(spark, tile):
     rng = np.random.default_rng(4)
