@@ -165,6 +165,15 @@ def fold_calendar_intraday(spark, sf_dir):
     return fd.fold_table(I.event_market(spark, sf_dir).calendar, I.EVENT_FOLDS)
 
 
+@query("fold_id:i last_train_seq:i first_test_seq:i", """
+SELECT fold_id, last_train_seq, first_test_seq
+FROM (SELECT fold_id, max(bar_seq) AS last_train_seq FROM w_train WHERE ret IS NOT NULL GROUP BY 1)
+LEFT JOIN (SELECT fold_id, min(bar_seq) AS first_test_seq FROM c_t_bars
+           WHERE close_a IS NOT NULL AND close_b IS NOT NULL GROUP BY 1) USING (fold_id)""")
+def lookahead_evidence(spark, sf_dir):
+    return fd.fold_evidence(I.weekly_market(spark, sf_dir).train.series, I.classic_arm(spark, sf_dir).pair_bars)
+
+
 @query("fold_id:i symbol bar_seq:i logret:d", """
 SELECT fold_id, symbol, bar_seq, logret FROM e_panel JOIN e_folds ON bar_seq BETWEEN train_lo AND train_hi""")
 def bars_to_train_folds(spark, sf_dir):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..config import FoldPlan
+from ..staging import stage
 
 ROLES = ("train_start", "train_end", "test_start", "test_end")
 
@@ -54,6 +57,41 @@ def check_no_lookahead(folds: DataFrame) -> DataFrame:
     return folds.filter(guard.isNull())
 
 
+class LookaheadError(ValueError):
+    """A fold reads bars from the other side of its border."""
+
+
+def stage_guarded(rows: DataFrame, label: str, folds: DataFrame, border: str, past: Column) -> DataFrame:
+    """``stage``, and fail if a row reads past its fold's ``border``, a column of ``folds``.
+
+    ``past`` says by how many bars, NULL or at most zero where a row keeps to its side. The
+    greatest value is noted while the rows are written (``observe``), so the bars are not
+    read again, and it stays the same if a lost executor's task runs twice, as a count
+    would not. The check is of the bars themselves; ``check_no_lookahead`` looks at dates.
+    """
+    kept = rows.columns
+    noted = Observation(f"{label}-{uuid.uuid4().hex}")
+    table = stage(rows.join(folds.select("fold_id", border), "fold_id").observe(
+        noted, F.max(past).alias("bars"), F.max_by("fold_id", past).alias("fold")).select(*kept), label)
+    worst = noted.get
+    if (worst.get("bars") or 0) > 0:
+        raise LookaheadError(f"{label}: fold {worst['fold']} reads {worst['bars']} bars past {border}")
+    return table
+
+
+def last_bar(values: str) -> Column:
+    """``bar_seq`` of the last value of a packed array, NULL without one."""
+    return F.col("lo") + F.array_max(F.transform(values, lambda x, i: F.when(x.isNotNull(), i)))
+
+
+def fold_evidence(series: DataFrame, pair_bars: DataFrame) -> DataFrame:
+    """(fold_id, last_train_seq, first_test_seq): the last return that a fold trained on and the first bar on which
+    it traded two prices; no test bar where it traded none."""
+    read = series.groupBy("fold_id").agg(F.max(last_bar("ret")).alias("last_train_seq"))
+    traded = pair_bars.filter("close_a IS NOT NULL AND close_b IS NOT NULL").groupBy("fold_id").agg(F.min("bar_seq").alias("first_test_seq"))
+    return read.join(traded, "fold_id", "left")
+
+
 def _fold_range(first_day: Column, last_day: Column, offset: int, length: int,
                 n_days: Column, plan: FoldPlan) -> Column:
     """Ids of the folds whose window [start+offset, +length) holds both days."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import RunSettings
-from ..operators.folds import check_no_lookahead, fold_table
+from ..operators.folds import check_no_lookahead, fold_table, last_bar, stage_guarded
 from ..operators.metrics import equity_curve, summarize
 from ..operators.pairstats import PAIR, pair_grid
 from ..operators.portfolio import active_pairs, fold_portfolio, stitch, with_weight
@@ -65,7 +65,8 @@ def open_market(panel: DataFrame, settings: RunSettings = RunSettings(),
     folds = stage(folds if only is None else folds.join(only.select("fold_id"), "fold_id", "left_semi"), "folds")
     pick = liquid_then_covered if liquid_first else fold_universe
     universe = stage(pick(panel, folds, settings.folds, settings.eligibility), "universe")
-    series = stage(train_series(panel, folds, universe, settings.folds), "train-series")
+    series = stage_guarded(train_series(panel, folds, universe, settings.folds), "train-series", folds,
+                           "test_lo", last_bar("ret") - F.col("test_lo") + 1)
     return Market(panel, calendar, folds, universe, TrainData(series, folds), settings)
 
 
@@ -112,7 +113,8 @@ class FoldResults:
 def run_folds(market: Market, selector: Selector, arm: str) -> tuple[FoldResults, DataFrame]:
     """Select on the train windows and trade the test windows; also every bar of every pair."""
     pairs = stage(selector(market.train), f"{arm}-pairs")
-    pair_bars = stage(trade_test(market, pairs), f"{arm}-bars")
+    pair_bars = stage_guarded(trade_test(market, pairs), f"{arm}-bars", market.folds,
+                              "train_hi", F.col("train_hi") - F.col("bar_seq") + 1)
     trades, portfolio = side_by_side([
         lambda: stage(trade_log(pair_bars, market.calendar), f"{arm}-trades"),
         lambda: stage(fold_portfolio(pair_bars, market.folds), f"{arm}-portfolio")])

@@ -137,6 +137,22 @@ def test_universe_order(spark):
     assert got == {(0, "C"): 1, (0, "B"): 2, (1, "A"): 1, (1, "B"): 2}
 
 
+def test_bars_past_a_border_fail_the_write(spark):
+    folds = spark.createDataFrame([(0, 9, 10), (1, 19, 20)], "fold_id int, train_hi bigint, test_lo bigint")
+    rows = spark.createDataFrame([(0, "A", 7, [0.1, 0.2, None, None]), (1, "A", 17, [None, None, None, None]), (1, "B", 17, [0.1, 0.2, 0.3, None])],
+                                 "fold_id int, symbol string, lo bigint, ret array<double>")
+    past = fd.last_bar("ret") - F.col("test_lo") + 1
+    kept = fd.stage_guarded(rows, "kept", folds, "test_lo", past)
+    assert kept.columns == rows.columns and sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    assert fd.stage_guarded(rows.limit(0), "none", folds, "test_lo", past).count() == 0
+    late = rows.union(spark.createDataFrame([(1, "C", 17, [0.1, None, None, 0.2])], rows.schema))
+    with pytest.raises(fd.LookaheadError, match="fold 1 reads 1 bars past test_lo"):
+        fd.stage_guarded(late, "late", folds, "test_lo", past)
+    bars = spark.createDataFrame([(0, 10), (1, 19), (1, 21)], "fold_id int, bar_seq bigint")
+    with pytest.raises(fd.LookaheadError, match="fold 1 reads 1 bars past train_hi"):
+        fd.stage_guarded(bars, "early", folds, "train_hi", F.col("train_hi") - F.col("bar_seq") + 1)
+
+
 def test_packed_series_fill_limit_and_cold_start(spark):
     folds = spark.createDataFrame([(0, 10, 21)], "fold_id int, train_lo bigint, train_hi bigint")
     rows = spark.createDataFrame([(0, "A", 12, 1.0, 0.1), (0, "A", 13, 2.0, None), (0, "A", 19, 3.0, 0.3)],
