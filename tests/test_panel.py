@@ -244,6 +244,22 @@ def test_correlation_bounds_hold_and_skip(spark):
     assert among < 0.5 * n * (n - 1) / 2
 
 
+def test_a_series_is_copied_to_few_tiles_whatever_the_universe(spark):
+    """200 series in tiles of 4 went 50 times through the shuffle."""
+    x = np.random.default_rng(8).normal(size=(200, 60))
+    x[np.random.default_rng(9).random(x.shape) < 0.1] = np.nan
+    df = packed(spark, x)
+    assert cr.tiled(df, 4).count().agg(F.sum("count")).first()[0] <= 200 * cr.MOST_TILES
+    got = {(r.rank_a, r.rank_b): r.train_corr for r in cr.correlated_pairs(df, CorrelationSearch(None, None, 20), 4).collect()}
+    assert len(got) == 200 * 199 // 2
+    for i, j in [(0, 1), (3, 150), (24, 25), (198, 199)]:
+        both = np.isfinite(x[i]) & np.isfinite(x[j])
+        assert abs(got[i + 1, j + 1] - np.corrcoef(x[i][both], x[j][both])[0, 1]) < 1e-12
+    bars = cr.correlation_histogram(df, 10, 20, 4).orderBy("bin").collect()
+    n, low = np.histogram(list(got.values()), 10)
+    assert [r.n for r in bars] == n.tolist() and np.allclose([r.bin_low for r in bars], low[:-1])
+
+
 def test_correlation_of_no_series(spark):
     assert cr.correlated_pairs(packed(spark, np.ones((1, 60))).limit(0), CorrelationSearch(), 4).count() == 0
     empty = packed(spark, np.full((9, 60), np.nan))
