@@ -39,7 +39,10 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a shingle similarity of 0.8 or more, the one of the smallest id stays."""
+    """Of documents with a shingle similarity of 0.8 or more, the one of the smallest id stays.
+
+    Found by SimHash fingerprints in pigeonring chains, and by minima where fingerprints differ too much; exact sets decide.
+    """
     bound_batches(spark)
     return simhash_dedup.drop_similar(docs)
 

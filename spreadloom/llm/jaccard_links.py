@@ -11,7 +11,7 @@ shingles under that many hash functions. Two sets of similarity s share a key wi
    What is found similar is one component from there on, so a key gives fewer links than it has nodes, and no pair is
    written. A key of more than ``KEY_ROWS`` such nodes is cut in blocks, and each two blocks meet in a task of their own.
 
-Minima only propose. Each proposed pair is decided by the exact similarity of the two sets, so no link is below ``LEAST``.
+Fingerprints (``simhash_dedup``) and minima only propose. Each proposed pair is decided by the exact similarity of the two sets, so no link is below ``LEAST``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ CLOSE_MINIMA, KEY_ROWS = 0.6, 2048
 HELD = 1 << 12
 
 SETS = columns("node bigint, shingles binary")
-KEYS = columns("doc_id bigint, node bigint, size bigint, keys bigint[], minima binary")
+KEYS = columns("doc_id bigint, node bigint, print bigint, size bigint, keys bigint[], minima binary")
 PAIRS = columns("a bigint, b bigint")
 
 _mixers = np.random.default_rng(42)
@@ -74,15 +74,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= LEAST * (len(both) - shared)
 
 
-def keyed(docs: DataFrame, shingle_set) -> DataFrame:
-    """(doc_id, node, size, keys, minima) of each text; an empty set has no keys. ``docs`` has doc_id and text."""
+def keyed(docs: DataFrame, shingle_set, print_of) -> DataFrame:
+    """(doc_id, node, print, size, keys, minima) of each text; an empty set has no keys. ``docs`` has doc_id and text.
+
+    ``print_of`` gives the fingerprint of a set, a signed long.
+    """
     def run(batches):
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 shingles = shingle_set(text)
                 minima = minima_of(shingles)
-                rows.append((doc_id, node_of(shingles), len(shingles), keys_of(minima).tolist() if len(shingles) else [],
+                rows.append((doc_id, node_of(shingles), print_of(shingles), len(shingles), keys_of(minima).tolist() if len(shingles) else [],
                              minima.astype(np.uint8).tobytes()))
             if rows:
                 yield batch(KEYS, list(zip(*rows)))
@@ -143,18 +146,25 @@ def _close_links(batches):
             yield batch(PAIRS, list(zip(*ties)))
 
 
-def similar_links(docs: DataFrame, kinds: DataFrame, shingle_set) -> DataFrame:
-    """Links (a, b) that connect all similar nodes. ``kinds``: (node, first_id, size, keys, minima), each node once."""
+def similar_links(docs: DataFrame, kinds: DataFrame, shingle_set, near: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar nodes. ``kinds``: (node, first_id, size, keys, minima), each node once.
+
+    ``near`` (a, b): pairs of nodes with near fingerprints, confirmed with the first stars.
+    """
     held = kinds.select(F.explode("keys").alias("key"), "node", "size")
     ends = stage(held.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high"))
                  .filter("low.node != high.node"), "shared-keys")
     members = stage(held.join(ends, "key"), "key-members")
-    wanted = members.select("node").distinct().join(kinds.select("node", "first_id"), "node")
+    ends_of = [kinds.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size")) for side in "ab"]
+    near = stage(near.join(ends_of[0], "a").join(ends_of[1], "b").filter(_sizes_allow(F.col("a_size"), F.col("b_size")))
+                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-prints")
+    compared = members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = compared.distinct().join(kinds.select("node", "first_id"), "node")
     sets = stage(sets_of(docs, stage(wanted, "compared"), shingle_set), "shingle-sets")
 
     stars = [members.filter(F.col(f"{end}.node") != F.col("node")).filter(_sizes_allow(F.col(f"{end}.size"), F.col("size")))
              .select(F.least(f"{end}.node", "node").alias("a"), F.greatest(f"{end}.node", "node").alias("b")) for end in ("low", "high")]
-    stars = stage(stars[0].unionByName(stars[1]).distinct(), "star-pairs")
+    stars = stage(near.unionByName(stars[0]).unionByName(stars[1]).distinct(), "star-pairs")
     links = stage(confirmed(stars, sets), "star-links")
 
     labels = members.select("key", "node", "size").join(connected_components(links), "node", "left").select(

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from spreadloom.llm.components import Forest, connected_components
 from spreadloom.llm.entries import op1_simhash_dedup
+from spreadloom.llm.jaccard_links import keyed
 from spreadloom.llm.simhash_dedup import (
     EXACT, GROUP_ROWS, WIDE, Ring, drop_similar, fingerprint, near_duplicates, near_links, search, similar_documents)
 from spreadloom.llm import simhash_dedup
@@ -159,3 +161,14 @@ def test_chains_that_no_star_joins(spark):
     docs = [(i, " ".join(words[12 * i:12 * i + 150])) for i in range(20)]  # neighbours 0.85, next but one 0.72
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == dict.fromkeys(range(20), 0)
+
+
+def test_fingerprints_alone_propose_and_sets_decide(spark, monkeypatch):
+    """Without any key of minima, the near fingerprints of the sets still link what the sets confirm."""
+    base = [f"w{i}" for i in range(900)]
+    docs = [(0, " ".join(base)), (1, " ".join(base[:-2])), (2, " ".join(["x"] + base)), (3, " ".join(f"v{i}" for i in range(300)))]
+    sets = [np.unique(simhash_dedup.shingle_hashes(t, 5)) for _, t in docs]
+    assert all((simhash_dedup.print_of(sets[0]) ^ simhash_dedup.print_of(x)).bit_count() <= 4 for x in sets[:3])
+    monkeypatch.setattr(simhash_dedup, "keyed", lambda *given: keyed(*given).withColumn("keys", F.array().cast("array<bigint>")))
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
