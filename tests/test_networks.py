@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalog import inputs as I
+from catalog import inputs as I, vector_queries as vq
 from spreadloom.config import AutoencoderSpec, GruSpec, TrainerSpec
 from spreadloom.functions import nets
 from spreadloom.operators import autoregression as ar, training as tr, windows as wn
@@ -225,6 +225,20 @@ def test_dependent_lags_have_no_coefficient(spark):
     assert np.allclose(fits["flat"].coefs, [1.0] + [0.0] * 14)
 
 
+def test_lag_rows_are_sliced_without_a_shuffle(spark):
+    rows = [(0, "gaps", 100, [None, 1.0, 2.0, None, 3.0, 4.0]), (0, "short", 100, [1.0, None, 2.0, None, None, None])]
+    found = ar.lag_matrix(spark.createDataFrame(rows, "fold_id int, symbol string, lo bigint, ret array<double>"), 2)
+    assert sorted(map(tuple, found.collect())) == [(0, "gaps", 104, 3.0, 2.0, 1.0), (0, "gaps", 105, 4.0, 3.0, 2.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_sums_of_lags_are_computed_once(spark, sf_dir):
+    """An inner explode of the sums was planned with a filter on their number, which computed them all again."""
+    plan = vq.lag_products(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(aggregate(" not in plan and "isnotnull(aggregate(" not in plan
+
+
 def test_plan_of_fits_has_no_python(spark):
     df = spark.createDataFrame([(0, "a", [0.1] * 60)], "fold_id int, symbol string, ret array<double>")
     plan = ar.ar_fits(df)._jdf.queryExecution().executedPlan().toString()
