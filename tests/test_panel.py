@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spreadloom.config import CorrelationSearch, Eligibility, FoldPlan, MarketClock
+from spreadloom.config import CorrelationSearch, Eligibility, FoldPlan, MarketClock, NeighbourSearch
 from spreadloom.functions.timecols import local_hhmm, utc_clock
 from spreadloom.operators import correlation as cr, energy as en, folds as fd, neighbours as nb, panel as pn
 from spreadloom.operators import pairstats as ps, series as sr, universe as un
@@ -305,6 +305,32 @@ def test_far_tiles_are_left_out_and_nothing_is_lost(spark):
         assert [x for _, x in sorted(got[f"S{i:03d}"])] == [x for _, x in want]
 
 
+def random_vectors(spark, n):
+    v = np.random.default_rng(12).normal(size=(n, 6))
+    rows = [(0, f"S{i:03d}", [float(a) for a in x]) for i, x in enumerate(v)]
+    return v, spark.createDataFrame(rows, "fold_id int, symbol string, embedding array<double>")
+
+
+def test_a_fold_has_few_tiles_whatever_its_vectors(spark):
+    """300 vectors in tiles of 4 were 80 tiles and over 3,000 pairs of them."""
+    _, df = random_vectors(spark, 300)
+    tiles = nb.pivot_tiles(df, 4, most=nb.MOST_TILES)
+    assert tiles.select("tile").distinct().count() <= nb.MOST_TILES + 2 * nb.PIVOTS
+
+
+def test_nearest_pairs_bound_the_search(spark):
+    """A list of 10 pairs asks for no vector's neighbours beyond what it can hold, and loses none."""
+    v, df = random_vectors(spark, 200)
+    few, every = (nb.nearest_neighbours(df, 5, 8, first=f).count() for f in (10, None))
+    assert few < 0.5 * every
+    d = np.linalg.norm(v[:, None] - v[None, :], axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = {(min(i, j), max(i, j)) for i in range(200) for j in np.argsort(d[i], kind="stable")[:5]}
+    want = [(f"S{i:03d}", f"S{j:03d}") for _, i, j in sorted((d[i, j], i, j) for i, j in near)[:10]]
+    got = nb.neighbour_pairs(df, NeighbourSearch(5, 10), 8).orderBy("cand_rank").collect()
+    assert [(r.sym_a, r.sym_b) for r in got] == want
+
+
 def pair_rows(spark, a, b):
     rows = [(0, "a", "b", i, x, y) for i, (x, y) in enumerate(zip(a, b))]
     return spark.createDataFrame(
