@@ -155,8 +155,7 @@ def train_windows_filled(spark, sf_dir):
 @query("fold_id:i train_start train_end test_start test_end train_lo:i train_hi:i test_lo:i test_hi:i",
        "SELECT * FROM w_folds")
 def fold_calendar(spark, sf_dir):
-    m = I.weekly_market(spark, sf_dir)
-    return fd.check_no_lookahead(fd.fold_table(m.calendar, I.WEEK_FOLDS))
+    return fd.check_no_lookahead(fd.fold_table(I.weekly_grid(spark, sf_dir), I.WEEK_FOLDS))
 
 
 @query("fold_id:i train_start train_end test_start test_end train_lo:i train_hi:i test_lo:i test_hi:i",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.config import CorrelationSearch, Eligibility, FoldPlan, MarketClock, NeighbourSearch
 from spreadloom.functions.timecols import local_hhmm, utc_clock
+from spreadloom.staging import stage
 from spreadloom.operators import correlation as cr, energy as en, folds as fd, neighbours as nb, panel as pn
 from spreadloom.operators import pairstats as ps, series as sr, universe as un
 from spreadloom.sources.bars import load_bars, load_panel_bars
@@ -305,6 +306,24 @@ def test_far_tiles_are_left_out_and_nothing_is_lost(spark):
         assert [x for _, x in sorted(got[f"S{i:03d}"])] == [x for _, x in want]
 
 
+def test_weeks_of_suppliers_are_dealt_by_number(spark, sf_dir, monkeypatch):
+    """The names alone are a few bytes, so all their weeks were made, sorted and filled in one task."""
+    from catalog import inputs as I
+
+    parts = {}
+
+    def noted(df, label):
+        table = stage(df, label)
+        parts[label] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(I, "stage", noted)
+    bars = I.supplier_week_bars(spark, sf_dir)
+    assert parts["supplier-grid"] > 1
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
 def random_vectors(spark, n):
     v = np.random.default_rng(12).normal(size=(n, 6))
     rows = [(0, f"S{i:03d}", [float(a) for a in x]) for i, x in enumerate(v)]
