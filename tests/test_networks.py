@@ -239,6 +239,12 @@ def test_sums_of_lags_are_computed_once(spark, sf_dir):
     assert "size(aggregate(" not in plan and "isnotnull(aggregate(" not in plan
 
 
+def test_fits_of_two_lags_are_computed_once(spark, sf_dir):
+    """The filter on the fits was planned with the whole elimination, and again below it."""
+    plan = vq.ar_fits_of_two_lags(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+
+
 def test_plan_of_fits_has_no_python(spark):
     df = spark.createDataFrame([(0, "a", [0.1] * 60)], "fold_id int, symbol string, ret array<double>")
     plan = ar.ar_fits(df)._jdf.queryExecution().executedPlan().toString()
