@@ -245,6 +245,15 @@ def test_fits_of_two_lags_are_computed_once(spark, sf_dir):
     assert "aggregate(" not in plan
 
 
+def test_a_row_that_another_determines_is_passed_over_by_the_elimination(spark):
+    """Coefficients from given sums: a plain system, and one whose second lag is twice the first."""
+    plain = [[9.0, 5.0, 4.0], [5.0, 4.0, 1.0], [4.0, 1.0, 3.0]]
+    bound = [[9.0, 8.0, 16.0], [8.0, 4.0, 8.0], [16.0, 8.0, 16.0]]
+    df = spark.createDataFrame([(0, plain), (1, bound)], "id int, products array<array<double>>")
+    got = {r.id: r.c for r in df.select("id", ar.solved(F.col("products"), 2).alias("c")).collect()}
+    assert np.allclose(got[0], [1.0, 1.0]) and got[1] == [2.0, 0.0]
+
+
 def test_plan_of_fits_has_no_python(spark):
     df = spark.createDataFrame([(0, "a", [0.1] * 60)], "fold_id int, symbol string, ret array<double>")
     plan = ar.ar_fits(df)._jdf.queryExecution().executedPlan().toString()
