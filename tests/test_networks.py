@@ -137,6 +137,17 @@ def test_codes_equal_direct_encoding(spark):
     assert np.allclose(got, np.array(sorted(want.tolist())), atol=1e-5)
 
 
+def test_windows_are_encoded_where_they_are(spark):
+    """Every symbol met its fold's weights in a row of its own, after a shuffle of all windows."""
+    rows = samples(spark, 60)
+    net = nets.Autoencoder(SPEC)
+    size = sum(int(np.prod(s)) for s, _ in net.shapes())
+    weights = spark.createDataFrame([(0, [0.01] * size)], "fold_id int, weights array<float>")
+    codes = tr.encode_windows(rows, weights, net)
+    assert "Exchange" not in codes._jdf.queryExecution().executedPlan().toString()
+    assert codes.count() == 60 and codes.select("fold_id").distinct().count() == 1
+
+
 def test_weights_cache_fits_only_missing_folds(spark, tmp_path):
     path, seen = str(tmp_path / "weights"), []
 
