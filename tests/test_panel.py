@@ -324,6 +324,25 @@ def test_weeks_of_suppliers_are_dealt_by_number(spark, sf_dir, monkeypatch):
     assert "Window" not in plan and "SortMergeJoin" not in plan
 
 
+def test_summaries_are_dealt_by_number(spark, monkeypatch):
+    """By bytes a few tasks got the summaries of all symbols, which the folds that hold them multiply."""
+    seen = []
+
+    def noted(df, label):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label)
+
+    monkeypatch.setattr(un, "stage", noted)
+    start = dt.datetime(2020, 1, 6)
+    rows = [(s, start + dt.timedelta(days=d), 10.0 + d % 7, 5.0 + d % 3, d) for s in ("a", "b") for d in range(12)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, close double, volume double, file_order int")
+    panel = pn.build_panel(bars, MarketClock(zone="UTC", open_time="none"))
+    plan = FoldPlan(train_days=6, test_days=2, roll_days=2)
+    folds = fd.fold_table(panel.select("day", "day_idx", "bar_seq", "n_days").distinct(), plan)
+    assert un.fold_coverage(panel, folds, plan).count() == 2 * folds.count() > 0
+    assert "REPARTITION_BY_NUM" in seen[0]
+
+
 def random_vectors(spark, n):
     v = np.random.default_rng(12).normal(size=(n, 6))
     rows = [(0, f"S{i:03d}", [float(a) for a in x]) for i, x in enumerate(v)]
