@@ -117,6 +117,13 @@ def test_one_more_row_changes_little(spark):
         assert np.linalg.norm(fits[n] - fits[n - 1]) < 0.35 * moved
 
 
+def test_a_step_has_a_task_for_each_core(spark):
+    """Small batches were cut in as many tasks as a shuffle, hundreds of times; large ones stay bounded by bytes."""
+    cores = spark.sparkContext.defaultParallelism
+    assert tr.step_partitions(spark, 1000) == cores
+    assert tr.step_partitions(spark, 2 ** 40) >= 2 ** 15
+
+
 def test_training_stops_and_returns_the_best(spark):
     run = tr.FoldRun(nets.TrainState(np.zeros(1, "float32")))
     spec = TrainerSpec(epochs=40, patience=2)
