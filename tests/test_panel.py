@@ -324,6 +324,37 @@ def test_weeks_of_suppliers_are_dealt_by_number(spark, sf_dir, monkeypatch):
     assert "Window" not in plan and "SortMergeJoin" not in plan
 
 
+def test_weeks_of_suppliers_take_one_shuffle(spark, sf_dir, monkeypatch):
+    """The grid of all weeks was joined to the weeks with lines, which shuffled both by week and the result again by supplier."""
+    from catalog import inputs as I
+
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label)
+
+    monkeypatch.setattr(I, "stage", noted)
+    I.supplier_week_bars(spark, sf_dir)
+    plan = plans["supplier-grid"]
+    assert "MergeJoin" not in plan and "HashJoin" not in plan and plan.count("Exchange hashpartitioning(l_suppkey") == 1
+    assert set(plans) == {"supplier-grid", "factor"}
+
+
+def test_times_are_distinct_before_their_days_are_made(spark, monkeypatch):
+    """The filter on the month was pushed below ``distinct``, so that every bar had its zone converted."""
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, label)
+
+    monkeypatch.setattr(pn, "stage", noted, raising=False)
+    bars = spark.createDataFrame([("a", dt.datetime(2020, 1, 6)), ("b", dt.datetime(2020, 1, 6)), ("a", None)], "symbol string, bar_ts timestamp_ntz")
+    assert pn.grid_calendar(bars).count() == 1
+    assert "convert_timezone" not in plans["bar-times"] and "trunc" not in plans["bar-times"]
+
+
 def test_summaries_are_dealt_by_number(spark, monkeypatch):
     """By bytes a few tasks got the summaries of all symbols, which the folds that hold them multiply."""
     seen = []
