@@ -164,6 +164,32 @@ def test_packed_series_fill_limit_and_cold_start(spark):
     assert r.ret == [n, n, 0.1, n, n, n, n, n, n, 0.3, n, n]
 
 
+def test_series_are_packed_in_order_without_gathering_bars(spark):
+    """Bars were gathered in a list per series; now they are sorted and spread, also where a series goes over batches."""
+    rng = random.Random(3)
+    folds = spark.createDataFrame([(0, 10, 40), (1, 30, 55)], "fold_id int, train_lo bigint, train_hi bigint")
+    rows, want = [], {}
+    for fold, lo, hi in ((0, 10, 40), (1, 30, 55)):
+        for name in ("A", "B", "C", "D"):
+            bars = {s: (rng.random(), rng.choice([None, rng.random()])) for s in range(lo, hi + 1) if rng.random() < 0.5}
+            rows += [(fold, name, s, *v) for s, v in bars.items()]
+            last = [max((t for t in bars if s - 3 <= t <= s), default=None) for s in range(lo, hi + 1)]
+            if bars:
+                want[fold, name] = (lo, [None if t is None else bars[t][0] for t in last],
+                                    [bars.get(s, (None, None))[1] for s in range(lo, hi + 1)])
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "fold_id int, symbol string, bar_seq bigint, close double, logret double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        series = sr.pack_series(df.repartition(5), folds, "train")
+        got = {(r.fold_id, r.symbol): (r.lo, r.close, r.ret) for r in series.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    plan = series._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def packed(spark, arrays, name="ret"):
     rows = [(0, f"S{i:03d}", 0, i + 1, len(arrays), [float(v) if v == v else None for v in a]) for i, a in enumerate(arrays)]
     return spark.createDataFrame(
