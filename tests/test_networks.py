@@ -49,6 +49,24 @@ def samples(spark, n=400, folds=2):
 SPEC = AutoencoderSpec(hidden=16, emb_dim=4)
 
 
+def test_gates_of_a_step_are_one_run_of_numbers():
+    """Gates lay side by side in each sample's row, so that all arithmetic on them went row by row."""
+    net = nets.GruRegressor(GruSpec(hidden=4, emb_dim=3))
+    w = nets.unflatten(net, nets.initial_weights(net, 5), "float64")
+    x = np.random.default_rng(6).normal(size=(7, 5))
+    last, (seen, made, new) = net._recur(w, x, keep=True)
+    assert made.shape == (5, 12, 7) and made[0, :8].flags.c_contiguous and new[0].flags.c_contiguous
+    h = np.zeros((7, 4))
+    for t in range(5):
+        assert np.allclose(seen[t, :4], h.T) and np.allclose(seen[t, 4], x[:, t])
+        a, b = x[:, t:t + 1] @ w[0] + w[2], h @ w[1] + w[3]
+        r, z = (1 / (1 + np.exp(-(a[:, k:k + 4] + b[:, k:k + 4]))) for k in (0, 4))
+        c = np.tanh(a[:, 8:] + r * b[:, 8:])
+        assert np.allclose(made[t], np.hstack([r, z, b[:, 8:]]).T) and np.allclose(new[t], c.T)
+        h = (1 - z) * c + z * h
+    assert np.allclose(last, h)
+
+
 @pytest.mark.parametrize("most", [4, 16])
 def test_fit_lowers_loss(spark, most):
     trainer = TrainerSpec(epochs=12, batch_size=32, most_batches=most, lr=5e-3)
