@@ -122,6 +122,41 @@ def test_gradient_sums_equal_the_whole_gradient(spark, net):
         assert abs(got[f].error / n - net.loss(w, *block(tr.JUDGE))) < 1e-12
 
 
+@pytest.mark.parametrize("net", [nets.Autoencoder(AutoencoderSpec(hidden=6, emb_dim=3)), nets.GruRegressor(GruSpec(max_lags=12, hidden=4, emb_dim=3))])
+def test_equal_samples_are_multiplied_once(spark, net):
+    """Copies of a sample were rows of their own in every step; now they are one row that counts as often."""
+    rows = samples(spark, 60)
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("sample_id") < 20, 4).otherwise(1))).alias("copy")
+    rows = rows.select("fold_id", "symbol", "sample_id", "x", "target", copies).withColumn(
+        "sample_id", F.col("sample_id") + 1000 * F.col("copy")).drop("copy")
+    spec = TrainerSpec(batch_size=1000, validation_share=0.0, block_samples=16)
+    packed = tr.pack_blocks(rows, spec, "float64")
+    assert [tuple(r) for r in packed.groupBy("fold_id").agg(F.sum("n"), F.sum("held")).orderBy("fold_id").collect()] == [(0, 60, 180), (1, 60, 180)]
+    flat = {f: nets.initial_weights(net, f) for f in (0, 1)}
+    got = tr.gradient_sums(packed.rdd, net, flat, "float64")
+    for f in (0, 1):
+        own = rows.filter(F.col("fold_id") == f).orderBy("symbol", "sample_id").collect()
+        x, y, w = np.array([r.x for r in own]), np.array([r.target for r in own]), nets.unflatten(net, flat[f], "float64")
+        want = np.concatenate([g.ravel() for g in net.gradient(w, x, y)])
+        assert got[f].n_fit == 180 and np.allclose(got[f].gradient / 180, want, rtol=1e-9, atol=1e-12)
+        times = np.random.default_rng(3).integers(1, 5, len(x))
+        assert abs(net.loss(w, x, y, times) - net.loss(w, np.repeat(x, times, 0), np.repeat(y, times))) < 1e-12
+
+
+@pytest.mark.parametrize("unit", [True, False])
+def test_codes_are_pooled_where_they_are_made(spark, unit):
+    """Only a mean for each symbol of a batch leaves it; codes left one by one."""
+    net = nets.GruRegressor(GruSpec(max_lags=12, hidden=4, emb_dim=3))
+    rows = samples(spark, 400).repartition(3)
+    held = spark.createDataFrame([(f, nets.initial_weights(net, f).tolist()) for f in (0, 1)], "fold_id int, weights array<float>")
+    want = wn.pool_codes(tr.encode_windows(rows, held, net), 5, unit)
+    got = tr.encode_and_pool(rows.sortWithinPartitions("symbol"), held, net, 5, unit)
+    found, told = ({(r.fold_id, r.symbol): r.embedding for r in df.collect()} for df in (got, want))
+    assert found.keys() == told.keys() and len(told) == 40
+    assert all(np.allclose(found[k], told[k], rtol=0, atol=1e-12) for k in told)
+    assert tr.encode_and_pool(rows, held, net, 21, unit).count() == 0
+
+
 def test_one_more_row_changes_little(spark):
     """No number of rows is a border at which training takes another way."""
     trainer = TrainerSpec(epochs=3, batch_size=32)
