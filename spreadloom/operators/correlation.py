@@ -5,6 +5,10 @@ The universe is cut in at most ``MOST_TILES`` tiles of symbols, more only where
 and gives each block's pairs away (or keeps the best so far). So a series is copied once per tile, whatever the size of
 the universe, a task holds two tiles and a block of products, and only the pairs that can still make the list leave it.
 
+For a list, a block is first multiplied once in single precision, which gives every pair's correlation a bound from above
+(``may_reach``); only pairs on or over the worst place so far are computed in full, each by itself (``pair_correlations``),
+so that a value does not depend on the block it was in. Missing returns are part of the bound.
+
 Where a list of the best pairs is wanted, a fold has ``BOUND_FROM`` small tiles or more and few series lack a
 sketch, series that are alike share a tile. Each tile is searched by itself first; what it finds is a floor under
 the fold's last place. Two tiles are multiplied only if their sketches (``energy``), which
@@ -15,9 +19,12 @@ the series more often than all pairs of large tiles do, those are multiplied, an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import CorrelationSearch
@@ -29,6 +36,12 @@ from .energy import ROOM, sketched_tiles
 TILE, MOST_TILES, TILE_VALUES = 256, 8, 1 << 23
 # Series of each side that are multiplied at once; their products take 2 MB each.
 BLOCK = 512
+# Room for single precision in a bound, and for the order in which products are added up.
+SCREEN_ROOM, SUM_ROOM = 1e-4, 1e-9
+# Beyond this share of a block's pairs they are not computed one by one.
+MANY = 1 / 16
+# Pairs whose returns are held at once.
+PAIRS_AT_ONCE = 512
 # Small tiles of a fold from which bounds are asked for: sketching moves every series three times.
 BOUND_FROM = 8
 
@@ -78,6 +91,133 @@ def masked_correlation(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nda
     return parts_correlation(correlation_parts(x), correlation_parts(y))
 
 
+def pair_correlations(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation and overlap of rows i of x with rows j of y; the same for y with x."""
+    corr, n = np.empty(len(i)), np.empty(len(i))
+    for at in range(0, len(i), PAIRS_AT_ONCE):
+        to = slice(at, at + PAIRS_AT_ONCE)
+        (mx, vx, qx), (my, vy, qy) = correlation_parts(x[i[to]]), correlation_parts(y[j[to]])
+        n[to], sx, sy, cov, dx, dy = (np.einsum("ij,ij->i", *two) for two in ((mx, my), (vx, my), (mx, vy), (vx, vy), (qx, my), (mx, qy)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr[to] = (cov - sx * sy / n[to]) / np.sqrt((dx - sx * sx / n[to]) * (dy - sy * sy / n[to]))
+    return np.clip(corr, -1.0, 1.0), n
+
+
+class Side(NamedTuple):
+    """The series of a tile."""
+
+    ranks: np.ndarray
+    symbols: np.ndarray
+    returns: np.ndarray
+
+
+def sides_of(key: tuple, batches: Iterator[pa.RecordBatch]) -> list[Side]:
+    """The two tiles of a tile pair, or the one, in the order of their ranks."""
+    rows = pa.Table.from_batches(list(batches))
+    tiles, ranks, symbols = (rows.column(c).to_numpy() for c in ("tile", "uni_rank", "symbol"))
+    returns = rows.column("ret").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    out = []
+    for t in dict.fromkeys(k.as_py() for k in key[1:]):
+        own = np.flatnonzero(tiles == t)
+        own = own[np.argsort(ranks[own], kind="stable")]
+        out.append(Side(ranks[own], symbols[own], returns[own]))
+    return out
+
+
+def side_of_rows(block: pd.DataFrame) -> Side:
+    return Side(block["uni_rank"].to_numpy(), block["symbol"].to_numpy(), np.stack(block["ret"].to_list()) if len(block) else np.zeros((0, 0)))
+
+
+@dataclass(frozen=True)
+class Block:
+    """Some series of a tile: ranks and symbols, returns, and what bounds their correlations.
+
+    In single precision: ``unit``, centred returns of unit length; ``lost`` and ``taken``, whose product over two series is what both
+    lose in squares at bars that the other one misses, times 1 + k / n for k such bars and the n that are shared at least.
+    ``gone`` is the most returns that a series misses.
+    """
+
+    ranks: np.ndarray
+    symbols: np.ndarray
+    returns: np.ndarray
+    unit: np.ndarray
+    lost: np.ndarray
+    taken: np.ndarray
+    gone: int
+
+
+def blocks_of(sides: list[Side]) -> list[list[Block]]:
+    """The series of each side in blocks, those that miss few returns first."""
+    gone = [(~np.isfinite(side.returns)).sum(1) for side in sides]
+    shared = max(1, sides[0].returns.shape[1] - 2 * max(int(g.max()) for g in gone))
+    out = []
+    for side, missed in zip(sides, gone):
+        order, blocks = np.argsort(missed, kind="stable"), []
+        for cut in (order[at:at + BLOCK] for at in range(0, len(order), BLOCK)):
+            held = Side(*[c[cut] for c in side])
+            seen, unit, squares = correlation_parts(held.returns)
+            size = squares.sum(1, keepdims=True)
+            size[~(size > 0)] = 1.0
+            weighed, squares = (1.0 - seen) * (1.0 + missed[cut, None] / shared), squares / size
+            single = (unit / np.sqrt(size), np.hstack([squares, weighed]), np.hstack([weighed, squares]))
+            blocks.append(Block(*held, *(v.astype("float32") for v in single), int(missed[cut].max())))
+        out.append(blocks)
+    return out
+
+
+class Room:
+    """Memory for the products of a block, which is taken from the system once."""
+
+    def __init__(self):
+        self._held = [np.empty(BLOCK * BLOCK, "float32") for _ in range(3)]
+
+    def of(self, x: Block, y: Block) -> list[np.ndarray]:
+        shape = len(x.ranks), len(y.ranks)
+        return [v[:shape[0] * shape[1]].reshape(shape) for v in self._held]
+
+
+def may_reach(x: Block, y: Block, floor: float, room: Room) -> np.ndarray:
+    """Which pairs of a row of each block may have a correlation of ``floor`` or more (and some of ``-floor`` or less).
+
+    Of two series of unit length, a loses the squares p at the bars that b misses (k of n shared ones), and as its sum over
+    the shared bars is at most the root of k p, no more than z = p (1 + k / n) with its mean there. So the correlation is at most
+    (product + h) / sqrt(1 - z), z that of both, where h = sum times sum / n is at most half of what k / n adds to z.
+    """
+    bars, most = x.unit.shape[1], max(x.gone, y.gone)
+    if not floor > 0 or bars <= 2 * most:
+        return np.ones((len(x.ranks), len(y.ranks)), bool)
+    top, z, product = room.of(x, y)
+    share = most / (bars - x.gone - y.gone)
+    np.matmul(x.lost, y.taken.T, out=z)
+    np.matmul(x.unit * np.float32(1 / floor), y.unit.T, out=product)
+    np.multiply(z, np.float32(share / (1 + share) / 2 / floor), out=top)
+    top += product
+    top += np.float32(SCREEN_ROOM / floor)
+    top *= top
+    top += z
+    return top >= np.float32(1 - SCREEN_ROOM / floor ** 2)
+
+
+def _both_ways(wanted: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.divmod(np.flatnonzero(wanted), wanted.shape[1])
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def likely_pairs(x: Block, y: Block, floor: float, overlap: int, top_k: int | None, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two blocks among which are all pairs on or over ``floor`` that can be of the best ``top_k``."""
+    found = _both_ways(may_reach(x, y, floor, room), x is y)
+    if len(found[0]) <= MANY * len(x.ranks) * len(y.ranks):
+        return found
+    corr, n = masked_correlation(x.returns, y.returns)
+    wanted = (corr >= floor - SUM_ROOM) & (n >= overlap)
+    i, j = _both_ways(wanted, x is y)
+    if top_k is not None and len(i) > top_k:
+        held = corr[i, j]
+        best = held >= np.partition(held, -top_k)[-top_k] - SUM_ROOM
+        i, j = i[best], j[best]
+    return i, j
+
+
 def tile_width(tile: int) -> Column:
     """Symbols of a tile of a fold: ``tile``, or more where that would make over ``MOST_TILES`` tiles."""
     most = F.greatest(F.lit(tile), F.floor(F.lit(TILE_VALUES) / F.greatest(F.size("ret"), F.lit(1))))
@@ -94,21 +234,17 @@ def tiled(series: DataFrame, tile: int):
     return pair_up_tiles(rows).repartition(lanes(series.sparkSession), *keys).groupBy(*keys)
 
 
-def tile_blocks(key: tuple, batches: Iterator[pd.DataFrame]):
+def tile_blocks(sides: list[Side]) -> Iterator[tuple]:
     """(left rows, right rows, correlation, overlap) of each block of a tile pair, each two series in one block or
     both in the same one; rows are in the order of their ranks."""
-    block = pd.concat(list(batches)).sort_values("uni_rank")
-    sides = []
-    for t in dict.fromkeys(key[1:]):
-        side = block[block["tile"] == t]
-        cuts = [side.iloc[at:at + BLOCK] for at in range(0, len(side), BLOCK)]
-        sides.append([(c, correlation_parts(np.stack(c["ret"].to_list()))) for c in cuts])
-    for at, (left, x) in enumerate(sides[0]):
-        for right, y in sides[1] if len(sides) == 2 else sides[0][at:]:
+    cuts = [[Side(*[c[at:at + BLOCK] for c in side]) for at in range(0, len(side.ranks), BLOCK)] for side in sides]
+    parts = [[(cut, correlation_parts(cut.returns)) for cut in side] for side in cuts]
+    for at, (left, x) in enumerate(parts[0]):
+        for right, y in parts[1] if len(parts) == 2 else parts[0][at:]:
             yield left, right, *parts_correlation(x, y)
 
 
-def wanted_pairs(left: pd.DataFrame, right: pd.DataFrame, corr: np.ndarray, n: np.ndarray, overlap: int,
+def wanted_pairs(left: Side, right: Side, corr: np.ndarray, n: np.ndarray, overlap: int,
                  floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
     wanted = corr >= floor  # false where there is no correlation
     wanted &= n >= overlap
@@ -124,73 +260,101 @@ def correlation_histogram(series: DataFrame, bins: int, overlap: int = Correlati
     groups = tiled(series, tile)
 
     def values(key, batches):
-        for left, right, corr, n in tile_blocks(key, batches):
+        for left, right, corr, n in tile_blocks(sides_of(key, batches)):
             found = corr[wanted_pairs(left, right, corr, n, overlap)]
             if len(found):
                 yield found
 
-    def reach(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reach(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [(x.min(), x.max()) for x in values(key, batches)]
-        yield pd.DataFrame({"lo": [x[0] for x in ends], "hi": [x[1] for x in ends]}, dtype="float64")
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.float64()) for k in (0, 1)], ["lo", "hi"])
 
-    lo, hi = groups.applyInPandas(reach, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
+    lo, hi = groups.applyInArrow(reach, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
 
-    def count(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bins, np.int64)
         for corr in values(key, batches):
             place = np.floor((corr - lo) / (hi - lo) * bins) if hi > lo else np.zeros(len(corr))
             held += np.bincount(np.minimum(place, bins - 1).astype("int32"), minlength=bins)
         found = np.flatnonzero(held)
-        yield pd.DataFrame({"bin": found.astype("int32"), "n": held[found]})
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype("int32")), pa.array(held[found])], ["bin", "n"])
 
-    counted = groups.applyInPandas(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
+    counted = groups.applyInArrow(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
     low = F.lit(lo) + (F.lit(hi) - F.lit(lo)) * F.col("bin") / bins
     return counted.select("bin", low.cast("double").alias("bin_low"), "n")
 
 
-def _pair_rows(fold_id, left: pd.DataFrame, right: pd.DataFrame, corr: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-    ra, rb = left["uni_rank"].to_numpy()[i], right["uni_rank"].to_numpy()[j]
-    first = ra < rb
-    sa, sb = left["symbol"].to_numpy()[i], right["symbol"].to_numpy()[j]
-    return pd.DataFrame({
-        "fold_id": fold_id, "sym_a": np.where(first, sa, sb), "sym_b": np.where(first, sb, sa),
-        "rank_a": np.minimum(ra, rb), "rank_b": np.maximum(ra, rb),
-        "train_corr": corr[i, j], "n_obs": n[i, j].astype("int64")})
-
-
-def _best(rows: pd.DataFrame, top_k: int) -> pd.DataFrame:
-    return rows.sort_values(["train_corr", "rank_a", "rank_b"], ascending=[False, True, True]).head(top_k)
-
-
-def _best_rows(fold_id, left: pd.DataFrame, right: pd.DataFrame, search: CorrelationSearch, floor: float) -> pd.DataFrame:
-    """Pairs of a row of each side (of two rows, where the sides are one) that may be in the fold's list."""
-    corr, n = masked_correlation(np.stack(left["ret"].to_list()), np.stack(right["ret"].to_list()))
-    out = _pair_rows(fold_id, left, right, corr, n, *wanted_pairs(left, right, corr, n, search.min_overlap, floor))
-    # No pair outside a tile pair's own best top_k can be in the fold's.
-    return out if search.top_k is None else _best(out, search.top_k)
+def _pair_frame(fold_id, columns: list[np.ndarray]) -> pd.DataFrame:
+    rows = pd.DataFrame(dict(zip(("sym_a", "sym_b", "rank_a", "rank_b", "train_corr", "n_obs"), columns)))
+    rows.insert(0, "fold_id", fold_id)
+    return rows.astype({"fold_id": "int32", "rank_a": "int32", "rank_b": "int32", "n_obs": "int64"})
+
+
+def _best_of(held: list[list[np.ndarray]], top_k: int) -> list[np.ndarray]:
+    """Of columns of pairs (symbols, ranks, correlation, overlap) the best ``top_k``, best first."""
+    columns = [np.concatenate(c) for c in zip(*held)]
+    best = np.lexsort((columns[3], columns[2], -columns[4]))[:top_k]
+    return [c[best] for c in columns]
+
+
+def block_pairs(sides: list[list[Block]]) -> Iterator[tuple[Block, Block]]:
+    """Each two blocks of two sides; of one side each two and each with itself."""
+    for at, x in enumerate(sides[0]):
+        for y in sides[1] if len(sides) == 2 else sides[0][at:]:
+            yield x, y
+
+
+def listed_pairs(fold_id, sides: list[Side], search: CorrelationSearch, floor: float) -> Iterator[pd.DataFrame]:
+    """Pairs of a row of each side (of two rows, where there is one) that may be in the fold's list; no pair outside a
+    tile pair's own best ``top_k`` can."""
+    if not all(len(side.ranks) for side in sides):
+        return
+    held, new, last, room = [], 0, None, Room()
+    for x, y in block_pairs(blocks_of(sides)):
+        i, j = likely_pairs(x, y, floor, search.min_overlap, search.top_k, room)
+        corr, n = pair_correlations(x.returns, i, y.returns, j)
+        low, high = np.minimum(x.ranks[i], y.ranks[j]), np.maximum(x.ranks[i], y.ranks[j])
+        kept = (corr >= floor) & (n >= search.min_overlap)
+        if last is not None:  # Of pairs like the last place only those that come before it.
+            kept &= (corr > floor) | (low < last[0]) | ((low == last[0]) & (high < last[1]))
+        if not kept.any():
+            continue
+        first = x.ranks[i] < y.ranks[j]
+        a, b = x.symbols[i], y.symbols[j]
+        held.append([c[kept] for c in (np.where(first, a, b), np.where(first, b, a), low, high, corr, n)])
+        new += kept.sum()
+        if search.top_k is None:
+            yield _pair_frame(fold_id, held.pop())
+        elif new >= (search.top_k if last is None else search.top_k / 4):
+            held, new = [_best_of(held, search.top_k)], 0
+            low, high, corr = (c[-1] for c in held[0][2:5])
+            floor, last = corr, (low, high)
+    if held:
+        yield _pair_frame(fold_id, _best_of(held, search.top_k))
+
+
+def _as_batch(rows: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
 
 def all_tile_pairs(series: DataFrame, search: CorrelationSearch, tile: int) -> DataFrame:
     """Every pair of tiles multiplied."""
     least = -np.inf if search.min_corr is None else search.min_corr
 
-    def correlate(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor, held = least, []
-        for left, right, corr, n in tile_blocks(key, batches):
-            i, j = wanted_pairs(left, right, corr, n, search.min_overlap, floor)
-            if not len(i):
-                continue
-            rows = _pair_rows(key[0], left, right, corr, n, i, j)
-            if search.top_k is None:
-                yield rows
-                continue
-            held.append(rows)
-            if sum(map(len, held)) > search.top_k:
-                held = [_best(pd.concat(held), search.top_k)]
-                floor = held[0]["train_corr"].iloc[-1]
-        yield from held
-
-    return tiled(series, tile).applyInPandas(correlate, PAIR_SCHEMA)
+    def correlate(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, sides = key[0].as_py(), sides_of(key, batches)
+        if search.top_k is None and search.min_corr is None:
+            for left, right, corr, n in tile_blocks(sides):
+                i, j = wanted_pairs(left, right, corr, n, search.min_overlap)
+                if len(i):
+                    first, a, b = left.ranks[i] < right.ranks[j], left.symbols[i], right.symbols[j]
+                    yield _as_batch(_pair_frame(fold, [
+                        np.where(first, a, b), np.where(first, b, a), np.minimum(left.ranks[i], right.ranks[j]),
+                        np.maximum(left.ranks[i], right.ranks[j]), corr[i, j], n[i, j]]))
+        else:
+            yield from map(_as_batch, listed_pairs(fold, sides, search, least))
+
+    return tiled(series, tile).applyInArrow(correlate, PAIR_SCHEMA)
 
 
 def tile_pairs_in_reach(tiles: DataFrame, floors: DataFrame) -> DataFrame:
@@ -238,12 +402,12 @@ def tile_pairs_by_bound(series: DataFrame, search: CorrelationSearch, tile: int)
     rows, places = series.select("fold_id", "symbol", "ret", "uni_rank"), tiles.select("fold_id", "symbol", "tile")
     floor = -np.inf if search.min_corr is None else search.min_corr
 
-    def within(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        return _best_rows(key[0], block, block, search, floor)
+    def within(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from listed_pairs(key[0], [side_of_rows(pd.concat(list(batches)))], search, floor)
 
-    def across(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        a, b = (block[block["tile"] == t] for t in key[1:])
-        return _best_rows(key[0], a, b, search, block["floor"].iloc[0])
+    def across(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = pd.concat(list(batches))
+        yield from listed_pairs(key[0], [side_of_rows(block[block["tile"] == t]) for t in key[1:]], search, block["floor"].iloc[0])
 
     inside = stage(rows.join(places, ["fold_id", "symbol"]).groupBy("fold_id", "tile").applyInPandas(within, PAIR_SCHEMA), "tile-correlations")
     reached = stage(tile_pairs_in_reach(tiles, stage(fold_floors(inside, tiles, search), "floors")), "tile-pairs")

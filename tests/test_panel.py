@@ -271,6 +271,53 @@ def test_correlation_bounds_hold_and_skip(spark):
     assert among < 0.5 * n * (n - 1) / 2
 
 
+def gapped_returns(rng, n, bars=104):
+    """Returns with a common factor, gaps at other bars in each series, some with a few returns that outweigh the rest."""
+    x = rng.normal(size=bars) + 0.7 * rng.normal(size=(n, bars))
+    x[::9, rng.integers(0, bars, 3)] *= 12
+    x[rng.random(x.shape) < rng.random((n, 1)) * 0.1] = np.nan
+    x[n // 2] = x[1]
+    x[n // 3] = 0.5
+    return x
+
+
+def test_bound_of_a_block_holds_and_is_near():
+    rng = np.random.default_rng(21)
+    m = gapped_returns(rng, 300)
+    (side,) = cr.blocks_of([cr.Side(np.arange(300) + 1, np.array([f"S{i:03d}" for i in range(300)], object), m)])
+    (block,) = side
+    exact, _ = cr.masked_correlation(block.returns, block.returns)
+    for floor in (-0.5, 0.05, 0.5, 0.8, 0.9, 0.99, 1.0):
+        with np.errstate(invalid="ignore"):
+            assert cr.may_reach(block, block, floor, cr.Room())[exact >= floor].all()
+    assert cr.may_reach(block, block, 0.8, cr.Room()).sum() < 6 * (exact >= 0.8).sum()
+
+
+def test_blocks_are_multiplied_in_full_only_until_a_list_is_there(monkeypatch):
+    """Each block took six products in double precision, however far below the list its pairs were."""
+    m = gapped_returns(np.random.default_rng(22), 400)
+    side = cr.Side(np.arange(400) + 1, np.array([f"S{i:03d}" for i in range(400)], object), m)
+    exact, n = cr.masked_correlation(m, m)
+    want = sorted(((-round(exact[i, j], 12), i + 1, j + 1) for i in range(400) for j in range(i + 1, 400) if exact[i, j] >= 0.5 and n[i, j] >= 50))[:30]
+    full, whole = [], cr.masked_correlation
+    monkeypatch.setattr(cr, "BLOCK", 40)
+    monkeypatch.setattr(cr, "masked_correlation", lambda x, y: full.append(len(x)) or whole(x, y))
+    (rows,) = cr.listed_pairs(0, [side], CorrelationSearch(top_k=30), 0.5)
+    assert [(a, b) for a, b in zip(rows["rank_a"], rows["rank_b"])] == [p[1:] for p in want]
+    assert len(full) <= 5 < 55
+
+
+@pytest.mark.parametrize("tile", [8, 64])
+def test_pairs_of_copies_are_listed_by_rank(spark, tile):
+    """Copies' correlations differed in their last digits with the block they were in, so that not the ranks told their order."""
+    x = np.tile(gapped_returns(np.random.default_rng(23), 12), (5, 1))
+    rows = cr.correlated_pairs(packed(spark, x), CorrelationSearch(top_k=40), tile).orderBy("cand_rank").collect()
+    kinds = [i % 12 for i in range(60)]
+    kinds = [1 if k == 6 else k for k in kinds]
+    want = [(i + 1, j + 1) for i in range(60) for j in range(i + 1, 60) if kinds[i] == kinds[j] != 4][:40]
+    assert [(r.rank_a, r.rank_b) for r in rows] == want and {r.train_corr for r in rows} == {1.0}
+
+
 def test_a_series_is_copied_to_few_tiles_whatever_the_universe(spark):
     """200 series in tiles of 4 went 50 times through the shuffle."""
     x = np.random.default_rng(8).normal(size=(200, 60))
