@@ -287,10 +287,11 @@ def test_bound_of_a_block_holds_and_is_near():
     (side,) = cr.blocks_of([cr.Side(np.arange(300) + 1, np.array([f"S{i:03d}" for i in range(300)], object), m)])
     (block,) = side
     exact, _ = cr.masked_correlation(block.returns, block.returns)
-    for floor in (-0.5, 0.05, 0.5, 0.8, 0.9, 0.99, 1.0):
+    for floor in (-0.8, -0.5, -0.1, 0.0, 0.05, 0.5, 0.8, 0.9, 0.99, 1.0):
         with np.errstate(invalid="ignore"):
-            assert cr.may_reach(block, block, floor, cr.Room())[exact >= floor].all()
-    assert cr.may_reach(block, block, 0.8, cr.Room()).sum() < 6 * (exact >= 0.8).sum()
+            assert cr.may_reach(block, block, floor, cr.Room(4))[exact >= floor].all()
+            assert cr.may_reach(block, block, floor, cr.Room(4), -1)[-exact >= floor].all()
+    assert cr.may_reach(block, block, 0.8, cr.Room(4)).sum() < 6 * (exact >= 0.8).sum()
 
 
 def test_blocks_are_multiplied_in_full_only_until_a_list_is_there(monkeypatch):
@@ -307,6 +308,28 @@ def test_blocks_are_multiplied_in_full_only_until_a_list_is_there(monkeypatch):
     assert len(full) <= 5 < 55
 
 
+@pytest.mark.parametrize("overlap", [50, 98])
+def test_histogram_blocks_are_multiplied_in_full_only_where_needed(monkeypatch, overlap):
+    """Each block took six products in double precision twice, once for the range and once for the counts."""
+    m = gapped_returns(np.random.default_rng(24), 400)
+    exact, n = cr.masked_correlation(m, m)
+    above = np.triu(np.ones((400, 400), bool), 1) & (n >= overlap) & np.isfinite(exact)
+    monkeypatch.setattr(cr, "BLOCK", 40)
+    full, whole = [], cr.masked_correlation
+    monkeypatch.setattr(cr, "masked_correlation", lambda x, y: full.append(len(x)) or whole(x, y))
+    side = cr.Side(np.arange(400) + 1, np.array([f"S{i:03d}" for i in range(400)], object), m)
+    lo, hi = np.inf, -np.inf
+    for x, y in cr.block_pairs(cr.blocks_of([side])):
+        lo, hi = cr.block_range(x, y, overlap, lo, hi, cr.Room(4))
+    assert abs(lo - exact[above].min()) < 1e-12 and abs(hi - exact[above].max()) < 1e-12
+    ranged = len(full)
+    counts = sum(cr.block_counts(x, y, overlap, lo, hi, 80, cr.Room(7)) for x, y in cr.block_pairs([cr.shapes_of(side)]))
+    place = np.clip(np.floor((exact[above] - lo) / (hi - lo) * 80), 0, 79).astype(int)
+    assert counts.tolist() == np.bincount(place, minlength=80).tolist()
+    if overlap == 50:
+        assert ranged < 30 and len(full) - ranged == 10
+
+
 @pytest.mark.parametrize("tile", [8, 64])
 def test_pairs_of_copies_are_listed_by_rank(spark, tile):
     """Copies' correlations differed in their last digits with the block they were in, so that not the ranks told their order."""
