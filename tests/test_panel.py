@@ -284,7 +284,7 @@ def gapped_returns(rng, n, bars=104):
 def test_bound_of_a_block_holds_and_is_near():
     rng = np.random.default_rng(21)
     m = gapped_returns(rng, 300)
-    (side,) = cr.blocks_of([cr.Side(np.arange(300) + 1, np.array([f"S{i:03d}" for i in range(300)], object), m)])
+    (side,) = cr.blocks_of([cr.Side(np.arange(300) + 1, np.array([f"S{i:03d}" for i in range(300)], object), m, np.ones(300, int))])
     (block,) = side
     exact, _ = cr.masked_correlation(block.returns, block.returns)
     for floor in (-0.8, -0.5, -0.1, 0.0, 0.05, 0.5, 0.8, 0.9, 0.99, 1.0):
@@ -297,7 +297,7 @@ def test_bound_of_a_block_holds_and_is_near():
 def test_blocks_are_multiplied_in_full_only_until_a_list_is_there(monkeypatch):
     """Each block took six products in double precision, however far below the list its pairs were."""
     m = gapped_returns(np.random.default_rng(22), 400)
-    side = cr.Side(np.arange(400) + 1, np.array([f"S{i:03d}" for i in range(400)], object), m)
+    side = cr.Side(np.arange(400) + 1, np.array([f"S{i:03d}" for i in range(400)], object), m, np.ones(400, int))
     exact, n = cr.masked_correlation(m, m)
     want = sorted(((-round(exact[i, j], 12), i + 1, j + 1) for i in range(400) for j in range(i + 1, 400) if exact[i, j] >= 0.5 and n[i, j] >= 50))[:30]
     full, whole = [], cr.masked_correlation
@@ -317,7 +317,7 @@ def test_histogram_blocks_are_multiplied_in_full_only_where_needed(monkeypatch,
     monkeypatch.setattr(cr, "BLOCK", 40)
     full, whole = [], cr.masked_correlation
     monkeypatch.setattr(cr, "masked_correlation", lambda x, y: full.append(len(x)) or whole(x, y))
-    side = cr.Side(np.arange(400) + 1, np.array([f"S{i:03d}" for i in range(400)], object), m)
+    side = cr.Side(np.arange(400) + 1, np.array([f"S{i:03d}" for i in range(400)], object), m, np.ones(400, int))
     lo, hi = np.inf, -np.inf
     for x, y in cr.block_pairs(cr.blocks_of([side])):
         lo, hi = cr.block_range(x, y, overlap, lo, hi, cr.Room(4))
@@ -330,6 +330,21 @@ def test_histogram_blocks_are_multiplied_in_full_only_where_needed(monkeypatch,
         assert ranged < 30 and len(full) - ranged == 10
 
 
+@pytest.mark.parametrize("tile", [3, 64])
+def test_histogram_counts_pairs_of_copies(spark, tile):
+    """Series that are alike were multiplied again and again."""
+    x = gapped_returns(np.random.default_rng(25), 12)
+    x = np.concatenate([np.tile(x, (4, 1)), x[:5], gapped_returns(np.random.default_rng(26), 7)])
+    exact, n = cr.masked_correlation(x, x)
+    found = exact[np.triu(np.ones(exact.shape, bool), 1) & (n >= 50) & np.isfinite(exact)]
+    once = cr.each_once(packed(spark, x))
+    assert once.agg(F.count("*"), F.sum("times"), F.max("uni_rank"), F.max("n_universe")).first() == (16, 60, 16, 16)
+    bars = cr.correlation_histogram(packed(spark, x), 40, 50, tile).collect()
+    place = np.clip(np.floor((found - found.min()) / (1 - found.min()) * 40 + 1e-9), 0, 39).astype(int)
+    want = np.bincount(place, minlength=40)
+    assert {r.bin: r.n for r in bars} == {k: c for k, c in enumerate(want.tolist()) if c}
+
+
 @pytest.mark.parametrize("tile", [8, 64])
 def test_pairs_of_copies_are_listed_by_rank(spark, tile):
     """Copies' correlations differed in their last digits with the block they were in, so that not the ranks told their order."""
